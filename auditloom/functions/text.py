@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from . import fixed
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once, however often ``fn`` uses it.
+
+    Lambda bodies and CASE branches would otherwise evaluate it at each use.
+    """
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def trimmed(col: Column) -> Column:
     """Strip every kind of white space, not only blanks."""
     return F.btrim(col, F.lit(fixed.TRIM_CHARS))
@@ -19,29 +27,35 @@ def blank_to_null(col: Column) -> Column:
 
 def byte_prefix(col: Column, limit: int) -> Column:
     """First ``limit`` bytes of a string, never ending inside a character."""
-    raw = col.cast("binary")
 
-    def continues(pos: int) -> Column:
-        # second hex digit pair 80..BF marks the inside of a character
-        return F.substring(F.hex(F.substring(raw, pos, 1)), 1, 1).isin("8", "9", "A", "B")
+    def cut(text: Column) -> Column:
+        raw = text.cast("binary")
+
+        def continues(pos: int) -> Column:
+            # bytes 80..BF are the inside of a character
+            return F.substring(F.hex(F.substring(raw, pos, 1)), 1, 1).isin("8", "9", "A", "B")
 
-    cut = F.lit(limit - 3)
-    for back in (2, 1, 0):
-        cut = F.when(~continues(limit - back + 1), F.lit(limit - back)).otherwise(cut)
-    return F.when(F.octet_length(col) <= limit, col).otherwise(
-        F.substring(raw, F.lit(1), cut).cast("string")
-    )
+        size = F.lit(limit - 3)
+        for back in (2, 1, 0):
+            size = F.when(~continues(limit - back + 1), F.lit(limit - back)).otherwise(size)
+        return F.when(F.octet_length(text) <= limit, text).otherwise(
+            F.substring(raw, F.lit(1), size).cast("string")
+        )
+
+    return let(col, cut)
 
 
 def truncate_text(col: Column, limit: int) -> Column:
     """Trim; when longer than ``limit`` characters, shorten and mark the cut."""
-    text = trimmed(col)
-    if limit <= 0:
-        return text
-    if limit < 20:
-        return F.when(F.length(text) <= limit, text).otherwise(trimmed(F.left(text, F.lit(limit))))
-    cut = trimmed(F.left(text, F.lit(limit - 15)))
-    return F.when(F.length(text) <= limit, text).otherwise(F.concat(cut, F.lit(fixed.TRUNCATED)))
+
+    def cut(text: Column) -> Column:
+        if limit < 20:
+            short = trimmed(F.left(text, F.lit(limit)))
+        else:
+            short = F.concat(trimmed(F.left(text, F.lit(limit - 15))), F.lit(fixed.TRUNCATED))
+        return F.when(F.length(text) <= limit, text).otherwise(short)
+
+    return trimmed(col) if limit <= 0 else let(trimmed(col), cut)
 
 
 def safe_name(col: Column) -> Column:

@@ -6,15 +6,21 @@ pattern is a literal substring looked up in every corpus line of its run.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from importlib.util import find_spec
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import byte_prefix, trimmed
-from ..session import BROADCAST_BYTES, BROADCAST_ROWS
+from ..functions.text import byte_prefix, let, trimmed
 
 # Anchor lengths, longest first: a pattern is looked up by its first n characters.
 ANCHORS = (8, 5, 3, 2, 1)
+# Largest pattern table one task may hold as automata (about 100 bytes per character).
+SMALL_PATTERN_BYTES = 2 * 1024 * 1024
+MATCH = ("run_id", "pattern", "path", "line", "text")
 
 
 def _unquoted(text: Column) -> Column:
@@ -94,58 +100,97 @@ def clean_patterns(reviews: DataFrame, keys: list[str], text: str = "reasoning")
 
 def _grams(text: Column, size: int) -> Column:
     """Distinct character n-grams of a text in one linear pass."""
-    chars = F.split(text, "")
-    count = F.size(chars) - (size - 1)
-    grams = F.transform(
-        F.slice(chars, F.lit(1), F.greatest(count, F.lit(0))),
-        lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, size)]),
+
+    def cut(chars: Column) -> Column:
+        count = F.greatest(F.size(chars) - (size - 1), F.lit(0))
+        return F.transform(
+            F.slice(chars, F.lit(1), count),
+            lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, size)]),
+        )
+
+    return F.array_distinct(let(F.split(text, ""), cut))
+
+
+def _by_automaton(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One pass over each text for all patterns of its run at once.
+
+    The pattern table has been measured to be small; every task builds one
+    Aho-Corasick automaton per run it meets.
+    """
+    table: dict[str, list[str]] = {}
+    for run, pattern in wanted.collect():
+        table.setdefault(run, []).append(pattern)
+    shared = lines.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("array<string>")
+    def held(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        machines: dict = {}
+
+        def machine(run):
+            if run not in machines:
+                built = ahocorasick.Automaton() if run in shared.value else None
+                for pattern in shared.value.get(run, ()):
+                    built.add_word(pattern, pattern)
+                if built is not None:
+                    built.make_automaton()
+                machines[run] = built
+            return machines[run]
+
+        for runs, texts in batches:
+            out = []
+            for run, text in zip(runs, texts):
+                finder = machine(run)
+                out.append([] if finder is None else sorted({p for _, p in finder.iter(text)}))
+            yield pd.Series(out)
+
+    return lines.withColumn("pattern", F.explode(held("run_id", "text"))).select(*MATCH)
+
+
+def _by_anchor(lines: DataFrame, wanted: DataFrame, salts: int) -> DataFrame:
+    """Equi-join on (run_id, anchor), then a check.
+
+    A pattern's anchor is its first n characters, a line offers each of its
+    distinct n-grams once, so no pair repeats.  Only anchor lengths that some
+    pattern needs are cut.  Texts stay where they are: places travel, and come back
+    for the check.  A hot anchor is spread over ``salts`` partitions.
+    """
+    size = F.lit(ANCHORS[-1])
+    for n in reversed(ANCHORS):
+        size = F.when(F.length("pattern") >= n, F.lit(n)).otherwise(size)
+    keyed = wanted.select("run_id", "pattern", F.left("pattern", size).alias("anchor"))
+    lengths = keyed.agg(F.array_sort(F.collect_set(F.length("anchor")))).first()[0]
+    grams = F.flatten(F.array(*[_grams(F.col("text"), n) for n in lengths or ANCHORS[-1:]]))
+    salt = F.pmod(F.xxhash64("path", "line"), F.lit(salts)).cast("int")
+    offered = lines.select(
+        "run_id", "path", "line", salt.alias("_salt"), F.explode(grams).alias("anchor")
     )
-    return F.array_distinct(grams)
+    spread = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    places = offered.join(spread, ["run_id", "anchor", "_salt"]).select(
+        "run_id", "path", "line", "pattern"
+    )
+    found = places.join(lines, ["run_id", "path", "line"])
+    return found.filter(F.contains("text", "pattern")).select(*MATCH)
 
 
 def corpus_search(
-    lines: DataFrame, patterns: DataFrame, anchors: tuple[int, ...] = ANCHORS, salts: int = 16
+    lines: DataFrame,
+    patterns: DataFrame,
+    small_bytes: int = SMALL_PATTERN_BYTES,
+    salts: int = 16,
 ) -> DataFrame:
     """Every (pattern, line) of a run where the line holds the pattern literally.
 
-    Patterns are looked up by an anchor, their first n characters, in an equi-join
-    on (run_id, anchor) that is verified with ``contains``; a line offers each of
-    its distinct n-grams once and a pattern has one anchor, so no pair repeats.
-    Only anchor lengths that some pattern needs are cut.  The pattern side is
-    broadcast when it is measured to be small; otherwise both sides are shuffled and
-    a hot anchor is spread over ``salts`` partitions.
+    The pattern table is measured first.  A small one is shared with all tasks and
+    texts are scanned where they lie, without a shuffle; a large one is joined by
+    anchors.  Both are exact.
     """
-    wanted = patterns.select("run_id", "pattern").distinct()
-    size = F.lit(anchors[-1])
-    for n in reversed(anchors):
-        size = F.when(F.length("pattern") >= n, F.lit(n)).otherwise(size)
-    keyed = wanted.filter(F.length("pattern") > 0).select(
-        "run_id", "pattern", F.left("pattern", size).alias("anchor")
-    )
-    rows, total, lengths = keyed.agg(
-        F.count(F.lit(1)),
-        F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0)),
-        F.array_sort(F.collect_set(F.length("anchor"))),
-    ).first()
-    # an empty pattern table still needs one anchor column
-    grams = F.flatten(F.array(*[_grams(F.col("text"), n) for n in lengths or anchors[-1:]]))
-    if rows <= BROADCAST_ROWS and total <= BROADCAST_BYTES:
-        offered = lines.select("run_id", "path", "line", "text", F.explode(grams).alias("anchor"))
-        found = offered.join(F.broadcast(keyed), ["run_id", "anchor"])
-    else:
-        # texts stay where they are: only places travel, and come back for the check
-        salt = F.pmod(F.xxhash64("path", "line"), F.lit(salts)).cast("int")
-        offered = lines.select(
-            "run_id", "path", "line", salt.alias("_salt"), F.explode(grams).alias("anchor")
-        )
-        spread = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        places = offered.join(spread, ["run_id", "anchor", "_salt"]).select(
-            "run_id", "path", "line", "pattern"
-        )
-        found = places.join(lines, ["run_id", "path", "line"])
-    return found.filter(F.contains("text", "pattern")).select(
-        "run_id", "pattern", "path", "line", "text"
-    )
+    wanted = patterns.select("run_id", "pattern").filter(F.length("pattern") > 0).distinct()
+    total = wanted.agg(F.sum(F.octet_length("pattern") + F.octet_length("run_id"))).first()[0] or 0
+    if total <= small_bytes and find_spec("ahocorasick"):
+        return _by_automaton(lines, wanted)
+    return _by_anchor(lines, wanted, salts)
 
 
 def top_matches(matches: DataFrame, limit: int = fixed.MAX_MATCHES) -> DataFrame:

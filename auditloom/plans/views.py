@@ -169,3 +169,17 @@ def oracle_ctes(*names: str) -> str:
     """The same views as a CTE list for DuckDB, where the tables already exist."""
     wanted = {v for n in names for v in depends(n)}
     return ",\n".join(f"{v} AS ({VIEWS[v]})" for v in VIEWS if v in wanted)
+
+
+def view_over(spark: SparkSession, sf_dir: str, name: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """A view with some tables replaced by given frames, e.g. streams."""
+    prepare(spark)
+    ctes = []
+    for item in depends(name):
+        if item in tables:
+            body = f"SELECT * FROM {{{item}}}"
+        else:
+            body = VIEWS.get(item) or f"SELECT * FROM parquet.`{sf_dir}/{item}.parquet`"
+            body = body.replace("{", "{{").replace("}", "}}")
+        ctes.append(f"{item} AS ({body})")
+    return spark.sql(f"WITH {', '.join(ctes)} SELECT * FROM {name}", **tables)

@@ -1,14 +1,10 @@
-"""Session settings, durable cut points and size-checked broadcasts."""
+"""Session settings and durable cut points."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -25,26 +21,24 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage by writing to the shared checkpoint folder.
-
-    The rows are computed once and read back from storage, so a lost executor
-    can neither change nor repeat a sampled range partitioning.
-    """
-    sc = df.sparkSession.sparkContext
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: the cluster's checkpoint folder."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="auditloom-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
 
 
-def fits_broadcast(df: DataFrame, bytes_col: str | None = None) -> bool:
-    """Measure a table before it may be broadcast; never reads past the bound."""
-    head = df.limit(BROADCAST_ROWS + 1)
-    size = F.sum(F.octet_length(bytes_col)) if bytes_col else F.lit(0)
-    rows, total = head.agg(F.count(F.lit(1)), size).first()
-    return rows <= BROADCAST_ROWS and (total or 0) <= BROADCAST_BYTES
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage by writing to the shared checkpoint folder.
+
+    The rows are computed once and read back from storage, so a lost executor
+    can neither change nor repeat a sampled range partitioning.
+    """
+    scratch_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
