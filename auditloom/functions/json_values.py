@@ -133,9 +133,10 @@ def with_json(df: DataFrame, text: str, when: Column | None = None) -> DataFrame
     df = df.withColumn(
         "_numbered_text", F.when(undecoded & listed, numbered_to_array(F.col("_body")))
     ).withColumn("_numbered", F.try_parse_json("_numbered_text"))
-    df = df.withColumn(
-        "_chunks", balanced_chunks(F.when(undecoded & F.col("_numbered").isNull(), F.col("_body")))
-    )
+    # without a bracket there is nothing to cut
+    open_left = F.contains("_body", F.lit("[")) | F.contains("_body", F.lit("{"))
+    cut = undecoded & F.col("_numbered").isNull() & open_left
+    df = df.withColumn("_chunks", balanced_chunks(F.when(cut, F.col("_body"))))
     objects = F.filter(
         F.transform(F.col("_chunks.objects"), double_bad_backslashes),
         lambda x: F.try_parse_json(x).isNotNull(),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.json_values import is_array, is_object, string_field, with_json
 from ..functions.severity import at_or_above, normalize_severity, severity_rank, top_severity
-from ..functions.text import byte_prefix, trimmed
+from ..functions.text import byte_prefix, let, trimmed
 
 ITEM = (
     "array<struct<severity:string,title:string,function:string,description:string,body:string>>"
@@ -97,17 +97,12 @@ def heading_items(report: Column) -> Column:
     line_not_heading = r"(?:\n(?!#{1,4}" + fixed.WS + r"+.)[^\n]*+)*+"
     sections = F.regexp_extract_all(report, F.lit(fixed.HEADING + line_not_heading), 0)
 
-    def read(section: Column) -> Column:
+    def titled(section: Column) -> Column:
         title = trimmed(F.regexp_extract(section, fixed.HEADING, 1))
         title = F.btrim(title, F.lit("* "))
         title = F.regexp_replace(title, fixed.TITLE_PREFIX_SEVERITY, "")
         title = trimmed(F.regexp_replace(title, fixed.TITLE_PREFIX_LEVEL, ""))
-        body = trimmed(section)
-        word = _first_severity_word(body)
-        return _item(
-            F.when(word == "", F.lit("medium")).otherwise(normalize_severity(word)),
-            title, "", "", body,
-        )
+        return F.struct(title.alias("title"), trimmed(section).alias("body"))
 
     def kept(x: Column) -> Column:
         title, body = x["title"], x["body"]
@@ -117,13 +112,19 @@ def heading_items(report: Column) -> Column:
         junk = title.rlike(fixed.JUNK_TITLE) | title.rlike(fixed.SIGNATURE_TITLE)
         return (title != "") & ~junk & named
 
-    return F.filter(F.transform(sections, read), kept)
+    def read(x: Column) -> Column:
+        # a section without a severity word gives "", which normalises to medium
+        severity = let(_first_severity_word(x["body"]), normalize_severity)
+        return _item(severity, x["title"], "", "", x["body"])
+
+    return F.transform(F.filter(F.transform(sections, titled), kept), read)
 
 
 def unstructured_items(report: Column) -> Column:
-    word = _first_severity_word(report)
-    one = F.array(_item(normalize_severity(word), fixed.UNSTRUCTURED, "", "", trimmed(report)))
-    return F.when(word == "", F.filter(one, lambda _: F.lit(False))).otherwise(one)
+    words = F.filter(F.array(_first_severity_word(report)), lambda w: w != "")
+    return F.transform(
+        words, lambda w: _item(normalize_severity(w), fixed.UNSTRUCTURED, "", "", trimmed(report))
+    )
 
 
 # ---- operators -----------------------------------------------------------------
@@ -144,18 +145,22 @@ def marker_findings(reports: DataFrame, keys: list[str], report: str = "report")
 
 def json_findings(reports: DataFrame, keys: list[str], report: str = "report") -> DataFrame:
     """Items of the JSON tier read from the text as it is (no repair)."""
-    decoded = with_json(reports, report).filter(F.col("json_from") == "whole")
-    return _explode(decoded, json_items(json_values(F.col("json"))), keys)
+    decoded = with_json(reports, report)
+    values = F.when(F.col("json_from") == "whole", json_values(F.col("json")))
+    return _explode(decoded, json_items(values), keys)
 
 
 def json_salvage(reports: DataFrame, keys: list[str], report: str = "report") -> DataFrame:
     """Texts that do not decode as they are: which repair worked and what it gave."""
-    decoded = with_json(reports, report).filter(
-        F.coalesce(F.col("json_from"), F.lit("none")).isin("numbered", "objects", "array", "object")
-    )
+    decoded = with_json(reports, report)
     items = F.coalesce(json_items(json_values(F.col("json"))), F.expr(f"cast(array() as {ITEM})"))
-    return decoded.select(
-        *keys, F.col("json_from").alias("method"), "json_text", F.size(items).alias("n_items")
+    found = F.struct(
+        F.col("json_from").alias("method"), F.col("json_text"), F.size(items).alias("n_items")
+    )
+    repaired = F.col("json_from").isin("numbered", "objects", "array", "object")
+    # exploding one or no row instead of filtering keeps the extraction in one place
+    return decoded.select(*keys, F.explode(F.when(repaired, F.array(found))).alias("f")).select(
+        *keys, "f.*"
     )
 
 
@@ -170,29 +175,29 @@ def unstructured_findings(reports: DataFrame, keys: list[str], report: str = "re
 def with_tier(reports: DataFrame, report: str = "report") -> DataFrame:
     """Add ``tier`` and its ``items`` to each report."""
     text = F.col(report)
-    marked = text.rlike(fixed.MARKER)
-    df = with_json(reports, report, when=~marked)
+    marked = F.col("_marked")
+    df = with_json(reports.withColumn("_marked", text.rlike(fixed.MARKER)), report, when=~marked)
     df = df.withColumn("_values", F.when(~marked, json_values(F.col("json"))))
     df = df.withColumn(
         "_headed", F.when(~marked & F.col("_values").isNull(), heading_items(text).cast(ITEM))
     )
-    word = _first_severity_word(text) != ""
+    items = (
+        F.when(F.col("_marked"), marker_items(text).cast(ITEM))
+        .when(F.col("_values").isNotNull(), json_items(F.col("_values")).cast(ITEM))
+        .when(F.size("_headed") > 0, F.col("_headed"))
+        .otherwise(unstructured_items(text).cast(ITEM))
+    )
+    df = df.withColumn("items", items)
     tier = (
-        F.when(marked, F.lit("marker"))
-        .when(F.col("_values").isNotNull(), F.lit("json"))
-        .when(F.size("_headed") > 0, F.lit("heading"))
-        .when(word, F.lit("unstructured"))
-        .otherwise(F.lit("none"))
+        F.when(F.col("_marked"), "marker")
+        .when(F.col("_values").isNotNull(), "json")
+        .when(F.size("_headed") > 0, "heading")
+        .when(F.size("items") > 0, "unstructured")
+        .otherwise("none")
     )
-    df = df.withColumn("tier", tier)
-    items = (
-        F.when(F.col("tier") == "marker", marker_items(text).cast(ITEM))
-        .when(F.col("tier") == "json", json_items(F.col("_values")).cast(ITEM))
-        .when(F.col("tier") == "heading", F.col("_headed"))
-        .when(F.col("tier") == "unstructured", unstructured_items(text).cast(ITEM))
-        .otherwise(F.expr(f"cast(array() as {ITEM})"))
+    return df.withColumn("tier", tier).drop(
+        "json", "json_from", "json_text", "_values", "_headed", "_marked"
     )
-    return df.withColumn("items", items).drop("json", "json_from", "json_text", "_values", "_headed")
 
 
 def parse_findings(reports: DataFrame, keys: list[str], report: str = "report") -> DataFrame:

@@ -16,7 +16,9 @@ from ..session import durable
 
 
 def _placed(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
-    rows = df.orderBy(*group, *order).withColumn("_slot", F.monotonically_increasing_id())
+    # range partitioning reads its input twice (sample, then shuffle): read it from storage
+    stored = durable(df)
+    rows = stored.orderBy(*group, *order).withColumn("_slot", F.monotonically_increasing_id())
     # the upper bits of the id are the partition, the lower 33 the place in it
     return durable(rows).withColumn("_piece", F.shiftright("_slot", 33))
 

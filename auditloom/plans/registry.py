@@ -300,8 +300,8 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "corpus_totals": lambda i: corpus.corpus_totals(i.runs, i.classified()),
     "corpus_lines": lambda i: corpus.corpus_lines(i.source_files),
     # completions
-    "context_requests": _requests,
-    "scan_requests": _scan_requests,
+    "context_requests": lambda i: _requests(i).drop("messages", "reasoning_effort"),
+    "scan_requests": lambda i: _scan_requests(i).drop("messages", "reasoning_effort"),
     "run_completions": _completions,
     "replay_completions": _replay,
     "decode_completions": lambda i: comp.decode_completions(i.wire).drop("body"),

@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import prepare
+from ..session import prepare, spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -139,7 +139,7 @@ FROM events""",
 }
 
 
-def depends(name: str) -> list[str]:
+def depends(name: str, views: dict[str, str] = VIEWS) -> list[str]:
     """Views and tables a view needs, in definition order, itself last."""
     seen: set[str] = set()
 
@@ -147,28 +147,21 @@ def depends(name: str) -> list[str]:
         if item in seen:
             return
         seen.add(item)
-        words = set(re.findall(r"(?:FROM|JOIN)\s+([a-z_]+)", VIEWS.get(item, "")))
+        words = set(re.findall(r"(?:FROM|JOIN)\s+([a-z_]+)", views.get(item, "")))
         for word in words:
-            if word in VIEWS or word in TABLES:
+            if word in views or word in TABLES:
                 visit(word)
 
     visit(name)
-    return [t for t in TABLES if t in seen] + [v for v in VIEWS if v in seen]
+    return [t for t in TABLES if t in seen] + [v for v in views if v in seen]
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
-    ctes = []
-    for item in depends(name):
-        body = VIEWS.get(item) or f"SELECT * FROM parquet.`{sf_dir}/{item}.parquet`"
-        ctes.append(f"{item} AS ({body})")
-    return spark.sql(f"WITH {', '.join(ctes)} SELECT * FROM {name}")
-
-
-def oracle_ctes(*names: str) -> str:
-    """The same views as a CTE list for DuckDB, where the tables already exist."""
-    wanted = {v for n in names for v in depends(n)}
-    return ",\n".join(f"{v} AS ({VIEWS[v]})" for v in VIEWS if v in wanted)
+    if "documents" not in depends(name):
+        return view_over(spark, sf_dir, name, {})
+    documents = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
+    return view_over(spark, sf_dir, name, {"documents": documents})
 
 
 def view_over(spark: SparkSession, sf_dir: str, name: str, tables: dict[str, DataFrame]) -> DataFrame:

@@ -42,3 +42,13 @@ def durable(df: DataFrame) -> DataFrame:
     """
     scratch_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread an input of few splits over all cores before heavy per-row work.
+
+    Fewer splits than cores means a small input, so the shuffle is small too; a
+    large table already has more splits than cores and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
