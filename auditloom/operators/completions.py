@@ -133,19 +133,27 @@ def replay_completions(requests: DataFrame, responses: DataFrame) -> DataFrame:
 
 def decode_completions(calls: DataFrame, body: str = "body") -> DataFrame:
     """Wire body → content, token counts, or an error."""
-    schema = (
-        "choices array<struct<message struct<content string, reasoning_content string>>>, "
-        "usage struct<prompt_tokens int, completion_tokens int, total_tokens int>, "
-        "error string, broken string"
+    answer = (
+        "choices: array<struct<message: struct<content: string, reasoning_content: string>>>, "
+        "usage: struct<prompt_tokens: int, completion_tokens: int, total_tokens: int>, "
+        "error: string"
+    )
+    # read as a member of an outer object, so that anything after the value is an error
+    outer = F.concat(F.lit('{"w":'), body, F.lit("}"))
+    wire = F.from_json(
+        outer, f"w struct<{answer}>, broken string", {"columnNameOfCorruptRecord": "broken"}
+    )
+    df = (
+        calls.withColumn("_outer", wire)
+        .withColumn("_broken", F.col("_outer.broken").isNotNull())
+        .withColumn("_wire", F.col("_outer.w"))
     )
-    wire = F.from_json(body, schema, {"columnNameOfCorruptRecord": "broken"})
-    df = calls.withColumn("_wire", wire)
     message = F.get("_wire.choices", F.lit(0))["message"]
     content = F.coalesce(
         F.when(message["content"] != "", message["content"]), message["reasoning_content"], F.lit("")
     )
     error = (
-        F.when(F.col("_wire").isNull() | F.col("_wire.broken").isNotNull(), F.lit("invalid response"))
+        F.when(F.col("_broken"), F.lit("invalid response"))
         .when(F.col("_wire.error").isNotNull(), F.concat(F.lit("api error: "), "_wire.error"))
         .when(
             F.coalesce(F.size("_wire.choices"), F.lit(0)) <= 0,

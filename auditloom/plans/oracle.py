@@ -118,7 +118,7 @@ SEVWORD = r"'(?i)\b(critical|high|medium|low|informational)\b'"
 BUG = "'" + fixed.BUG_KEYWORD.replace(fixed.WORD_END, r"\b") + "'"
 JUNK = "'" + fixed.JUNK_TITLE.replace(fixed.WORD_END, r"\b") + "'"
 HEAD = r"'(?im-s)^#{1,4}\s+(.+)'"
-VALID_SHARE = "floor(count_if(verdict = 'VALID')::DOUBLE / count(*) * 100 + 0.5) / 100"
+VALID_SHARE = "floor(count(*) FILTER (WHERE verdict = 'VALID')::DOUBLE / count(*) * 100 + 0.5) / 100"
 FIVE = ", ".join(fixed.SEVERITIES)
 
 STEPS = {
@@ -135,7 +135,7 @@ SELECT m.run_id, m.path, m.lines, CASE WHEN i.path IS NOT NULL THEN 'gitignore'
 FROM measured m LEFT JOIN ignored_paths i ON m.run_id = i.run_id AND m.path = i.path""",
     "totals": """
 SELECT r.run_id, coalesce(files, 0) AS files, coalesce(skipped, 0) AS skipped, coalesce(total_lines, 0) AS total_lines
-FROM runs r LEFT JOIN (SELECT run_id, count_if(reason IS NULL)::BIGINT AS files, count_if(reason IS NOT NULL)::BIGINT AS skipped,
+FROM runs r LEFT JOIN (SELECT run_id, count(*) FILTER (WHERE reason IS NULL)::BIGINT AS files, count(*) FILTER (WHERE reason IS NOT NULL)::BIGINT AS skipped,
   sum(CASE WHEN reason IS NULL THEN lines END)::BIGINT AS total_lines FROM classified GROUP BY run_id) c ON r.run_id = c.run_id""",
     "split_lines": """
 SELECT run_id, path, unnest(parts) AS raw, generate_subscripts(parts, 1)::INTEGER AS line FROM (
@@ -217,7 +217,7 @@ SELECT t.run_id, t.file_id, t.display_name, t.status, t.tier, f.pos, f.severity,
 FROM tiers t JOIN tier_rows f ON t.run_id = f.run_id AND t.file_id = f.file_id AND t.tier = f.tier""",
     "findings": "SELECT * EXCLUDE (status) FROM all_findings WHERE status = 'ok'",
     "counts": f"""
-SELECT r.run_id, r.file_id, r.display_name, r.status, r.error, {', '.join(f"count_if(f.severity = '{s}')::INTEGER AS {s}" for s in fixed.SEVERITIES)}
+SELECT r.run_id, r.file_id, r.display_name, r.status, r.error, {', '.join(f"count(*) FILTER (WHERE f.severity = '{s}')::INTEGER AS {s}" for s in fixed.SEVERITIES)}
 FROM reports r LEFT JOIN findings f ON r.run_id = f.run_id AND r.file_id = f.file_id GROUP BY ALL""",
     "results": f"""
 SELECT c.*, {lines('s.content')} AS lines FROM counts c JOIN source_files s ON c.run_id = s.run_id AND c.file_id = s.file_id""",
@@ -335,10 +335,10 @@ SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY {rank('severity')}, di
 SELECT r.run_id, coalesce(files_scanned, 0) AS files_scanned, coalesce(critical_files, 0) AS critical_files, coalesce(high_files, 0) AS high_files,
   coalesce(clean_files, 0) AS clean_files, coalesce(error_files, 0) AS error_files, t.skipped AS files_skipped, t.total_lines
 FROM runs r JOIN totals t ON r.run_id = t.run_id LEFT JOIN (
-  SELECT run_id, count(*) AS files_scanned, count_if(status <> 'error' AND critical > 0)::BIGINT AS critical_files,
-    count_if(status <> 'error' AND high > 0)::BIGINT AS high_files,
-    count_if(status <> 'error' AND {' + '.join(fixed.SEVERITIES)} = 0)::BIGINT AS clean_files,
-    count_if(status = 'error')::BIGINT AS error_files FROM results GROUP BY run_id) c ON r.run_id = c.run_id""",
+  SELECT run_id, count(*) AS files_scanned, count(*) FILTER (WHERE status <> 'error' AND critical > 0)::BIGINT AS critical_files,
+    count(*) FILTER (WHERE status <> 'error' AND high > 0)::BIGINT AS high_files,
+    count(*) FILTER (WHERE status <> 'error' AND {' + '.join(fixed.SEVERITIES)} = 0)::BIGINT AS clean_files,
+    count(*) FILTER (WHERE status = 'error')::BIGINT AS error_files FROM results GROUP BY run_id) c ON r.run_id = c.run_id""",
     "sarif_rows": f"""
 SELECT run_id, severity, title, description, body, display_name AS uri, 'raw' AS source, CAST(NULL AS DOUBLE) AS confidence FROM findings
 UNION ALL SELECT run_id, severity, title, description, body, file, 'validated', CASE WHEN confidence > 0 THEN confidence END
@@ -374,8 +374,8 @@ SELECT *, CASE WHEN NOT (contains(lower(body), 'insufficient_quota') OR contains
     "arbiter_votes": f"""
 SELECT run_id, finding_id, string_agg('Round ' || CAST(round_no AS VARCHAR) || ' (' || verdict || '): ' || {prefix('reasoning', 500)} ||
     CASE WHEN coalesce(evidence, '') <> '' THEN {NL} || evidence ELSE '' END, {NL} ORDER BY round_no) AS key_evidence,
-  string_agg(left(verdict, 1), '' ORDER BY round_no) AS verdicts, count_if(verdict = 'VALID')::BIGINT AS valid,
-  count_if(verdict = 'INVALID')::BIGINT AS invalid FROM rounds_ev GROUP BY run_id, finding_id HAVING count(*) > 1""",
+  string_agg(left(verdict, 1), '' ORDER BY round_no) AS verdicts, count(*) FILTER (WHERE verdict = 'VALID')::BIGINT AS valid,
+  count(*) FILTER (WHERE verdict = 'INVALID')::BIGINT AS invalid FROM rounds_ev GROUP BY run_id, finding_id HAVING count(*) > 1""",
     "verdict_json": r"""
 SELECT *, CASE WHEN error IS NULL THEN CASE WHEN json_valid(content) THEN content
   WHEN regexp_extract(content, '\{[^{}]*\}') <> '' AND json_valid(regexp_extract(content, '\{[^{}]*\}')) THEN regexp_extract(content, '\{[^{}]*\}') END END AS j
@@ -444,7 +444,7 @@ FROM (SELECT w.call_id, CASE WHEN json_valid(w.body) THEN w.body END AS body, e.
   FROM wire w JOIN events e ON w.call_id = e.event_id)""",
     "classify_calls": "SELECT call_id, class FROM classes",
     "retry_backlog": """SELECT request_id, attempts, greatest(limited + INTERVAL 1 MINUTE, failed + to_seconds(1 << attempts)) AS eligible_at FROM (
-  SELECT request_id, count_if(class IN ('ok', 'fatal')) AS finished, count_if(class = 'retryable')::INTEGER AS attempts,
+  SELECT request_id, count(*) FILTER (WHERE class IN ('ok', 'fatal')) AS finished, count(*) FILTER (WHERE class = 'retryable')::INTEGER AS attempts,
     date_trunc('minute', max(CASE WHEN class = 'rate_limited' THEN ts END)) AS limited,
     max(CASE WHEN class = 'retryable' THEN ts END) AS failed FROM classes GROUP BY request_id) WHERE finished = 0 AND attempts < 3""",
     "scan_results": "SELECT * FROM scan_rows",
@@ -492,7 +492,7 @@ FROM priors p JOIN coded f ON p.run_id = f.run_id AND p.finding_id = f.finding_i
 FROM arbiter_votes v JOIN coded f ON v.run_id = f.run_id AND v.finding_id = f.finding_id""",
     "final_verdict": "SELECT * EXCLUDE (description, body) FROM triage",
     "triage_order": "SELECT run_id, finding_id, position, verdict, confidence FROM ordered",
-    "verdict_tally": f"""SELECT r.run_id, {', '.join(f"count_if(t.verdict = '{v}')::BIGINT AS {v.lower()}" for v in fixed.VERDICTS)}
+    "verdict_tally": f"""SELECT r.run_id, {', '.join(f"count(*) FILTER (WHERE t.verdict = '{v}')::BIGINT AS {v.lower()}" for v in fixed.VERDICTS)}
 FROM runs r LEFT JOIN triage t ON r.run_id = t.run_id GROUP BY r.run_id""",
     "file_ranking": f"SELECT run_id, display_name, position, {FIVE} FROM ranked",
     "run_summary": "SELECT * FROM summary",
@@ -553,7 +553,7 @@ UNION ALL SELECT r.run_id, 'context', {slug('r.display_name')} || '.context.md',
     "running_totals": f"""SELECT run_id, file_id, row_number() OVER w AS done, (sum(CASE WHEN status = 'error' THEN 1 ELSE 0 END) OVER w)::BIGINT AS errors,
   {', '.join(f'(sum({s}) OVER w)::BIGINT AS total_{s}' for s in fixed.SEVERITIES)}
 FROM done WINDOW w AS (PARTITION BY run_id ORDER BY done_at NULLS FIRST, file_id ROWS UNBOUNDED PRECEDING)""",
-    "stream_severity": f"""SELECT run_id, count(*) AS done, count_if(status = 'error')::BIGINT AS errors, {', '.join(f'sum({s})::BIGINT AS {s}' for s in fixed.SEVERITIES)}
+    "stream_severity": f"""SELECT run_id, count(*) AS done, count(*) FILTER (WHERE status = 'error')::BIGINT AS errors, {', '.join(f'sum({s})::BIGINT AS {s}' for s in fixed.SEVERITIES)}
 FROM results GROUP BY run_id""",
     "stream_corpus": "SELECT run_id, path, lines, strlen(content)::INTEGER AS chars, other AS reason FROM measured JOIN source_files USING (run_id, path)",
 }

@@ -19,7 +19,7 @@ from ..operators import findings as find
 from ..operators import reports as rep
 from ..operators import triage as tri
 from ..operators.ranking import running_sums
-from ..session import scratch_dir
+from ..session import durable, scratch_dir
 from ..sources import sinks
 from ..streaming import live
 from .views import view
@@ -48,6 +48,13 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._kept: dict[str, DataFrame] = {}
+
+    def once(self, name: str) -> DataFrame:
+        """A derived input that the query uses more than once: computed once and stored."""
+        if name not in self._kept:
+            self._kept[name] = durable(getattr(self, name)())
+        return self._kept[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         return view(self.spark, self.sf_dir, name)
@@ -213,26 +220,27 @@ def _normalize(i: Inputs) -> DataFrame:
 
 
 def _gate_status(i: Inputs) -> DataFrame:
-    return rep.gate_status(i.runs, i.results(), rep.gate_validated(i.triage()), "validated")
+    return rep.gate_status(i.runs, i.reports, rep.gate_validated(i.triage()), "validated")
+
+
+RANKED = [*NAMED, "status", "error", "lines", *fixed.SEVERITIES]
 
 
-def _summary(i: Inputs) -> DataFrame:
-    return rep.run_summary(i.runs, i.results(), corpus.corpus_totals(i.runs, i.classified()))
+def _summary(i: Inputs, results: DataFrame) -> DataFrame:
+    return rep.run_summary(i.runs, results, corpus.corpus_totals(i.runs, i.classified()))
 
 
 def _markdown(i: Inputs) -> DataFrame:
+    results = i.once("results").select(*RANKED)
+    failing = durable(rep.gate_validated(i.triage()))
     return rep.markdown_table(
-        _summary(i),
-        rep.file_ranking(i.results()),
-        rep.gate_validated(i.triage()),
-        "Scan results",
-        MODEL,
+        _summary(i, results), rep.file_ranking(results), failing, "Scan results", MODEL
     )
 
 
 def _details(i: Inputs) -> DataFrame:
-    triage = i.triage_full()
-    files = i.results().join(i.contexts.select(*FILE, F.col("content").alias("context")), FILE)
+    triage = i.once("triage_full")
+    files = i.once("results").join(i.contexts.select(*FILE, F.col("content").alias("context")), FILE)
     return (
         rep.triage_details(tri.triage_order(triage), i.rounds_with_evidence())
         .unionByName(rep.survivor_details(rep.survivors(triage), STAMP))
@@ -243,12 +251,13 @@ def _details(i: Inputs) -> DataFrame:
 def _write_run(i: Inputs) -> DataFrame:
     """Write every format, then read back what was written: format and rows per run."""
     out = f"{scratch_dir(i.spark)}/write-run-{uuid.uuid4().hex}"
-    sarif = rep.sarif_log(rep.sarif_results(i.findings(), i.triage_full()), "auditloom")
+    triage = i.once("triage_full")
+    sarif = rep.sarif_log(rep.sarif_results(i.findings(), triage), "auditloom")
     documents = rep.file_details(
-        i.results().join(i.contexts.select(*FILE, F.col("content").alias("context")), FILE)
+        i.once("results").join(i.contexts.select(*FILE, F.col("content").alias("context")), FILE)
     )
-    results = i.results().drop("report")
-    sinks.write_run(out, _summary(i), results, i.triage(), _markdown(i), documents, sarif)
+    results = i.once("results").select(*RANKED)
+    sinks.write_run(out, _summary(i, results), results, triage, _markdown(i), documents, sarif)
     parts = []
     for name, kind in (
         ("summary", "json"), ("results", "json"), ("triage", "json"),
@@ -271,7 +280,7 @@ def _write_run(i: Inputs) -> DataFrame:
 def _running(i: Inputs) -> DataFrame:
     """Totals after each completed file, in order of the time its event arrived."""
     done = i.events.select(F.col("event_id").alias("file_id"), F.col("ts").alias("done_at"))
-    rows = i.results().join(done, "file_id", "left")
+    rows = i.results().select(*RANKED).join(done, "file_id", "left")
     ones = rows.withColumn("one", F.lit(1)).withColumn(
         "failed", (F.col("status") == "error").cast("int")
     )
@@ -362,10 +371,10 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     ),
     "verdict_tally": lambda i: tri.verdict_tally(i.runs, i.triage()),
     # reports
-    "file_ranking": lambda i: rep.file_ranking(i.results()).select(
+    "file_ranking": lambda i: rep.file_ranking(i.results().select(*RANKED)).select(
         "run_id", "display_name", "position", *fixed.SEVERITIES
     ),
-    "run_summary": _summary,
+    "run_summary": lambda i: _summary(i, i.results()),
     "survivors": lambda i: rep.survivors(i.triage(), 0.5).select(
         "run_id", "finding_id", "position", "confidence"
     ),
@@ -379,9 +388,9 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "gate_status": _gate_status,
     "sarif_results": lambda i: rep.sarif_results(i.findings(), i.triage_full()),
     "sarif_log": lambda i: rep.sarif_log(rep.sarif_results(i.findings(), i.triage_full()), "auditloom"),
-    "comment_topk": lambda i: rep.comment_topk(i.findings(), i.triage_full(), 0.75),
+    "comment_topk": lambda i: rep.comment_topk(i.once("findings"), i.once("triage_full"), 0.75),
     "report_section": lambda i: rep.report_section(
-        i.runs, i.findings(), i.triage(), i.results(), 0.75
+        i.runs, i.once("findings"), i.once("triage"), i.reports, 0.75
     ),
     "markdown_table": _markdown,
     "truncate_text": lambda i: i.documents.select(
@@ -394,7 +403,7 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
         i.source_files.select(*FILE, F.concat(F.lit("/"), "path", F.lit("  é!")).alias("display_name"))
     ).select(*FILE, "slug", "n_same", "collides"),
     "artifact_numbers": lambda i: rep.artifact_numbers(
-        tri.triage_order(i.triage()), rep.survivors(i.triage())
+        tri.triage_order(i.once("triage")), rep.survivors(i.once("triage"))
     ),
     "grand_totals": lambda i: rep.grand_totals(i.results()),
     "severity_rollup": lambda i: rep.severity_rollup(i.findings()),

@@ -173,6 +173,7 @@ def view_over(spark: SparkSession, sf_dir: str, name: str, tables: dict[str, Dat
             body = f"SELECT * FROM {{{item}}}"
         else:
             body = VIEWS.get(item) or f"SELECT * FROM parquet.`{sf_dir}/{item}.parquet`"
-            body = body.replace("{", "{{").replace("}", "}}")
+            if tables:  # the text is a format string only when frames are passed
+                body = body.replace("{", "{{").replace("}", "}}")
         ctes.append(f"{item} AS ({body})")
     return spark.sql(f"WITH {', '.join(ctes)} SELECT * FROM {name}", **tables)

@@ -40,8 +40,12 @@ def durable(df: DataFrame) -> DataFrame:
     The rows are computed once and read back from storage, so a lost executor
     can neither change nor repeat a sampled range partitioning.
     """
+    if getattr(df, "_stored", False):
+        return df
     scratch_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    stored = df.checkpoint(eager=True)
+    stored._stored = True
+    return stored
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
