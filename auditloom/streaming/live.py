@@ -41,6 +41,7 @@ def binary_file_stream(spark: SparkSession, folder: str, run_id: str) -> DataFra
     """Source files of one run as they land: run_id, path, length, content."""
     return (
         spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
         .option("recursiveFileLookup", "true")
         .load(folder)
         .select(
