@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import byte_prefix, let, trimmed
+from ..session import durable
+from .ranking import join_uneven
 
 # Anchor lengths, longest first: a pattern is looked up by its first n characters.
 ANCHORS = (8, 5, 3, 2, 1)
@@ -186,7 +188,9 @@ def corpus_search(
     texts are scanned where they lie, without a shuffle; a large one is joined by
     anchors.  Both are exact.
     """
-    wanted = patterns.select("run_id", "pattern").filter(F.length("pattern") > 0).distinct()
+    wanted = durable(
+        patterns.select("run_id", "pattern").filter(F.length("pattern") > 0).distinct()
+    )
     total = wanted.agg(F.sum(F.octet_length("pattern") + F.octet_length("run_id"))).first()[0] or 0
     if total <= small_bytes and find_spec("ahocorasick"):
         return _by_automaton(lines, wanted)
@@ -245,7 +249,7 @@ def evidence_blocks(
     """Blocks of one review joined in request order: keys, evidence."""
     # at most MAX_PATTERNS blocks per group
     return (
-        requested.join(blocks, ["run_id", "pattern"])
+        join_uneven(requested, blocks, ["run_id", "pattern"])
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("pos", "block"))).alias("_blocks"))
         .select(*keys, F.array_join(F.col("_blocks.block"), "\n\n").alias("evidence"))
@@ -254,7 +258,7 @@ def evidence_blocks(
 
 def gather_evidence(reviews: DataFrame, lines: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Requests, search, ranking and blocks in one: keys, evidence."""
-    requested = clean_patterns(reviews, keys, text)
+    requested = durable(clean_patterns(reviews, keys, text))
     top = top_matches(corpus_search(lines, requested))
     return evidence_blocks(requested, pattern_blocks(requested, top), keys)
 

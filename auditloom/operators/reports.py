@@ -28,7 +28,7 @@ from ..functions.severity import (
     unit_interval,
 )
 from ..functions.text import safe_name, table_cell, trimmed, truncate_text
-from .ranking import numbered
+from .ranking import join_uneven, numbered
 
 
 
@@ -270,8 +270,9 @@ def comment_topk(
         "validated",
         "file",
     )
-    rest = findings.join(valid.select("run_id").distinct(), "run_id", "left_anti")
-    return shown.unionByName(first(rest, _raw_order(), "raw", "display_name"))
+    # the anti join comes last: by then a run has at most ``limit`` rows
+    rest = first(findings, _raw_order(), "raw", "display_name")
+    return shown.unionByName(rest.join(shown.select("run_id").distinct(), "run_id", "left_anti"))
 
 
 def report_section(
@@ -378,7 +379,9 @@ def safe_names(files: DataFrame, name: str = "display_name") -> DataFrame:
     """Slug per file and how many files of the run share it."""
     slugged = files.withColumn("slug", safe_name(F.col(name)))
     shared = slugged.groupBy("run_id", "slug").agg(F.count(F.lit(1)).alias("n_same"))
-    return slugged.join(shared, ["run_id", "slug"]).withColumn("collides", F.col("n_same") > 1)
+    return join_uneven(slugged, shared, ["run_id", "slug"]).withColumn(
+        "collides", F.col("n_same") > 1
+    )
 
 
 def artifact_numbers(ordered: DataFrame, survivors_numbered: DataFrame) -> DataFrame:

@@ -75,8 +75,12 @@ class Inputs:
         shown = self.reports.withColumn(
             "report", F.when(F.col("status") == "ok", F.col("report")).otherwise("")
         )
-        counted = find.severity_counts(shown, [*NAMED, "status", "error", "report"])
-        return counted.join(files, FILE)
+        return find.severity_counts(shown, [*NAMED, "status", "error"]).join(files, FILE)
+
+    def file_texts(self) -> DataFrame:
+        """Report and context of every file."""
+        context = self.contexts.select(*FILE, F.col("content").alias("context"))
+        return self.reports.join(context, FILE)
 
     def arbiter_split(self) -> tuple[DataFrame, DataFrame]:
         """The highest round of a finding plays the arbiter."""
@@ -223,15 +227,12 @@ def _gate_status(i: Inputs) -> DataFrame:
     return rep.gate_status(i.runs, i.reports, rep.gate_validated(i.triage()), "validated")
 
 
-RANKED = [*NAMED, "status", "error", "lines", *fixed.SEVERITIES]
-
-
 def _summary(i: Inputs, results: DataFrame) -> DataFrame:
     return rep.run_summary(i.runs, results, corpus.corpus_totals(i.runs, i.classified()))
 
 
 def _markdown(i: Inputs) -> DataFrame:
-    results = i.once("results").select(*RANKED)
+    results = i.once("results")
     failing = durable(rep.gate_validated(i.triage()))
     return rep.markdown_table(
         _summary(i, results), rep.file_ranking(results), failing, "Scan results", MODEL
@@ -240,11 +241,10 @@ def _markdown(i: Inputs) -> DataFrame:
 
 def _details(i: Inputs) -> DataFrame:
     triage = i.once("triage_full")
-    files = i.once("results").join(i.contexts.select(*FILE, F.col("content").alias("context")), FILE)
     return (
         rep.triage_details(tri.triage_order(triage), i.rounds_with_evidence())
         .unionByName(rep.survivor_details(rep.survivors(triage), STAMP))
-        .unionByName(rep.file_details(files))
+        .unionByName(rep.file_details(i.file_texts()))
     )
 
 
@@ -253,10 +253,8 @@ def _write_run(i: Inputs) -> DataFrame:
     out = f"{scratch_dir(i.spark)}/write-run-{uuid.uuid4().hex}"
     triage = i.once("triage_full")
     sarif = rep.sarif_log(rep.sarif_results(i.findings(), triage), "auditloom")
-    documents = rep.file_details(
-        i.once("results").join(i.contexts.select(*FILE, F.col("content").alias("context")), FILE)
-    )
-    results = i.once("results").select(*RANKED)
+    documents = rep.file_details(i.file_texts())
+    results = i.once("results")
     sinks.write_run(out, _summary(i, results), results, triage, _markdown(i), documents, sarif)
     parts = []
     for name, kind in (
@@ -280,7 +278,7 @@ def _write_run(i: Inputs) -> DataFrame:
 def _running(i: Inputs) -> DataFrame:
     """Totals after each completed file, in order of the time its event arrived."""
     done = i.events.select(F.col("event_id").alias("file_id"), F.col("ts").alias("done_at"))
-    rows = i.results().select(*RANKED).join(done, "file_id", "left")
+    rows = i.results().join(done, "file_id", "left")
     ones = rows.withColumn("one", F.lit(1)).withColumn(
         "failed", (F.col("status") == "error").cast("int")
     )
@@ -371,7 +369,7 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     ),
     "verdict_tally": lambda i: tri.verdict_tally(i.runs, i.triage()),
     # reports
-    "file_ranking": lambda i: rep.file_ranking(i.results().select(*RANKED)).select(
+    "file_ranking": lambda i: rep.file_ranking(i.results()).select(
         "run_id", "display_name", "position", *fixed.SEVERITIES
     ),
     "run_summary": lambda i: _summary(i, i.results()),

@@ -113,11 +113,19 @@ def arriving_files(files: DataFrame, max_bytes: int = fixed.MAX_BYTES) -> DataFr
 # ---- over the given tables -------------------------------------------------------
 
 
+def _given_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a stream; a few large files are spread over the cores."""
+    stream = document_stream(spark, sf_dir)
+    splits = spark.read.schema(DOCUMENTS).parquet(f"{sf_dir}/documents.parquet").rdd.getNumPartitions()
+    cores = spark.sparkContext.defaultParallelism
+    return stream.repartition(cores, "doc_id") if splits < cores else stream
+
+
 def stream_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..plans.views import view_over
 
     prepare(spark)
-    reports = view_over(spark, sf_dir, "reports", {"documents": document_stream(spark, sf_dir)})
+    reports = view_over(spark, sf_dir, "reports", {"documents": _given_documents(spark, sf_dir)})
     blank = F.when(F.col("status") == "ok", F.col("report")).otherwise("")
     return drain_totals(severity_totals(reports.withColumn("report", blank)))
 
@@ -126,5 +134,5 @@ def stream_corpus(spark: SparkSession, sf_dir: str, max_bytes: int) -> DataFrame
     from ..plans.views import view_over
 
     prepare(spark)
-    files = view_over(spark, sf_dir, "source_files", {"documents": document_stream(spark, sf_dir)})
+    files = view_over(spark, sf_dir, "source_files", {"documents": _given_documents(spark, sf_dir)})
     return drain_append(arriving_files(files, max_bytes))
