@@ -79,3 +79,8 @@ def half_up(col: Column, scale: int) -> Column:
 def digest_id(*parts: Column) -> Column:
     """Stable 128-bit key; wide enough to stay unique over any number of runs."""
     return F.md5(F.concat_ws("\x1f", *[p.cast("string") for p in parts]))
+
+
+def run_stamp(ts: Column) -> Column:
+    """The time a run started, as it is written in file names and reports."""
+    return F.date_format(ts, "yyyy-MM-dd_HHmmss")

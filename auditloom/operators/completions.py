@@ -122,6 +122,12 @@ def run_completions(
     return spread.mapInPandas(answer, RESPONSE)
 
 
+def pending_requests(requests: DataFrame, stored: DataFrame) -> DataFrame:
+    """Requests without a stored answer: what a restarted run still has to ask."""
+    answered = stored.filter(F.col("error").isNull()).select("request_id")
+    return requests.join(answered, "request_id", "left_anti")
+
+
 def replay_completions(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """Answer requests from recorded responses."""
     found = requests.select("request_id").join(responses, "request_id", "left")

@@ -19,7 +19,8 @@ from ..session import durable
 from .ranking import join_uneven
 
 # Anchor lengths, longest first: a pattern is looked up by its first n characters.
-ANCHORS = (8, 5, 3, 2, 1)
+# Long anchors keep apart the patterns that share a common prefix.
+ANCHORS = (32, 16, 8, 5, 3, 2, 1)
 # Largest pattern table one task may hold as automata (about 100 bytes per character).
 SMALL_PATTERN_BYTES = 2 * 1024 * 1024
 MATCH = ("run_id", "pattern", "path", "line", "text")

@@ -508,3 +508,28 @@ def file_details(results: DataFrame) -> DataFrame:
     return doc("report", "Scan", ".md", "report").unionByName(
         doc("context", "Context", ".context.md", "context")
     )
+
+
+# ---- nested forms, for export only ----------------------------------------------
+
+
+def nested_results(results: DataFrame, findings: DataFrame) -> DataFrame:
+    """Files with their findings as an array; a report bounds its length."""
+    item = F.struct("pos", "severity", "title", "function", "description", "body")
+    per_file = findings.groupBy("run_id", "file_id").agg(
+        F.array_sort(F.collect_list(item)).alias("findings")
+    )
+    counts = F.create_map(*[x for s in fixed.SEVERITIES for x in (F.lit(s), F.col(s))])
+    kept = [c for c in results.columns if c not in fixed.SEVERITIES]
+    return results.join(per_file, ["run_id", "file_id"], "left").select(
+        *kept, counts.alias("severities"), "findings"
+    )
+
+
+def nested_triage(triage: DataFrame, rounds: DataFrame) -> DataFrame:
+    """Decisions with all their rounds as an array, in order."""
+    names = [c for c in ("round_no", "verdict", "reasoning", "grep_used", "evidence") if c in rounds.columns]
+    per_finding = rounds.groupBy("run_id", "finding_id").agg(
+        F.array_sort(F.collect_list(F.struct(*names))).alias("all_rounds")
+    )
+    return triage.join(per_finding, ["run_id", "finding_id"], "left")

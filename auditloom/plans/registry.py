@@ -233,7 +233,7 @@ def _summary(i: Inputs, results: DataFrame) -> DataFrame:
 
 def _markdown(i: Inputs) -> DataFrame:
     results = i.once("results")
-    failing = durable(rep.gate_validated(i.triage()))
+    failing = durable(rep.gate_validated(i.once("triage_full")))
     return rep.markdown_table(
         _summary(i, results), rep.file_ranking(results), failing, "Scan results", MODEL
     )
@@ -252,10 +252,19 @@ def _write_run(i: Inputs) -> DataFrame:
     """Write every format, then read back what was written: format and rows per run."""
     out = f"{scratch_dir(i.spark)}/write-run-{uuid.uuid4().hex}"
     triage = i.once("triage_full")
-    sarif = rep.sarif_log(rep.sarif_results(i.findings(), triage), "auditloom")
+    findings = i.once("findings")
+    sarif = rep.sarif_log(rep.sarif_results(findings, triage), "auditloom")
     documents = rep.file_details(i.file_texts())
     results = i.once("results")
-    sinks.write_run(out, _summary(i, results), results, triage, _markdown(i), documents, sarif)
+    sinks.write_run(
+        out,
+        _summary(i, results),
+        rep.nested_results(results, findings),
+        rep.nested_triage(triage, i.rounds),
+        _markdown(i),
+        documents,
+        sarif,
+    )
     parts = []
     for name, kind in (
         ("summary", "json"), ("results", "json"), ("triage", "json"),

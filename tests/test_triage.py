@@ -165,3 +165,9 @@ def test_decoding(spark):
         ("why", 3, None), (None, None, "invalid response"), (None, None, 'api error: {"code":1}'),
         (None, None, "api response contained no choices"), (None, None, "invalid response"), ("a", 0, None),
     ]
+
+
+def test_pending_requests(spark):
+    asked = spark.createDataFrame([("a",), ("b",), ("c",)], "request_id string")
+    stored = spark.createDataFrame([("a", None), ("b", "api 500")], "request_id string, error string")
+    assert sorted(r.request_id for r in comp.pending_requests(asked, stored).collect()) == ["b", "c"]
