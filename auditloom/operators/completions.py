@@ -59,9 +59,7 @@ def _request(
 
 def context_requests(files: DataFrame, system: str, model: str) -> DataFrame:
     """File → two messages: instructions, then name and fenced content."""
-    user = F.concat(
-        F.lit("File: "), "display_name", F.lit("\n\n```\n"), "content", F.lit("\n```")
-    )
+    user = F.format_string(fixed.FILE_MESSAGE, "display_name", "content")
     return _request(
         files, ["run_id", "file_id"], "context", model, _messages(("system", F.lit(system)), ("user", user))
     )

@@ -166,7 +166,7 @@ def with_skip_reason(
         F.octet_length("content").alias("chars"),
         F.when(kind.isin("unreadable", "symlink", "directory"), kind)
         .when(~_ext(F.col("path")).isin(*extensions), "extension")
-        .when(size > limit, F.format_string("too large (%d bytes)", size.cast("long")))
+        .when(size > limit, F.format_string(fixed.TOO_LARGE, size.cast("long")))
         .when(F.col("content").isNull(), "unreadable")
         .when(_has_nul(files), "binary")
         .alias("reason"),

@@ -233,12 +233,10 @@ def pattern_blocks(patterns: DataFrame, top: DataFrame) -> DataFrame:
         .select(
             "run_id",
             "pattern",
-            F.concat(
-                F.lit("GREP `"),
-                F.col("pattern"),
-                F.lit("`:\n```\n"),
+            F.format_string(
+                fixed.EVIDENCE_BLOCK,
+                "pattern",
                 F.coalesce(F.array_join(F.col("_lines.shown"), "\n"), F.lit(fixed.NO_MATCHES)),
-                F.lit("\n```"),
             ).alias("block"),
         )
     )

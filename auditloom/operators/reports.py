@@ -225,8 +225,8 @@ def sarif_log(results: DataFrame, tool: str, shard_size: int = 5000) -> DataFram
     driver = F.struct(F.lit(tool).alias("name"), rules.alias("rules"))
     run = F.struct(F.struct(driver.alias("driver")).alias("tool"), F.col("results"))
     log = F.struct(
-        F.lit("2.1.0").alias("version"),
-        F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"),
+        F.lit(fixed.SARIF_VERSION).alias("version"),
+        F.lit(fixed.SARIF_SCHEMA).alias("$schema"),
         F.array(run).alias("runs"),
     )
     return grouped.select("run_id", "shard", "n_results", F.to_json(log).alias("sarif"))
@@ -313,7 +313,9 @@ def scan_errors(results: DataFrame) -> DataFrame:
     return results.filter(F.col("status") == "error").select(
         "run_id",
         "display_name",
-        F.concat(F.lit("- `"), "display_name", F.lit("`: "), truncate_text(shown, fixed.ERROR_CHARS)).alias("line"),
+        F.format_string(
+            fixed.ERROR_LINE, "display_name", truncate_text(shown, fixed.ERROR_CHARS)
+        ).alias("line"),
     )
 
 
@@ -332,14 +334,11 @@ def markdown_table(
         F.lit(f"# {title}"),
         F.lit(""),
         F.lit(f"- **Model**: `{model}`"),
-        F.format_string("- **Files scanned**: `%d`", "files_scanned"),
-        F.format_string("- **Files skipped**: `%d`", "files_skipped"),
-        F.when(F.col("_fails"), "- **CI result**: failed policy threshold").otherwise(
-            "- **CI result**: passed policy threshold"
-        ),
+        F.format_string(fixed.FILES_SCANNED, "files_scanned"),
+        F.format_string(fixed.FILES_SKIPPED, "files_skipped"),
+        F.when(F.col("_fails"), fixed.RESULT_FAILED).otherwise(fixed.RESULT_PASSED),
         F.lit(""),
-        F.lit("| File | Lines | Critical | High | Medium | Low | Status |"),
-        F.lit("|------|-------|----------|------|--------|-----|--------|"),
+        *[F.lit(line) for line in fixed.TABLE_HEAD],
     )
     heading = head.select("run_id", F.posexplode(lines).alias("p", "line")).select(
         "run_id", F.lit(1).alias("section"), (F.col("p") + 1).cast("long").alias("position"), "line"
@@ -349,7 +348,7 @@ def markdown_table(
         F.lit(2).alias("section"),
         "position",
         F.format_string(
-            "| %s | %d | %d | %d | %d | %d | %s |",
+            fixed.TABLE_ROW,
             table_cell(F.col("display_name")),
             "lines",
             *fixed.SEVERITIES[:4],
@@ -366,7 +365,7 @@ def markdown_table(
         F.lit(3).alias("section"),
         "position",
         F.format_string(
-            "- `%s`: **%s** %s - %s", "file", "severity", _percent(F.col("confidence")), "title"
+            fixed.POLICY_LINE, "file", "severity", _percent(F.col("confidence")), "title"
         ).alias("line"),
     )
     return heading.unionByName(files).unionByName(policy)
@@ -394,14 +393,14 @@ def artifact_numbers(ordered: DataFrame, survivors_numbered: DataFrame) -> DataF
         "finding_id",
         F.lit("triage").alias("kind"),
         F.format_string(
-            "T%04d_%s_%s.md", "position", safe_name(F.col("file")), safe_name(F.col("title"))
+            fixed.TRIAGE_NAME, "position", safe_name(F.col("file")), safe_name(F.col("title"))
         ).alias("name"),
     )
     valid = survivors_numbered.select(
         "run_id",
         "finding_id",
         F.lit("finding").alias("kind"),
-        F.format_string("VULN-%03d_%s.md", "position", safe_name(F.col("file"))).alias("name"),
+        F.format_string(fixed.FINDING_NAME, "position", safe_name(F.col("file"))).alias("name"),
     )
     return triaged.unionByName(valid)
 
@@ -424,12 +423,10 @@ def severity_rollup(findings: DataFrame) -> DataFrame:
 def triage_details(ordered: DataFrame, rounds: DataFrame) -> DataFrame:
     """One document per triaged finding with all its rounds and their evidence."""
     section = F.concat(
-        F.format_string("### Round %d: %s\n\n", "round_no", "verdict"),
-        F.col("reasoning"),
-        F.lit("\n\n"),
+        F.format_string(fixed.TRIAGE_ROUND, "round_no", "verdict", "reasoning"),
         F.when(
             F.coalesce("evidence", F.lit("")) != "",
-            F.concat(F.lit("#### Grep results\n\n"), "evidence", F.lit("\n\n")),
+            F.format_string(fixed.TRIAGE_EVIDENCE, "evidence"),
         ).otherwise(""),
     )
     # bounded by the rounds setting
@@ -440,18 +437,20 @@ def triage_details(ordered: DataFrame, rounds: DataFrame) -> DataFrame:
     )
     joined = ordered.join(told, ["run_id", "finding_id"], "left")
     text = F.concat(
-        F.format_string("# Triage T%04d: %s\n\n", "position", "title"),
-        F.format_string("- **File**: `%s`\n- **Verdict**: `%s`\n", "file", "verdict"),
         F.format_string(
-            "- **Confidence**: `%s [%s]`\n\n", _percent(F.col("confidence")), "verdicts"
+            fixed.TRIAGE_DOC,
+            "position",
+            "title",
+            "file",
+            "verdict",
+            _percent(F.col("confidence")),
+            "verdicts",
+            "description",
         ),
-        F.lit("## Finding\n\n"),
-        F.col("description"),
-        F.lit("\n\n## Triage rounds\n\n"),
         F.coalesce("_rounds", F.lit("")),
     )
     name = F.format_string(
-        "T%04d_%s_%s.md", "position", safe_name(F.col("file")), safe_name(F.col("title"))
+        fixed.TRIAGE_NAME, "position", safe_name(F.col("file")), safe_name(F.col("title"))
     )
     return joined.select(
         "run_id", F.lit("triage").alias("kind"), name.alias("name"), "position", text.alias("text")
@@ -461,26 +460,24 @@ def triage_details(ordered: DataFrame, rounds: DataFrame) -> DataFrame:
 def survivor_details(numbered_survivors: DataFrame, stamp: str) -> DataFrame:
     """One document per survivor, and the run's overview as one row per survivor."""
     share = _percent(F.col("confidence"))
-    text = F.concat(
-        F.format_string("# VULN-%03d: %s\n\n", "position", "title"),
-        F.format_string("- **File**: `%s`\n- **Severity**: `%s`\n", "file", "severity"),
-        F.format_string("- **Confidence**: `%s [%s]`\n", share, "verdicts"),
-        F.lit(f"- **Date**: `{stamp}`\n\n## Scanner finding\n\n"),
-        F.col("description"),
-        F.lit("\n\n## Triage reasoning\n\n"),
-        F.col("reasoning"),
-        F.lit("\n"),
-    )
-    name = F.format_string("VULN-%03d_%s.md", "position", safe_name(F.col("file")))
+    text = F.format_string(
+        fixed.FINDING_DOC,
+        "position",
+        "title",
+        "file",
+        "severity",
+        share,
+        "verdicts",
+        F.lit(stamp),
+        "description",
+        "reasoning",
+    )
+    name = F.format_string(fixed.FINDING_NAME, "position", safe_name(F.col("file")))
     single = numbered_survivors.select(
         "run_id", F.lit("finding").alias("kind"), name.alias("name"), "position", text.alias("text")
     )
-    part = F.concat(
-        F.format_string("## %s: %s\n\n", "file", "title"),
-        F.format_string("- **Severity**: `%s`\n", "severity"),
-        F.format_string("- **Confidence**: `%s [%s]`\n\n", share, "verdicts"),
-        F.col("reasoning"),
-        F.lit("\n\n---\n\n"),
+    part = F.format_string(
+        fixed.SURVIVOR_PART, "file", "title", "severity", share, "verdicts", "reasoning"
     )
     overview = numbered_survivors.select(
         "run_id",
@@ -502,7 +499,7 @@ def file_details(results: DataFrame) -> DataFrame:
             F.lit(kind).alias("kind"),
             F.concat("slug", F.lit(suffix)).alias("name"),
             F.lit(1).cast("long").alias("position"),
-            F.concat(F.lit(f"# {title}: "), "display_name", F.lit("\n\n"), column).alias("text"),
+            F.format_string(fixed.FILE_DOC, F.lit(title), "display_name", column).alias("text"),
         )
 
     return doc("report", "Scan", ".md", "report").unionByName(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.json_values import is_object, string_field, with_json
-from ..functions.severity import at_or_above, verdict_letter
+from ..functions.severity import at_or_above, one_of, verdict_letter
 from ..functions.text import byte_prefix, half_up, trimmed
 from .evidence import condense_evidence
 from .ranking import numbered
@@ -20,9 +20,14 @@ FINDING = ["run_id", "finding_id"]
 
 
 def triage_candidates(
-    findings: DataFrame, scan_results: DataFrame, threshold: str = "medium"
+    findings: DataFrame,
+    scan_results: DataFrame,
+    threshold: str = "medium",
+    mode: str = "enabled",
 ) -> DataFrame:
-    """Findings of ``ok`` files at or above the threshold."""
+    """Findings of ``ok`` files at or above the threshold; none when triage is off."""
+    if one_of(mode, ("enabled", "disabled"), "triage mode") == "disabled":
+        return findings.limit(0)
     ok = scan_results.filter(F.col("status") == "ok").select("run_id", "file_id")
     return findings.filter(at_or_above(F.col("severity"), threshold)).join(
         ok, ["run_id", "file_id"], "left_semi"
@@ -30,7 +35,7 @@ def triage_candidates(
 
 
 def finding_text(severity: Column, title: Column, body: Column) -> Column:
-    return F.concat(F.lit("["), F.upper(severity), F.lit("] "), title, F.lit("\n\n"), body)
+    return F.format_string(fixed.FINDING_TEXT, F.upper(severity), title, body)
 
 
 def finding_body(body: Column, description: Column, payload: Column) -> Column:
@@ -62,12 +67,10 @@ def round_prompts(
     prior = reviews.withColumn("prior", F.collect_list(F.struct("full", "short")).over(before))
     listed = F.transform(
         "prior",
-        lambda r, i: F.concat(
-            F.lit("**Reviewer "),
-            (i + 1).cast("string"),
-            F.lit("**:\n"),
+        lambda r, i: F.format_string(
+            fixed.REVIEW_PART,
+            i + 1,
             F.when(i < F.size("prior") - 1, r["short"]).otherwise(r["full"]),
-            F.lit("\n\n"),
         ),
     )
     context = F.coalesce("context", F.lit(""))
@@ -81,10 +84,7 @@ def round_prompts(
         ),
         F.when(
             context != "",
-            F.concat(
-                F.lit("\n\n**Security context for this file:**\n"),
-                byte_prefix(context, fixed.MAX_CONTEXT_BYTES),
-            ),
+            F.format_string(fixed.CONTEXT_PART, byte_prefix(context, fixed.MAX_CONTEXT_BYTES)),
         ).otherwise(""),
         F.when(
             F.size("prior") > 0,
@@ -174,12 +174,12 @@ def arbiter_requests(
     invalid counts, file and code, in this order.
     """
     extract = F.concat(
-        F.lit("Round "),
-        F.col("round_no").cast("string"),
-        F.lit(" ("),
-        F.col("verdict"),
-        F.lit("): "),
-        byte_prefix(F.col("reasoning"), fixed.MAX_EXTRACT_BYTES),
+        F.format_string(
+            fixed.ROUND_EXTRACT,
+            "round_no",
+            "verdict",
+            byte_prefix(F.col("reasoning"), fixed.MAX_EXTRACT_BYTES),
+        ),
         F.when(
             F.coalesce("evidence", F.lit("")) != "", F.concat(F.lit("\n"), "evidence")
         ).otherwise(""),
