@@ -343,6 +343,9 @@ FROM runs r JOIN totals t ON r.run_id = t.run_id LEFT JOIN (
 SELECT run_id, severity, title, description, body, display_name AS uri, 'raw' AS source, CAST(NULL AS DOUBLE) AS confidence FROM findings
 UNION ALL SELECT run_id, severity, title, description, body, file, 'validated', CASE WHEN confidence > 0 THEN confidence END
 FROM triage WHERE verdict = 'VALID'""",
+    "sarif_flat": """SELECT run_id, severity AS rule_id, CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning'
+    WHEN severity IN ('low', 'informational') THEN 'note' ELSE 'none' END AS level,
+  title || coalesce(': ' || coalesce(nullif(description, ''), nullif(body, '')), '') AS message, uri, 1 AS start_line, source, confidence FROM sarif_rows""",
     "kept_valid": "SELECT * FROM survivors WHERE confidence >= 0.75",
     "valid_ranked": "SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY confidence DESC, file, finding_id)::INTEGER AS rn, count(*) OVER (PARTITION BY run_id) AS n FROM kept_valid",
     "raw_left": """
@@ -384,6 +387,14 @@ FROM round_responses""",
 SELECT r.*, e.ts AS done_at FROM results r LEFT JOIN events e ON e.event_id = r.file_id""",
 }
 
+_RULES = ",".join(
+    f'{{"id":"{s}","name":"{s}","shortDescription":{{"text":"auditloom {s} finding"}}}}'
+    for s in fixed.SEVERITIES
+)
+_LOG_HEAD = (
+    f'{{"version":"{fixed.SARIF_VERSION}","$schema":"{fixed.SARIF_SCHEMA}","runs":[{{"tool":{{"driver":'
+    f'{{"name":"auditloom","rules":[{_RULES}]}}}},"results":['
+)
 _PAGE_HEAD = [
     "'# Scan results'", "''", f"'- **Model**: `{MODEL}`'",
     "'- **Files scanned**: `' || CAST(files_scanned AS VARCHAR) || '`'",
@@ -398,6 +409,16 @@ def _cell(x: str) -> str:
     return trim(f"replace(replace({x}, chr(10), ' '), '|', chr(92) || '|')")
 
 
+STEPS["pages_out"] = "\nUNION ALL ".join(
+    [f"SELECT run_id, 1 AS section, {i + 1}::BIGINT AS position, {x} AS line FROM summary" for i, x in enumerate(_PAGE_HEAD)]
+    + [
+        f"""SELECT run_id, 2, position, '| ' || {_cell('display_name')} || ' | ' || lines || ' | ' || critical || ' | ' || high || ' | '
+  || medium || ' | ' || low || ' | ' || {_cell('status')} || ' |' FROM ranked""",
+        f"""SELECT run_id, 3, row_number() OVER (PARTITION BY run_id ORDER BY confidence DESC, file, finding_id),
+  '- `' || file || '`: **' || severity || '** ' || {percent('confidence')} || ' - ' || title FROM failing""",
+    ]
+)
+
 QUERIES = {
     "corpus_scan": "SELECT run_id, path, strlen(content)::INTEGER AS length, sha256(content) AS digest FROM source_files",
     "prune_dirs": f"SELECT run_id, path, strlen(content)::INTEGER AS chars FROM source_files WHERE NOT {DIRS}",
@@ -505,9 +526,19 @@ FROM survivors WHERE confidence >= 0.5""",
   CASE WHEN error_files > 0 THEN 2 WHEN failures > 0 THEN 1 ELSE 0 END AS exit_code FROM (
   SELECT r.run_id, (SELECT count(*) FROM reports p WHERE p.run_id = r.run_id AND p.status = 'error') AS error_files,
     (SELECT count(*) FROM failing f WHERE f.run_id = r.run_id) AS failures FROM runs r)""",
-    "sarif_results": """SELECT run_id, severity AS rule_id, CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning'
-    WHEN severity IN ('low', 'informational') THEN 'note' ELSE 'none' END AS level,
-  title || coalesce(': ' || coalesce(nullif(description, ''), nullif(body, '')), '') AS message, uri, 1 AS start_line, source, confidence FROM sarif_rows""",
+    "sarif_results": "SELECT * FROM sarif_flat",
+    "sarif_log": f"""SELECT run_id, shard, count(*) AS n_results, {lit(_LOG_HEAD)} || string_agg(item, ',' ORDER BY n) || ']}}]}}' AS sarif FROM (
+  SELECT *, CAST((n - 1) // 5000 AS INTEGER) AS shard FROM (
+    SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY source, uri, rule_id, message, confidence) AS n,
+      '{{"ruleId":"' || rule_id || '","level":"' || level || '","message":{{"text":' || CAST(to_json(message) AS VARCHAR)
+      || '}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":' || CAST(to_json(uri) AS VARCHAR)
+      || '}},"region":{{"startLine":1}}}}}}],"properties":{{"source":"' || source || '"'
+      || coalesce(',"confidence":' || CAST(confidence AS VARCHAR), '') || '}}}}' AS item FROM sarif_flat)) GROUP BY run_id, shard""",
+    "write_run": f"""SELECT output, run_id, count(*) AS n_rows FROM (
+  SELECT 'summary' AS output, run_id FROM summary UNION ALL SELECT 'results', run_id FROM results WHERE status = 'ok'
+  UNION ALL SELECT 'triage', run_id FROM triage UNION ALL SELECT 'pages', run_id FROM pages_out
+  UNION ALL SELECT 'documents', run_id FROM reports WHERE status = 'ok' UNION ALL SELECT 'documents', run_id FROM reports WHERE status = 'ok'
+  UNION ALL SELECT DISTINCT 'sarif', run_id FROM sarif_flat) GROUP BY output, run_id""",
     "comment_topk": f"""SELECT run_id, 'validated' AS section, rn, file, title, severity,
   {shorten(f"CASE WHEN {trim('description')} <> '' THEN description ELSE body END", 1200)} AS body, greatest(n - 20, 0) AS omitted FROM valid_ranked WHERE rn <= 20
 UNION ALL SELECT run_id, 'raw', rn, display_name, title, severity,
@@ -518,15 +549,7 @@ UNION ALL SELECT run_id, 'raw', rn, display_name, title, severity,
     (SELECT count(*) FROM triage t WHERE t.run_id = r.run_id) AS n_triaged,
     (SELECT count(*) FROM findings t WHERE t.run_id = r.run_id) AS n_raw,
     (SELECT count(*) FROM reports t WHERE t.run_id = r.run_id AND t.status = 'error') AS n_errors FROM runs r)""",
-    "markdown_table": "\nUNION ALL ".join(
-        [f"SELECT run_id, 1 AS section, {i + 1}::BIGINT AS position, {x} AS line FROM summary" for i, x in enumerate(_PAGE_HEAD)]
-        + [
-            f"""SELECT run_id, 2, position, '| ' || {_cell('display_name')} || ' | ' || lines || ' | ' || critical || ' | ' || high || ' | '
-  || medium || ' | ' || low || ' | ' || {_cell('status')} || ' |' FROM ranked""",
-            f"""SELECT run_id, 3, row_number() OVER (PARTITION BY run_id ORDER BY confidence DESC, file, finding_id),
-  '- `' || file || '`: **' || severity || '** ' || {percent('confidence')} || ' - ' || title FROM failing""",
-        ]
-    ),
+    "markdown_table": "SELECT * FROM pages_out",
     "truncate_text": f"""SELECT doc_id, {shorten('text', 1200)} AS body, {shorten('text', 1800)} AS reasoning, {shorten('text', 500)} AS error FROM documents""",
     "safe_names": f"""SELECT run_id, file_id, slug, count(*) OVER (PARTITION BY run_id, slug) AS n_same,
   count(*) OVER (PARTITION BY run_id, slug) > 1 AS collides FROM (
