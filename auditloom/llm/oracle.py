@@ -5,6 +5,28 @@ from __future__ import annotations
 from . import license_scan as lic
 from . import line_frequency as lf
 
+_TOKENS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+SUBSTRING_DEDUP = rf"""
+WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS words
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+gone AS (
+  SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY words) AS lowest FROM windows) WHERE lowest < doc_id),
+covered AS (SELECT doc_id, list(DISTINCT i + k) AS places FROM gone, (SELECT unnest(range(13)) AS k) GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, w, coalesce(places, []) AS places FROM d LEFT JOIN covered USING (doc_id)),
+marked AS (
+  SELECT doc_id, i, x, c.doc_id IS NOT NULL AS out
+  FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d)
+  LEFT JOIN (SELECT doc_id, unnest(places) AS i FROM covered) c USING (doc_id, i)),
+texts AS (SELECT doc_id, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (NOT out), '') AS t FROM marked GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM kept LEFT JOIN texts USING (doc_id)
+"""
+
 LINE_FREQUENCY = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host, md5(coalesce(text, '')) AS digest,
@@ -84,4 +106,8 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_frequency": LINE_FREQUENCY, "op9_license_scan": LICENSE_SCAN}
+    return {
+        "op1_substring_dedup": SUBSTRING_DEDUP,
+        "op5_line_frequency": LINE_FREQUENCY,
+        "op9_license_scan": LICENSE_SCAN,
+    }

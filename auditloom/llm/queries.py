@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_frequency
+from . import license_scan, line_frequency, substring_dedup
 from .common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs).select(
+        "doc_id",
+        F.col("_n_words").alias("n_words"),
+        F.col("_n_removed").alias("n_removed"),
+        F.sha2("text", 256).alias("kept_sha256"),
+    )
+
+
 def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = line_frequency.rate(table(spark, sf_dir, "documents"))
     return rated.select(
@@ -23,7 +33,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op5_line_frequency, op9_license_scan]
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
+    op1_substring_dedup,
+    op5_line_frequency,
+    op9_license_scan,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
