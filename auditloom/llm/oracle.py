@@ -27,6 +27,24 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS
 FROM kept LEFT JOIN texts USING (doc_id)
 """
 
+MINHASH = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS x
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+best AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, component_id = d.doc_id AS kept
+FROM d JOIN best USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
 LINE_FREQUENCY = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host, md5(coalesce(text, '')) AS digest,
@@ -108,6 +126,7 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": SUBSTRING_DEDUP,
+        "op4_minhash": MINHASH,
         "op5_line_frequency": LINE_FREQUENCY,
         "op9_license_scan": LICENSE_SCAN,
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_frequency, substring_dedup
+from . import license_scan, line_frequency, minhash, substring_dedup
 from .common import table
 
 
@@ -21,6 +21,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.groups(docs, threshold_pct=85).withColumnRenamed("id", "doc_id")
+
+
 def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = line_frequency.rate(table(spark, sf_dir, "documents"))
     return rated.select(
@@ -35,6 +40,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_substring_dedup,
+    op4_minhash,
     op5_line_frequency,
     op9_license_scan,
 ]
