@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_frequency, minhash, substring_dedup
+from . import language_id, license_scan, line_frequency, minhash, packing, substring_dedup
 from .common import table
 
 
@@ -21,6 +22,24 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select(
+        F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens", "sequence_id", "offset",
+    )
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learned = language_id.train(docs.filter(~language_id.held_out()))
+    predicted = docs.select(
+        "doc_id", language_id.held_out().alias("held_out"), language_id.predictor(*learned)("text").alias("p")
+    )
+    return predicted.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score")
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return minhash.groups(docs, threshold_pct=85).withColumnRenamed("id", "doc_id")
@@ -40,6 +59,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_substring_dedup,
+    op2_packing,
+    op3_language_id,
     op4_minhash,
     op5_line_frequency,
     op9_license_scan,
