@@ -14,6 +14,7 @@ from ..session import prepare, scratch_dir
 
 #: The characters that part words: space, tab, line feed, vertical tab, form feed, return.
 BLANKS = "[\\x20\\x09-\\x0D]"
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows in one Arrow batch: bounds what a Python task holds at once.
 ARROW_ROWS = 1000
 
@@ -31,10 +32,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Cut lineage: write to the shared checkpoint folder as Parquet and read back."""
+    """Cut lineage: write to the shared checkpoint folder as Parquet and read back.
+
+    What the write has shuffled is of no more use and is removed with its end.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import WordHashes, ready, rolled, texts
+from .common import WordHashes, ready, rolled, stored, texts
 
 #: A difference cover: every residue of the period is a difference of two of these.
 PERIOD = 7
@@ -42,10 +42,10 @@ WINDOW = 13
 NO_ID = np.iinfo(np.int64).max
 
 
-def _batch(batch: pa.RecordBatch, known: WordHashes):
-    """The documents of a batch with words: (id, words, hash lanes, other columns' index)."""
+def _batch(batch: pa.RecordBatch, known: WordHashes, text_at: int = 1):
+    """The documents of a batch, ids in its first column: (row, id, words, hash lanes)."""
     ids = batch.column(0).to_pylist()
-    for i, text in enumerate(texts(batch.column(1))):
+    for i, text in enumerate(texts(batch.column(text_at))):
         words = text.split()
         yield i, ids[i], words, known.lanes(words)
 
@@ -97,15 +97,15 @@ def _anchor_rows(size: int):
     return rows
 
 
-def _window_rows(window: int):
+def _window_rows(window: int, text_at: int, shared_at: int):
     size = window - PERIOD + 1
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            shared = batch.column(2)
+            shared = batch.column(shared_at)
             ones, twos, owners = [], [], []
-            for i, doc, words, lanes in _batch(batch, known):
+            for i, doc, words, lanes in _batch(batch, known, text_at):
                 if len(words) < window:
                     continue
                 places = _cover(len(words) - size + 1)
@@ -188,21 +188,25 @@ def remove_repeats(
     size = window - PERIOD + 1
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID)))
     keyed = docs.withColumn("_sd_id", key)
-    plain = keyed.select("_sd_id", text_col)
+    text_at = docs.columns.index(text_col)
 
-    anchors = plain.mapInArrow(_anchor_rows(size), "anchor long, salt long, id long, many boolean")
+    anchors = keyed.select("_sd_id", text_col).mapInArrow(_anchor_rows(size), "anchor long, salt long, id long, many boolean")
     by_anchor = Window.partitionBy("anchor", "salt")
-    shared = (
+    shared = stored(
         anchors.withColumn("lo", F.min("id").over(by_anchor))
         .withColumn("hi", F.max("id").over(by_anchor))
         .filter(F.col("many") | (F.col("lo") < F.col("hi")))
         .groupBy(F.col("id").alias("_sd_id"))
         .agg(F.collect_list("anchor").alias("_sd_anchors"))
     )
+    # with all columns, as in the last join, so that both read one shuffle of the documents
     windows = (
-        plain.join(shared, "_sd_id")
-        .select("_sd_id", text_col, "_sd_anchors")
-        .mapInArrow(_window_rows(window), "one long, two long, salt long, id long, gone boolean")
+        keyed.join(shared, "_sd_id")
+        .select("_sd_id", *docs.columns, "_sd_anchors")
+        .mapInArrow(
+            _window_rows(window, text_at + 1, len(docs.columns) + 1),
+            "one long, two long, salt long, id long, gone boolean",
+        )
     )
     by_window = Window.partitionBy("one", "two", "salt")
     gone = (
@@ -220,5 +224,5 @@ def remove_repeats(
     ]
     schema = T.StructType(fields)
     arrow = to_arrow_schema(schema)
-    cut = _cut_rows(window, docs.columns.index(text_col), len(docs.columns), arrow)
+    cut = _cut_rows(window, text_at, len(docs.columns), arrow)
     return joined.mapInArrow(cut, schema)
