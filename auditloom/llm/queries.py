@@ -8,8 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, line_frequency, minhash, packing, substring_dedup
-from .common import table
+from . import (
+    bpe,
+    html_text,
+    language_id,
+    license_scan,
+    line_frequency,
+    minhash,
+    packing,
+    phrase_prints,
+    substring_dedup,
+    warc,
+)
+from .common import stored, table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,17 +64,52 @@ def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", "url", html_text.extract("html").alias("text"))
+
+
+def op7_phrase_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_prints.compare_with_next(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = stored(warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    return warc.read_archives(archives).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to_page").alias("refers_to"), "error",
+    )
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    shared = packing.shared_file(docs, public_tokenizers.path("word_bpe_49k.json"))
+    both = docs.select("doc_id", bpe.encoder(shared)("text").alias("ids")).withColumn(
+        "decoded", bpe.decoder(shared)("ids")
+    )
+    return both.select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_substring_dedup,
     op2_packing,
     op3_language_id,
     op4_minhash,
     op5_line_frequency,
+    op6_html_text,
+    op7_phrase_prints,
+    op8_warc,
     op9_license_scan,
+    op10_bpe,
 ]
 
 
