@@ -127,8 +127,9 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(np.frombuffer(b"".join(one), np.int64)),
                 pa.array(np.frombuffer(b"".join(two), np.int64)),
                 pa.array(packed, pa.binary()),
+                batch.column(2),
             ],
-            ["id", "n_shingles", "one", "two", "signature"],
+            ["id", "n_shingles", "one", "two", "signature", "row"],
         )
 
 
@@ -278,13 +279,16 @@ def across(buckets: DataFrame, marked: DataFrame, threshold_pct: int) -> DataFra
 def groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold_pct: int = THRESHOLD_PCT
 ) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (smallest id reachable), kept."""
+    """One row per document: id, n_shingles, component_id (smallest id reachable), kept,
+    and row, a hash of its text."""
     ready(docs.sparkSession)
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("id"), F.col(text_col).alias("text")
     )
     sketches = stored(
-        rows.mapInArrow(_sketch_rows, "id long, n_shingles long, one long, two long, signature binary")
+        rows.withColumn("row", F.xxhash64("text")).mapInArrow(
+            _sketch_rows, "id long, n_shingles long, one long, two long, signature binary, row long"
+        )
     )
     # a class: documents of one word sequence
     classes = stored(
@@ -330,7 +334,7 @@ def groups(
     named = classes.join(reached.withColumnRenamed("id", "first"), "first", "left").select(
         "one", "two", F.coalesce("component", "first").alias("component")
     )
-    labelled = sketches.select("id", "n_shingles", "one", "two").join(named, ["one", "two"], "left")
+    labelled = sketches.select("id", "n_shingles", "one", "two", "row").join(named, ["one", "two"], "left")
     top = F.lit(int(NO_ID))
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
     shown = lambda c: F.when(c < top, c)
@@ -339,7 +343,28 @@ def groups(
         "n_shingles",
         shown(component).alias("component_id"),
         (component == F.col("id")).alias("kept"),
+        "row",
+    )
+
+
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold_pct: int = THRESHOLD_PCT
+) -> DataFrame:
+    """The documents of which each group's smallest id stays; same columns.
+
+    Equal rows of a kept id leave one; its rows of another text are documents of their own.
+    """
+    kept = (
+        groups(docs, id_col, text_col, threshold_pct)
+        .filter("kept")
+        .select(F.coalesce("id", F.lit(int(NO_ID))).alias("_mh_id"), F.col("row").alias("_mh_row"))
+        .distinct()
+    )
+    keyed = docs.withColumn("_mh_id", F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID)))).withColumn(
+        "_mh_row", F.xxhash64(text_col)
     )
+    keys = ["_mh_id", "_mh_row"]
+    return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
 def shingle_sets_of(text: str) -> np.ndarray:

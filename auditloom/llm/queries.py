@@ -53,7 +53,8 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return minhash.groups(docs, threshold_pct=85).withColumnRenamed("id", "doc_id")
+    found = minhash.groups(docs, threshold_pct=85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
