@@ -43,6 +43,7 @@ DATE = "2024-01-01T00:00:00Z"
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 VERSION = b"WARC/1.1"
+_NAME = re.compile(rb"[!#$%&'*+.^_`|~0-9A-Za-z-]+")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -79,7 +80,7 @@ def _fields(lines: list[bytes]) -> dict[str, str]:
     found = {}
     for line in lines:
         name, colon, value = line.partition(b":")
-        if not colon or not name or name != name.strip():
+        if not colon or not _NAME.fullmatch(name):
             raise ValueError(f"bad header line {line[:60]!r}")
         found[name.decode().lower()] = value.strip().decode()
     return found
