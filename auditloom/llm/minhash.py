@@ -11,8 +11,9 @@ No group is expanded into all its pairs:
 1. every band bucket compares its members with one pivot, the smallest id;
 2. verified links give components;
 3. only where a bucket still holds several components are members of different
-   components compared, in blocks of bounded size inside tasks that put out nothing but
-   pairs the Bayesian test keeps; those not tried before are verified too.
+   components compared, in blocks of bounded size inside tasks: the Bayesian test finds
+   the members worth a closer look, and with their full sets every pair of these is
+   verified.  A task puts out no more links than connect its components.
 
 So any two candidates end up in one component or are tested.  A true pair is missed with
 the probability that no band agrees, (1 - t^4)^16 < 1e-5 at a similarity t of 0.85, plus
@@ -49,7 +50,7 @@ MISS = 1e-6
 #: Least similarity in per cent.
 THRESHOLD_PCT = 80
 #: Members of a block in the block comparison.
-BLOCK = 512
+BLOCK = 1024
 
 NO_ID = np.iinfo(np.int64).max
 
@@ -146,7 +147,8 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = rolled(minima[:, k * ROWS : (k + 1) * ROWS].T, ROWS)[0]
             with np.errstate(over="ignore"):
                 keys = (keys ^ np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
-            yield pa.record_batch([keys.view(np.int64), ids], ["bucket", "id"])
+            bands = pa.array(np.full(len(ids), k, np.int32))
+            yield pa.record_batch([keys.view(np.int64), bands, ids], ["bucket", "band", "id"])
 
 
 def _tested(threshold_pct: int):
@@ -224,30 +226,98 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _block_rows(threshold_pct: int):
+def _met_before(left: np.ndarray, right: np.ndarray, band: int) -> np.ndarray:
+    """Which pairs of signature rows share a band before this one, so met there already."""
+    same = (left[:, : band * ROWS] == right[:, : band * ROWS]).reshape(len(left), band, ROWS)
+    return same.all(axis=2).any(axis=1)
+
+
+def _candidate_members(threshold_pct: int):
+    """The members of a block with a partner in another component that passes the test."""
     looks = least_matches(threshold_pct)
 
     def rows(frame: pd.DataFrame) -> pd.DataFrame:
         few, all_ = frame[frame.few], frame[~frame.few]
         x, y = (np.frombuffer(b"".join(f.signature), np.uint32).reshape(-1, HASHES) for f in (few, all_))
-        i, j = np.nonzero(few.component.to_numpy()[:, None] != all_.component.to_numpy()[None, :])
-        found = [np.zeros((0, 2), np.int64)]
+        apart = few.component.to_numpy()[:, None] != all_.component.to_numpy()[None, :]
+        agreed = np.zeros(apart.shape, np.int16)
+        for k in range(BATCH):
+            agreed += x[:, k][:, None] == y[:, k][None, :]
+        i, j = np.nonzero(apart & (agreed >= looks[0][1]))
+        chosen = np.zeros(len(few), bool), np.zeros(len(all_), bool)
         for at in range(0, len(i), 65_536):
             a, b = i[at : at + 65_536], j[at : at + 65_536]
             keep = passes(x[a], y[b], looks)
-            found.append(np.stack((few.id.to_numpy()[a[keep]], all_.id.to_numpy()[b[keep]]), axis=1))
-        pairs = np.sort(np.concatenate(found), axis=1)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]}).drop_duplicates()
+            a, b = a[keep], b[keep]
+            keep = ~_met_before(x[a], y[b], int(frame.band.iloc[0]))
+            chosen[0][a[keep]] = chosen[1][b[keep]] = True
+        return pd.concat([few[chosen[0]], all_[chosen[1]]])[["bucket", "x", "y", "few", "id", "component"]]
+
+    return rows
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set."""
+    known, codes = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(v) for v in (*left, *right)])
+    order = np.argsort(codes, kind="stable")
+    codes, owner = codes[order], owner[order]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for at in range(0, len(known), 4096):
+        part = slice(*np.searchsorted(codes, (at, at + 4096)))
+        held = np.zeros((len(left) + len(right), 4096), np.float32)
+        held[owner[part], codes[part] - at] = 1
+        out += (held[: len(left)] @ held[len(left) :].T).astype(np.int64)
+    return out
+
+
+def _block_links(threshold_pct: int):
+    """Verified links between the components of a block, as few as connect them."""
+
+    def rows(frame: pd.DataFrame) -> pd.DataFrame:
+        few, all_ = frame[frame.few], frame[~frame.few]
+        links: list[tuple[int, int]] = []
+        if len(few) and len(all_):
+            x, y = ([np.frombuffer(v, np.uint64) for v in f["set"]] for f in (few, all_))
+            common = _common(x, y)
+            sizes = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None, :]
+            alike = 100 * common >= threshold_pct * (sizes - common)
+            left, right = few.component.to_numpy(), all_.component.to_numpy()
+            alike &= left[:, None] != right[None, :]
+            root: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while (up := root.get(c, c)) != c:
+                    root[c] = c = root.get(up, up)
+                return c
+
+            a, b = few.id.to_numpy(), all_.id.to_numpy()
+            for i, j in np.argwhere(alike):
+                u, v = find(int(left[i])), find(int(right[j]))
+                if u != v:
+                    root[max(u, v)] = min(u, v)
+                    links.append((min(a[i], b[j]), max(a[i], b[j])))
+        return pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
 
     return rows
 
 
-def across(buckets: DataFrame, marked: DataFrame, threshold_pct: int) -> DataFrame:
-    """Pairs within a bucket, but of different components, that pass the Bayesian test.
+def _one_set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = WordHashes()
+    for batch in batches:
+        sets = [shingles(text, known).tobytes() for text in texts(batch.column(1))]
+        yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
-    ``marked``: (id, signature, component).  A bucket's members outside its first
-    component are few in practice and form blocks; each block meets the bucket's members
-    in parts, so a task holds two blocks whatever the size of the bucket.
+
+def across(buckets: DataFrame, marked: DataFrame, docs: DataFrame, threshold_pct: int) -> DataFrame:
+    """Verified links within a bucket between different components.
+
+    ``buckets``: (bucket, band, id); ``marked``: (id, signature, component); ``docs``:
+    (id, text).  A bucket's members outside its first component form blocks, and each of
+    these meets the bucket's members in parts, so a task holds two blocks whatever the
+    size of the bucket.  The first pass compares signatures and puts out the members
+    worth a closer look, each once a block; the second has their full sets and puts out
+    no more links than connect the block's components.
     """
     members = buckets.join(marked.select("id", "component"), "id")
     mixed = (
@@ -263,15 +333,29 @@ def across(buckets: DataFrame, marked: DataFrame, threshold_pct: int) -> DataFra
     spot = F.xxhash64("id")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     few = parts.filter("component <> main").select(
-        "id", "bucket", F.pmod(spot, n_few).cast("int").alias("x"), every(n_all).alias("y"), F.lit(True).alias("few")
+        "id", "bucket", "band", F.pmod(spot, n_few).cast("int").alias("x"), every(n_all).alias("y"), F.lit(True).alias("few")
     )
     all_ = parts.select(
-        "id", "bucket", every(n_few).alias("x"), F.pmod(spot, n_all).cast("int").alias("y"), F.lit(False).alias("few")
+        "id", "bucket", "band", every(n_few).alias("x"), F.pmod(spot, n_all).cast("int").alias("y"), F.lit(False).alias("few")
+    )
+    # the work in a block is not told by its bytes, so the blocks are not put together
+    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = ["bucket", "x", "y"]
+    picked = stored(
+        few.union(all_)
+        .join(marked, "id")
+        .repartition(n_parts, *block)
+        .groupBy(*block)
+        .applyInPandas(
+            _candidate_members(threshold_pct), "bucket long, x int, y int, few boolean, id long, component long"
+        )
     )
-    blocks = few.union(all_).join(marked, "id")
+    sets = docs.join(picked.select("id").distinct(), "id").select("id", "text").mapInArrow(_one_set_rows, "id long, set binary")
     return (
-        blocks.groupBy("bucket", "x", "y")
-        .applyInPandas(_block_rows(threshold_pct), "a long, b long")
+        picked.join(sets, "id")
+        .repartition(n_parts, *block)
+        .groupBy(*block)
+        .applyInPandas(_block_links(threshold_pct), "a long, b long")
         .distinct()
     )
 
@@ -302,7 +386,7 @@ def groups(
         .select("id", "signature")
     )
     chosen = stored(chosen)
-    buckets = chosen.select("id", "signature").mapInArrow(_band_rows, "bucket long, id long").distinct()
+    buckets = chosen.select("id", "signature").mapInArrow(_band_rows, "bucket long, band int, id long").distinct()
     pivots = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a < last")
     shared = stored(buckets.join(pivots.select("bucket", "a"), "bucket"))
 
@@ -314,8 +398,7 @@ def groups(
         .select("a", "b", "signature_a", "signature_b")
         .mapInArrow(_tested(threshold_pct), "a long, b long")
     )
-    tried = stored(survivors.distinct())
-    links = stored(verify(tried, rows, threshold_pct))
+    links = stored(verify(survivors, rows, threshold_pct))
 
     def with_component(found: DataFrame) -> DataFrame:
         return (
@@ -324,12 +407,9 @@ def groups(
         )
 
     reached = components(links)
-    rest = across(shared.select("bucket", "id"), with_component(reached), threshold_pct)
-    fresh = stored(rest.join(tried, ["a", "b"], "left_anti"))
-    if not fresh.isEmpty():
-        more = stored(verify(fresh, rows, threshold_pct))
-        if not more.isEmpty():
-            reached = components(links.union(more))
+    more = stored(across(shared.select("bucket", "band", "id"), with_component(reached), rows, threshold_pct))
+    if not more.isEmpty():
+        reached = components(links.union(more))
 
     named = classes.join(reached.withColumnRenamed("id", "first"), "first", "left").select(
         "one", "two", F.coalesce("component", "first").alias("component")

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from brute import components, shingles, substrings
@@ -64,8 +66,10 @@ def test_groups_like_brute_force(messy):
             assert r.component_id is None and r.kept
 
 
-def test_chain_and_star_of_near_copies(spark):
+@pytest.mark.parametrize("block", [minhash.BLOCK, 4])
+def test_chain_and_star_of_near_copies(spark, monkeypatch, block):
     """A drifting chain joins far ends; members apart from the pivot still find each other."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
     words = prose(99, 200).split()
     rows, text = [], list(words)
     for k in range(30):
@@ -77,6 +81,30 @@ def test_chain_and_star_of_near_copies(spark):
     assert {r.id: r.component_id for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("block", [minhash.BLOCK, 7])
+def test_a_large_group_around_the_threshold(spark, monkeypatch, block):
+    """Copies of one text with edits of their own: some pairs link, some just do not."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng, base = random.Random(12), prose(77, 160).split()
+    rows = []
+    for k in range(90):
+        words = list(base)
+        for at in rng.sample(range(160), rng.choice([1, 2, 3, 4])):
+            words[at] = f"edit{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    want = components(rows, 85)
+    got = minhash.groups(spark.createDataFrame(rows, "doc_id long, text string"), threshold_pct=85)
+    assert {r.id: r.component_id for r in got.collect()} == want
+    assert 1 < len(set(want.values())) < 90
+
+
+def test_common_counts():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 9000, n, dtype=np.uint64)) for n in (5000, 1, 300, 6000)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[1:]] for a in sets[:2]]
+    assert minhash._common(sets[:2], sets[1:]).tolist() == want
+
+
 def test_one_of_each_group_stays(messy):
     kept = minhash.keep_one(messy)
     assert kept.columns == messy.columns
