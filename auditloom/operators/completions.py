@@ -6,7 +6,7 @@ joined back on ``request_id``.  ``run_completions`` is the plug-in point.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -87,34 +87,49 @@ def scan_requests(
 
 def run_completions(
     requests: DataFrame,
-    fn: Callable[[pd.DataFrame], pd.DataFrame],
+    fn: Callable[[pd.DataFrame], pd.DataFrame | Iterable[pd.DataFrame]],
     concurrency: int | None = None,
+    batched: bool = False,
 ) -> DataFrame:
-    """Answer requests with a user function, batch by batch.
+    """Answer requests with a user function; no answered request is asked again.
 
-    ``fn`` takes a batch of requests and returns response rows.  When it raises,
-    the batch is retried row by row and the exception becomes that row's error.
+    ``fn`` takes one request as a frame of one row and returns its response row; an
+    exception becomes that row's error.  With ``batched`` it takes many requests and
+    yields response rows as they come: when it raises, the first request without an
+    answer gets the error and the function goes on with those after it.  A batched
+    function that returns all rows at once and raises leaves the error on all of them.
     ``concurrency`` caps how many batches run at the same time.
     """
     names = [field.split()[0] for field in RESPONSE.split(", ")]
 
-    def failed(row: pd.DataFrame, error: Exception) -> pd.DataFrame:
-        blank = pd.DataFrame(
-            [[row["request_id"].iloc[0], "", 0, 0, 0, 0.0, str(error)]], columns=names
+    def failed(rows: pd.DataFrame, error: Exception) -> pd.DataFrame:
+        return pd.DataFrame(
+            [[i, "", 0, 0, 0, 0.0, str(error)] for i in rows["request_id"]], columns=names
         )
-        return blank
+
+    def ask(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        while len(part):
+            try:
+                found = fn(part)
+            except Exception as error:
+                yield failed(part, error)
+                return
+            try:
+                for frame in [found] if isinstance(found, pd.DataFrame) else found:
+                    yield frame.reindex(columns=names)
+                    part = part[~part["request_id"].isin(frame["request_id"])]
+                return
+            except Exception as error:
+                yield failed(part.iloc[:1], error)
+                part = part.iloc[1:]
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                yield fn(batch).reindex(columns=names)
-            except Exception:
+            if batched:
+                yield from ask(batch)
+            else:
                 for at in range(len(batch)):
-                    row = batch.iloc[at : at + 1]
-                    try:
-                        yield fn(row).reindex(columns=names)
-                    except Exception as error:
-                        yield failed(row, error)
+                    yield from ask(batch.iloc[at : at + 1])
 
     spread = requests if concurrency is None else requests.repartition(concurrency)
     return spread.mapInPandas(answer, RESPONSE)

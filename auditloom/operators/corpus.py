@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -124,7 +124,11 @@ def changed_scope(changed: DataFrame, roots: DataFrame, repo: str) -> DataFrame:
 
 
 def snapshot_diff(head: DataFrame, base: DataFrame) -> DataFrame:
-    """Paths added or modified from base to head; deletes and exact renames excluded."""
+    """Paths added or modified from base to head; deletes and exact renames excluded.
+
+    A deleted file explains one added file of its content, no more: of the added paths
+    of one content the first ones, in order, count as renames, as many as were deleted.
+    """
     new = head.select("run_id", "path", F.sha2("content", 256).alias("digest"))
     old = base.select("run_id", "path", F.sha2("content", 256).alias("digest"))
     before = old.select("run_id", "path", F.col("digest").alias("old_digest"))
@@ -133,12 +137,19 @@ def snapshot_diff(head: DataFrame, base: DataFrame) -> DataFrame:
         .filter(F.col("old_digest").isNull() | (F.col("digest") != F.col("old_digest")))
         .withColumn("change", F.when(F.col("old_digest").isNull(), "A").otherwise("M"))
     )
-    deleted = old.join(new, ["run_id", "path"], "left_anti").select(
-        "run_id", "digest", F.lit("A").alias("change")
-    )
-    return touched.join(deleted, ["run_id", "digest", "change"], "left_anti").select(
-        "run_id", "path", "change"
+    deleted = (
+        old.join(new, ["run_id", "path"], "left_anti")
+        .groupBy("run_id", "digest")
+        .agg(F.count(F.lit(1)).alias("n_deleted"))
+        .withColumn("change", F.lit("A"))
     )
+    # only contents that were deleted somewhere are put in order
+    paired = touched.join(deleted, ["run_id", "digest", "change"])
+    order = Window.partitionBy("run_id", "digest").orderBy("path")
+    left_over = paired.withColumn("rn", F.row_number().over(order)).filter("rn > n_deleted")
+    plain = touched.join(deleted, ["run_id", "digest", "change"], "left_anti")
+    columns = ["run_id", "path", "change"]
+    return plain.select(*columns).unionByName(left_over.select(*columns))
 
 
 def _line_feeds(text: Column) -> Column:

@@ -6,23 +6,17 @@ pattern is a literal substring looked up in every corpus line of its run.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from importlib.util import find_spec
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import byte_prefix, let, trimmed
 from ..session import durable
-from .ranking import join_uneven
 
 # Anchor lengths, longest first: a pattern is looked up by its first n characters.
-# Long anchors keep apart the patterns that share a common prefix.
-ANCHORS = (32, 16, 8, 5, 3, 2, 1)
-# Largest pattern table one task may hold as automata (about 100 bytes per character).
-SMALL_PATTERN_BYTES = 2 * 1024 * 1024
+ANCHORS = (8, 3, 1)
+# Hash values that tell which grams may be anchors: four bytes each, sent to every task.
+BUCKETS = 1 << 18
 MATCH = ("run_id", "pattern", "path", "line", "text")
 
 
@@ -114,90 +108,32 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(let(F.split(text, ""), cut))
 
 
-def _by_automaton(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """One pass over each text for all patterns of its run at once.
+def corpus_search(lines: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Every (pattern, line) of a run where the line holds the pattern literally.
 
-    The pattern table has been measured to be small; every task builds one
-    Aho-Corasick automaton per run it meets.
-    """
-    table: dict[str, list[str]] = {}
-    for run, pattern in wanted.collect():
-        table.setdefault(run, []).append(pattern)
-    shared = lines.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("array<string>")
-    def held(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        import ahocorasick
-
-        machines: dict = {}
-
-        def machine(run):
-            if run not in machines:
-                built = ahocorasick.Automaton() if run in shared.value else None
-                for pattern in shared.value.get(run, ()):
-                    built.add_word(pattern, pattern)
-                if built is not None:
-                    built.make_automaton()
-                machines[run] = built
-            return machines[run]
-
-        for runs, texts in batches:
-            out = []
-            for run, text in zip(runs, texts):
-                finder = machine(run)
-                out.append([] if finder is None else sorted({p for _, p in finder.iter(text)}))
-            yield pd.Series(out)
-
-    return lines.withColumn("pattern", F.explode(held("run_id", "text"))).select(*MATCH)
-
-
-def _by_anchor(lines: DataFrame, wanted: DataFrame, salts: int) -> DataFrame:
-    """Equi-join on (run_id, anchor), then a check.
-
-    A pattern's anchor is its first n characters, a line offers each of its
-    distinct n-grams once, so no pair repeats.  Only anchor lengths that some
-    pattern needs are cut.  Texts stay where they are: places travel, and come back
-    for the check.  A hot anchor is spread over ``salts`` partitions.
+    A pattern's anchor is its first n characters, for the largest n of ``ANCHORS`` it
+    has.  A line offers each of its distinct n-grams once, so no pair repeats.  Grams
+    whose hash is no anchor's are dropped where the text lies, through a table of at
+    most ``BUCKETS`` hash values; what is left is joined with the patterns and checked
+    on the text it carries.  One plan serves any number of patterns.
     """
+    wanted = patterns.select("run_id", "pattern").filter(F.length("pattern") > 0).distinct()
     size = F.lit(ANCHORS[-1])
     for n in reversed(ANCHORS):
         size = F.when(F.length("pattern") >= n, F.lit(n)).otherwise(size)
-    keyed = wanted.select("run_id", "pattern", F.left("pattern", size).alias("anchor"))
-    lengths = keyed.agg(F.array_sort(F.collect_set(F.length("anchor")))).first()[0]
-    grams = F.flatten(F.array(*[_grams(F.col("text"), n) for n in lengths or ANCHORS[-1:]]))
-    salt = F.pmod(F.xxhash64("path", "line"), F.lit(salts)).cast("int")
-    offered = lines.select(
-        "run_id", "path", "line", salt.alias("_salt"), F.explode(grams).alias("anchor")
+    bucket = F.pmod(F.xxhash64("run_id", "anchor"), F.lit(BUCKETS)).cast("int")
+    keyed = wanted.withColumn("anchor", F.left("pattern", size))
+    buckets = keyed.select(bucket.alias("_bucket")).distinct()
+    grams = F.flatten(F.array(*[_grams(F.col("text"), n) for n in ANCHORS]))
+    offered = (
+        lines.select("run_id", "path", "line", "text", F.explode(grams).alias("anchor"))
+        .withColumn("_bucket", bucket)
+        .join(F.broadcast(buckets), "_bucket", "left_semi")  # bounded by BUCKETS
     )
-    spread = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    places = offered.join(spread, ["run_id", "anchor", "_salt"]).select(
-        "run_id", "path", "line", "pattern"
-    )
-    found = places.join(lines, ["run_id", "path", "line"])
+    found = offered.join(keyed, ["run_id", "anchor"])
     return found.filter(F.contains("text", "pattern")).select(*MATCH)
 
 
-def corpus_search(
-    lines: DataFrame,
-    patterns: DataFrame,
-    small_bytes: int = SMALL_PATTERN_BYTES,
-    salts: int = 16,
-) -> DataFrame:
-    """Every (pattern, line) of a run where the line holds the pattern literally.
-
-    The pattern table is measured first.  A small one is shared with all tasks and
-    texts are scanned where they lie, without a shuffle; a large one is joined by
-    anchors.  Both are exact.
-    """
-    wanted = durable(
-        patterns.select("run_id", "pattern").filter(F.length("pattern") > 0).distinct()
-    )
-    total = wanted.agg(F.sum(F.octet_length("pattern") + F.octet_length("run_id"))).first()[0] or 0
-    if total <= small_bytes and find_spec("ahocorasick"):
-        return _by_automaton(lines, wanted)
-    return _by_anchor(lines, wanted, salts)
-
-
 def top_matches(matches: DataFrame, limit: int = fixed.MAX_MATCHES) -> DataFrame:
     """First ``limit`` lines per pattern: definitions, then headers, then by place."""
     order = Window.partitionBy("run_id", "pattern").orderBy(
@@ -248,7 +184,7 @@ def evidence_blocks(
     """Blocks of one review joined in request order: keys, evidence."""
     # at most MAX_PATTERNS blocks per group
     return (
-        join_uneven(requested, blocks, ["run_id", "pattern"])
+        requested.join(blocks, ["run_id", "pattern"])
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("pos", "block"))).alias("_blocks"))
         .select(*keys, F.array_join(F.col("_blocks.block"), "\n\n").alias("evidence"))

@@ -1,4 +1,4 @@
-"""Row numbers, running sums and joins that survive one huge group.
+"""Row numbers and running sums that survive one huge group.
 
 A window partitioned by the group puts the whole group into one task.  Here the
 rows are range-partitioned by (group, order keys) instead, so a hot group is cut
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROWS, durable
+from ..session import durable
 
 
 def _placed(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
@@ -75,36 +75,3 @@ def running_sums(
     return joined.select(
         *keep, *[(F.col(f"_in_{out}") + F.col(f"_before_{out}")).alias(out) for out in sums]
     )
-
-
-def join_uneven(
-    left: DataFrame,
-    right: DataFrame,
-    keys: list[str],
-    hot_rows: int = 1_000_000,
-    salts: int = 64,
-) -> DataFrame:
-    """Inner equi-join where a key may hold a large share of ``left``.
-
-    ``right`` has one row per key.  Keys with more than ``hot_rows`` rows are found
-    first; without any this is a plain join.  Otherwise the rows of hot keys, and
-    only those, are spread over ``salts`` partitions, and their right rows repeated.
-    """
-    hot = durable(
-        left.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
-        .select(*keys, F.lit(True).alias("_hot"))
-        .limit(BROADCAST_ROWS + 1)
-    )
-    n_hot = hot.count()
-    if n_hot == 0 or n_hot > BROADCAST_ROWS:
-        # none, or so many that no single one holds a large share
-        return left.join(right, keys)
-    marked = F.broadcast(hot)  # measured above
-    # a hash of the whole row: the same again when a task is repeated
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
-    many = left.join(marked, keys, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0))
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    one = right.join(marked, keys, "left").withColumn("_salt", F.explode(copies))
-    return many.drop("_hot").join(one.drop("_hot"), [*keys, "_salt"]).drop("_salt")

@@ -28,7 +28,7 @@ from ..functions.severity import (
     unit_interval,
 )
 from ..functions.text import safe_name, table_cell, trimmed, truncate_text
-from .ranking import join_uneven, numbered
+from .ranking import numbered
 
 
 
@@ -378,7 +378,7 @@ def safe_names(files: DataFrame, name: str = "display_name") -> DataFrame:
     """Slug per file and how many files of the run share it."""
     slugged = files.withColumn("slug", safe_name(F.col(name)))
     shared = slugged.groupBy("run_id", "slug").agg(F.count(F.lit(1)).alias("n_same"))
-    return join_uneven(slugged, shared, ["run_id", "slug"]).withColumn(
+    return slugged.join(shared, ["run_id", "slug"]).withColumn(
         "collides", F.col("n_same") > 1
     )
 

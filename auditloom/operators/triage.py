@@ -34,13 +34,29 @@ def triage_candidates(
     )
 
 
-def finding_text(severity: Column, title: Column, body: Column) -> Column:
-    return F.format_string(fixed.FINDING_TEXT, F.upper(severity), title, body)
-
-
-def finding_body(body: Column, description: Column, payload: Column) -> Column:
-    """Body, else description, else the finding itself as JSON."""
-    return F.coalesce(F.when(body != "", body), F.when(description != "", description), payload)
+def finding_json(findings: DataFrame) -> Column:
+    """A finding as compact JSON; empty fields are left out, HTML characters escaped."""
+    names = [n for n in ("severity", "title", "function", "file") if n in findings.columns]
+    always = ("severity", "title")
+    fields = [
+        (F.col(n) if n in always else F.when(F.col(n) != "", F.col(n))).alias(n) for n in names
+    ]
+    out = F.to_json(F.struct(*fields))
+    for raw, code in fixed.JSON_HTML.items():
+        out = F.replace(out, F.lit(raw), F.lit(code))
+    return out
+
+
+def finding_text(findings: DataFrame) -> Column:
+    """Heading and body; without a body the description, else the finding as JSON."""
+    body = F.coalesce(
+        F.when(F.col("body") != "", F.col("body")),
+        F.when(F.col("description") != "", F.col("description"))
+        if "description" in findings.columns
+        else F.lit(None),
+        finding_json(findings),
+    )
+    return F.format_string(fixed.FINDING_TEXT, F.upper("severity"), F.col("title"), body)
 
 
 def round_prompts(
@@ -48,7 +64,8 @@ def round_prompts(
 ) -> DataFrame:
     """The prompt of every round: finding, code, context and all earlier reviews.
 
-    ``findings``: run_id, finding_id, file, severity, title, body, code, context.
+    ``findings``: run_id, finding_id, file, severity, title, body, code, context, and
+    if known description and function.
     ``rounds``: run_id, finding_id, round_no, reasoning, evidence.
     ``template`` takes project, finding, file and code, in this order.
     """
@@ -78,7 +95,7 @@ def round_prompts(
         F.format_string(
             template,
             F.lit(project),
-            finding_text(F.col("severity"), F.col("title"), F.col("body")),
+            finding_text(findings),
             F.col("file"),
             F.coalesce("code", F.lit("")),
         ),
@@ -197,7 +214,7 @@ def arbiter_requests(
         template,
         F.lit(project),
         F.col("title"),
-        finding_text(F.col("severity"), F.col("title"), F.col("body")),
+        finding_text(findings),
         F.col("key_evidence"),
         F.col("verdicts"),
         F.col("valid"),

@@ -295,7 +295,8 @@ SELECT c.run_id, c.finding_id, c.round_no, c.full_text, CASE WHEN c.start_at = 0
 FROM cut_reviews c LEFT JOIN condensed_lines l ON c.run_id = l.run_id AND c.finding_id = l.finding_id AND c.round_no = l.round_no""",
     # ---- triage
     "coded": f"""
-SELECT f.*, '[' || upper(f.severity) || '] ' || f.title || {NL} || {NL} || f.body AS finding_text,
+SELECT f.*, '[' || upper(f.severity) || '] ' || f.title || {NL} || {NL} || CASE WHEN f.body <> '' THEN f.body WHEN f.description <> '' THEN f.description
+    ELSE '{{"severity":"' || f.severity || '","title":"' || f.title || '","file":"' || f.file || '"}}' END AS finding_text,
   coalesce(s.content, '') AS code, coalesce(c.content, '') AS context
 FROM triage_findings f LEFT JOIN source_files s ON s.run_id = f.run_id AND s.file_id = f.finding_id
   LEFT JOIN contexts c ON c.run_id = f.run_id AND c.file_id = f.finding_id""",
@@ -431,11 +432,16 @@ FROM source_files s LEFT JOIN ignored_paths i ON s.run_id = i.run_id AND s.path
   SELECT run_id, CASE WHEN starts_with(path, '/') THEN path ELSE '/work/' || replace(path, './', '') END AS full_path
   FROM changed_paths WHERE path <> '') p
 WHERE EXISTS (SELECT 1 FROM changed_roots r WHERE r.run_id = p.run_id AND (p.full_path = r.root OR starts_with(p.full_path, r.root || '/')))""",
-    "snapshot_diff": """SELECT h.run_id, h.path, CASE WHEN b.path IS NULL THEN 'A' ELSE 'M' END AS change
-FROM source_files h LEFT JOIN base_files b ON h.run_id = b.run_id AND h.path = b.path
-WHERE (b.path IS NULL OR h.content <> b.content) AND NOT (b.path IS NULL AND EXISTS (
-  SELECT 1 FROM base_files o WHERE o.run_id = h.run_id AND o.content = h.content AND NOT EXISTS (
-    SELECT 1 FROM source_files n WHERE n.run_id = o.run_id AND n.path = o.path)))""",
+    "snapshot_diff": """SELECT * FROM (WITH gone AS (
+  SELECT o.run_id, o.content, count(*) AS n FROM base_files o WHERE NOT EXISTS (
+    SELECT 1 FROM source_files n WHERE n.run_id = o.run_id AND n.path = o.path) GROUP BY ALL),
+added AS (
+  SELECT h.run_id, h.path, h.content, row_number() OVER (PARTITION BY h.run_id, h.content ORDER BY h.path) AS nth
+  FROM source_files h WHERE NOT EXISTS (SELECT 1 FROM base_files b WHERE b.run_id = h.run_id AND b.path = h.path))
+SELECT a.run_id, a.path, 'A' AS change FROM added a LEFT JOIN gone g ON a.run_id = g.run_id AND a.content = g.content
+WHERE a.nth > coalesce(g.n, 0)
+UNION ALL SELECT h.run_id, h.path, 'M' FROM source_files h JOIN base_files b ON h.run_id = b.run_id AND h.path = b.path
+WHERE h.content <> b.content)""",
     "skip_ledger": "SELECT run_id, path, reason FROM classified WHERE reason IS NOT NULL",
     "skip_counts": "SELECT run_id, reason, count(*) AS n_files FROM classified WHERE reason IS NOT NULL GROUP BY ALL",
     "source_profile": f"""SELECT run_id, path, substr(path, 6) AS display_name, {lines('content')} AS lines,
@@ -487,6 +493,10 @@ FROM counts WHERE status = 'ok'""",
     "search_requests": "SELECT run_id, finding_id, round_no, unnest(items) AS request, generate_subscripts(items, 1)::INTEGER - 1 AS pos FROM requests",
     "clean_patterns": "SELECT run_id, finding_id, round_no, pos, pattern FROM patterns",
     "corpus_search": "SELECT * FROM matches",
+    "corpus_search_wide": """SELECT DISTINCT l.run_id, w.pattern, l.path, l.line, l.text FROM (
+  SELECT DISTINCT run_id, substr(path, 6, 20) AS pattern FROM source_files
+  UNION SELECT DISTINCT run_id, substr(content, 3, 24) FROM source_files) w
+JOIN searchable l ON l.run_id = w.run_id AND contains(l.text, w.pattern) WHERE w.pattern <> ''""",
     "top_matches": "SELECT run_id, pattern, rn, path, line FROM top_lines",
     "evidence_blocks": "SELECT * FROM evidence",
     "condense_evidence": "SELECT run_id, finding_id, round_no, condensed FROM condensed",

@@ -183,7 +183,7 @@ def _completions(i: Inputs) -> DataFrame:
             }
         )
 
-    return comp.run_completions(_requests(i), answer)
+    return comp.run_completions(_requests(i), answer, batched=True)
 
 
 def _replay(i: Inputs) -> DataFrame:
@@ -343,6 +343,12 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "search_requests": lambda i: ev.search_requests(i.rounds, ROUND),
     "clean_patterns": lambda i: i.patterns(),
     "corpus_search": lambda i: ev.corpus_search(i.corpus_lines(), i.patterns()),
+    "corpus_search_wide": lambda i: ev.corpus_search(
+        i.corpus_lines(),
+        i.source_files.select("run_id", F.substring("path", 6, 20).alias("pattern")).union(
+            i.source_files.select("run_id", F.substring("content", 3, 24))
+        ),
+    ),
     "top_matches": lambda i: ev.top_matches(ev.corpus_search(i.corpus_lines(), i.patterns())).select(
         "run_id", "pattern", "rn", "path", "line"
     ),

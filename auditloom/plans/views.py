@@ -99,7 +99,7 @@ SELECT DISTINCT coalesce(d.source, 'none') AS run_id, c.conv_id AS finding_id, {
   CASE c.conv_id % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low'
     ELSE 'informational' END AS severity,
   CASE WHEN d.lang = 'en' THEN 'Reported while reading ' || {_path('c.conv_id')} ELSE '' END AS description,
-  'Body of ' || CAST(c.conv_id AS VARCHAR(20)) AS body
+  CASE WHEN c.conv_id % 3 = 0 THEN '' ELSE 'Body of ' || CAST(c.conv_id AS VARCHAR(20)) END AS body
 FROM conversations c LEFT JOIN documents d ON d.doc_id = c.conv_id""",
     "rounds": f"""
 SELECT coalesce(d.source, 'none') AS run_id, c.conv_id AS finding_id, CAST(c.turn + 1 AS INT) AS round_no,

@@ -23,18 +23,22 @@ LISTING = "run_id string, root string, path string, kind string, length long"
 
 
 def binary_files(spark: SparkSession, run_id: str, roots: list[str]) -> DataFrame:
-    """run_id, path, length, content of all files below the roots, each file once."""
+    """run_id, path, length, content of all files below the roots, each file once.
+
+    A root at or below another one is left out before reading, so nothing is read twice.
+    """
+    tops = sorted({r.rstrip("/") or "/" for r in roots})
+    apart = [r for r in tops if not any(r.startswith(o.rstrip("/") + "/") for o in tops if o != r)]
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .load(roots)
+        .load(apart)
         .select(
             F.lit(run_id).alias("run_id"),
             F.regexp_replace("path", r"^file:/+", "/").alias("path"),
             "length",
             "content",
         )
-        .dropDuplicates(["run_id", "path"])
     )
 
 

@@ -66,6 +66,13 @@ def test_snapshot_diff(spark):
     assert got == {"mod": "M", "new": "A"}
 
 
+def test_one_deletion_explains_one_added_file(spark):
+    base = files(spark, [("gone", "3"), ("kept", "5")])
+    head = files(spark, [("a", "3"), ("b", "3"), ("kept", "5"), ("c", "5")])
+    got = {r.path: r.change for r in corpus.snapshot_diff(head, base).collect()}
+    assert got == {"b": "A", "c": "A"}
+
+
 def test_profile_totals_and_lines(spark):
     df = files(spark, [("b/x.c", "é\n\nlast"), ("b/y.c", "one\r\ntwo\n"), ("b/z.c", "")])
     rows = corpus.source_profile(df, "b").collect()

@@ -47,20 +47,26 @@ def corpus(spark, seed=3):
     return lines, patterns, brute
 
 
-def test_both_search_strategies_match_brute_force(spark):
+def test_search_matches_brute_force(spark, monkeypatch):
     lines, patterns, brute = corpus(spark)
-    for limit in (10**6, 0):
-        found = ev.corpus_search(lines, patterns, small_bytes=limit).collect()
+    for buckets in (ev.BUCKETS, 3):
+        monkeypatch.setattr(ev, "BUCKETS", buckets)
+        found = ev.corpus_search(lines, patterns).collect()
         got = [(r.run_id, r.pattern, r.path) for r in found]
         assert len(got) == len(set(got))
         assert set(got) == brute
 
 
+def test_search_runs_no_python(spark):
+    lines, patterns, _ = corpus(spark)
+    plan = ev.corpus_search(lines, patterns)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
 def test_no_patterns(spark):
     lines, patterns, _ = corpus(spark)
     none = patterns.filter("false")
     assert ev.corpus_search(lines, none).count() == 0
-    assert ev.corpus_search(lines, none, small_bytes=-1).count() == 0
 
 
 def test_top_matches_order_and_bound(spark):

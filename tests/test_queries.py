@@ -4,11 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from auditloom.plans import oracle, registry
 from auditloom.plans.views import TABLES
 
 SF = "/root/testdata/sf0.001"
-QUERIES = contract.queries()
-ORACLE = contract.oracle_sql()
+QUERIES = registry.queries()
+ORACLE = oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +29,7 @@ def shaped(rows, columns):
 
 def test_every_query_has_a_counterpart():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLE) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

@@ -109,12 +109,3 @@ def test_text_helpers(spark):
     assert cuts == {4: "aé", 5: "aé", 6: "aé€", 7: "aé€", 8: "aé€", 9: "aé€", 10: "aé€😀", 11: "aé€😀z"}
     assert parse_formats(" JSON, sarif ") == ("json", "sarif")
     assert parse_formats("") == ("json", "markdown", "sarif")
-
-
-def test_uneven_join_keeps_every_row(spark):
-    left = spark.range(1000).select(F.expr("if(id % 3 = 0, 'hot', concat('k', id % 40))").alias("k"), "id")
-    right = left.select("k").distinct().withColumn("v", F.upper("k"))
-    want = sorted(map(tuple, left.join(right, "k").select("k", "id", "v").collect()))
-    for limit in (5, 100, 10_000):
-        got = ranking.join_uneven(left, right, ["k"], hot_rows=limit, salts=7)
-        assert sorted(map(tuple, got.select("k", "id", "v").collect())) == want

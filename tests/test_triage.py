@@ -171,3 +171,10 @@ def test_pending_requests(spark):
     asked = spark.createDataFrame([("a",), ("b",), ("c",)], "request_id string")
     stored = spark.createDataFrame([("a", None), ("b", "api 500")], "request_id string, error string")
     assert sorted(r.request_id for r in comp.pending_requests(asked, stored).collect()) == ["b", "c"]
+
+
+def test_finding_text_falls_back(spark):
+    rows = [("high", "T", "b", "d", "f.c"), ("high", "T", "", "d", "f.c"), ("high", "T<x>", "", "", "f.c"), ("high", "T", "", None, "")]
+    df = spark.createDataFrame(rows, "severity string, title string, body string, description string, file string")
+    got = [r[0].split("\n\n", 1)[1] for r in df.select(tri.finding_text(df)).collect()]
+    assert got == ["b", "d", '{"severity":"high","title":"T\\u003cx\\u003e","file":"f.c"}', '{"severity":"high","title":"T"}']
