@@ -29,8 +29,30 @@ def _earlier(group: list[str]):
     )
 
 
-def numbered(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
-    """Add ``name``: 1, 2, … per group in the given total order."""
+def numbered(
+    df: DataFrame,
+    group: list[str],
+    order: list[Column | tuple[Column, bool]],
+    name: str,
+    keys: list[str] | None = None,
+) -> DataFrame:
+    """Add ``name``: 1, 2, … per group in the given total order.
+
+    A column in ``order`` may be paired with True: falling.  With ``keys``, columns that tell the rows apart (the group among them), only keys and
+    order are moved and stored; the number is joined back to the rows, whose texts stay
+    where they are until something asks for them.
+    """
+    pairs = [o if isinstance(o, tuple) else (o, False) for o in order]
+    if keys is None:
+        return _numbered(df, group, [c.desc() if down else c for c, down in pairs], name)
+    sort = [f"_o{i}" for i in range(len(pairs))]
+    narrow = df.select(*keys, *[c.alias(n) for n, (c, _) in zip(sort, pairs)])
+    by = [F.col(n).desc() if down else F.col(n) for n, (_, down) in zip(sort, pairs)]
+    ranks = _numbered(narrow, group, by, name).select(*keys, name)
+    return df.join(ranks, keys)
+
+
+def _numbered(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
     placed = _placed(df, group, order)
     pieces = placed.groupBy(*group, "_piece").agg(
         F.min("_slot").alias("_first"), F.count(F.lit(1)).alias("_n")

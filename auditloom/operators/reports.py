@@ -45,11 +45,11 @@ def _percent(confidence: Column) -> Column:
 
 def file_ranking(results: DataFrame) -> DataFrame:
     """Position of each file in its run by critical, high, medium, low, then name."""
-    order = [F.col(c).desc() for c in fixed.SEVERITIES[:4]] + [
+    order = [(F.col(c), True) for c in fixed.SEVERITIES[:4]] + [
         F.col("display_name"),
         F.col("file_id"),
     ]
-    return numbered(results, ["run_id"], order, "position")
+    return numbered(results, ["run_id"], order, "position", ["run_id", "file_id"])
 
 
 def run_summary(runs: DataFrame, results: DataFrame, totals: DataFrame) -> DataFrame:
@@ -87,8 +87,9 @@ def survivors(triage: DataFrame, min_confidence: float = 0.0) -> DataFrame:
     return numbered(
         _survivors(triage, min_confidence),
         ["run_id"],
-        [F.col("confidence").desc(), F.col("file"), F.col("finding_id")],
+        [(F.col("confidence"), True), F.col("file"), F.col("finding_id")],
         "position",
+        ["run_id", "finding_id"],
     )
 
 
@@ -104,7 +105,7 @@ def _raw_order() -> list[Column]:
 
 def raw_ranking(findings: DataFrame) -> DataFrame:
     """Findings numbered by severity, file and title."""
-    return numbered(findings, ["run_id"], _raw_order(), "position")
+    return numbered(findings, ["run_id"], _raw_order(), "position", ["run_id", "file_id", "pos"])
 
 
 # ---- gates ---------------------------------------------------------------------
@@ -358,8 +359,9 @@ def markdown_table(
     policy = numbered(
         failures,
         ["run_id"],
-        [F.col("confidence").desc(), F.col("file"), F.col("finding_id")],
+        [(F.col("confidence"), True), F.col("file"), F.col("finding_id")],
         "position",
+        ["run_id", "finding_id"],
     ).select(
         "run_id",
         F.lit(3).alias("section"),

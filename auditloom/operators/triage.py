@@ -271,11 +271,12 @@ def triage_order(triage: DataFrame) -> DataFrame:
         ["run_id"],
         [
             F.when(F.col("verdict") == "VALID", 0).otherwise(1),
-            F.col("confidence").desc(),
+            (F.col("confidence"), True),
             F.col("file"),
             F.col("finding_id"),
         ],
         "position",
+        FINDING,
     )
 
 
