@@ -85,6 +85,14 @@ def scan_requests(
     return _request(joined, ["run_id", "file_id"], "scan", model, messages)
 
 
+def triage_requests(
+    prompts: DataFrame, keys: list[str], stage: str, system: str, model: str
+) -> DataFrame:
+    """Prompt of a round or of the arbiter → instructions and prompt, answered as JSON."""
+    messages = _messages(("system", F.lit(system)), ("user", F.col("prompt")))
+    return _request(prompts, keys, stage, model, messages, json_mode=True)
+
+
 def run_completions(
     requests: DataFrame,
     fn: Callable[[pd.DataFrame], pd.DataFrame | Iterable[pd.DataFrame]],

@@ -116,7 +116,10 @@ def round_prompts(
 
 
 def parse_verdicts(responses: DataFrame, keys: list[str]) -> DataFrame:
-    """Response text → verdict and reasoning.  ``error`` is non-null for failed calls."""
+    """Response text → verdict and reasoning.  ``error`` is non-null for failed calls.
+
+    Where the responses have them, a round also carries its tokens and elapsed seconds.
+    """
     failed = F.col("error").isNotNull()
     df = with_json(responses, "content", when=~failed)
     df = df.withColumn("_object", is_object(F.col("json")))
@@ -150,6 +153,8 @@ def parse_verdicts(responses: DataFrame, keys: list[str]) -> DataFrame:
         .when(F.col("_object"), reasoning)
         .otherwise(F.col("content"))
         .alias("reasoning"),
+        *([F.col("total_tokens").alias("tokens")] if "total_tokens" in df.columns else []),
+        *([half_up(F.col("elapsed_s"), 10).alias("elapsed_s")] if "elapsed_s" in df.columns else []),
     )
 
 

@@ -420,6 +420,12 @@ STEPS["pages_out"] = "\nUNION ALL ".join(
     ]
 )
 
+ROUND_PROMPTS = f"""SELECT p.run_id, p.finding_id, p.round_no, p.n_prior::INTEGER AS n_prior,
+  {template(ROUND_TEMPLATE, f"'{PROJECT}'", 'f.finding_text', 'f.file', 'f.code')}
+  || CASE WHEN f.context <> '' THEN {NL} || {NL} || '**Security context for this file:**' || {NL} || {prefix('f.context', 2000)} ELSE '' END
+  || CASE WHEN p.n_prior > 0 THEN {lit(fixed.PRIOR_REVIEWS)} || p.told ELSE '' END AS prompt
+FROM priors p JOIN coded f ON p.run_id = f.run_id AND p.finding_id = f.finding_id"""
+
 QUERIES = {
     "corpus_scan": "SELECT run_id, path, strlen(content)::INTEGER AS length, sha256(content) AS digest FROM source_files",
     "prune_dirs": f"SELECT run_id, path, strlen(content)::INTEGER AS chars FROM source_files WHERE NOT {DIRS}",
@@ -502,11 +508,7 @@ JOIN searchable l ON l.run_id = w.run_id AND contains(l.text, w.pattern) WHERE w
     "condense_evidence": "SELECT run_id, finding_id, round_no, condensed FROM condensed",
     "triage_candidates": f"""SELECT f.run_id, f.file_id, f.pos, f.severity, f.title FROM all_findings f
 JOIN scan_rows s ON f.run_id = s.run_id AND f.file_id = s.file_id WHERE s.status = 'ok' AND {rank('f.severity')} <= 2""",
-    "round_prompts": f"""SELECT p.run_id, p.finding_id, p.round_no, p.n_prior::INTEGER AS n_prior,
-  {template(ROUND_TEMPLATE, f"'{PROJECT}'", 'f.finding_text', 'f.file', 'f.code')}
-  || CASE WHEN f.context <> '' THEN {NL} || {NL} || '**Security context for this file:**' || {NL} || {prefix('f.context', 2000)} ELSE '' END
-  || CASE WHEN p.n_prior > 0 THEN {lit(fixed.PRIOR_REVIEWS)} || p.told ELSE '' END AS prompt
-FROM priors p JOIN coded f ON p.run_id = f.run_id AND p.finding_id = f.finding_id""",
+    "round_prompts": ROUND_PROMPTS,
     "parse_verdicts": f"""SELECT run_id, finding_id, round_no, CASE WHEN error IS NOT NULL THEN 'ERROR'
     WHEN json_type(j) = 'OBJECT' THEN CASE WHEN upper({field('j', 'verdict')}) IN ('VALID', 'INVALID', 'UNCERTAIN') THEN upper({field('j', 'verdict')}) ELSE 'UNCERTAIN' END
     WHEN starts_with(upper({trim('content')}), 'INVALID') THEN 'INVALID' WHEN starts_with(upper({trim('content')}), 'VALID') THEN 'VALID'
@@ -514,7 +516,12 @@ FROM priors p JOIN coded f ON p.run_id = f.run_id AND p.finding_id = f.finding_i
   CASE WHEN error IS NOT NULL THEN error WHEN json_type(j) = 'OBJECT' THEN coalesce({field('j', 'reasoning')}, content)
     || coalesce({NL} || {NL} || 'CRUX: ' || {field('j', 'crux')}, '')
     || coalesce({NL} || 'GREP: ' || nullif(trim(regexp_replace({field('j', 'grep')}, '^GREP:', ''), {QUOTES} || ' '), ''), '')
-    ELSE content END AS reasoning FROM verdict_json""",
+    ELSE content END AS reasoning, total_tokens AS tokens, floor(elapsed_s * 10 + 0.5) / 10 AS elapsed_s FROM verdict_json""",
+    "triage_requests": f"""SELECT p.run_id, p.finding_id, p.round_no,
+  md5('round' || chr(31) || p.run_id || chr(31) || CAST(p.finding_id AS VARCHAR) || chr(31) || CAST(p.round_no AS VARCHAR)) AS request_id,
+  'round' AS stage, '{MODEL}' AS model, true AS json_mode, CAST(to_json({{'messages': [{{'role': 'system', 'content': {lit(SYSTEM)}}},
+    {{'role': 'user', 'content': p.prompt}}], 'model': '{MODEL}', 'response_format': {{'type': 'json_object'}}}}) AS VARCHAR) AS payload
+FROM ({ROUND_PROMPTS}) p""",
     "round_evidence": "SELECT run_id, finding_id, round_no, verdict, grep_used, evidence FROM rounds_ev",
     "confidence": f"SELECT run_id, finding_id, count(*) AS n_rounds, {VALID_SHARE} AS confidence FROM rounds GROUP BY run_id, finding_id",
     "verdict_string": "SELECT run_id, finding_id, string_agg(left(verdict, 1), '' ORDER BY round_no) AS verdicts FROM rounds GROUP BY run_id, finding_id",

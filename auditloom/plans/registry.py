@@ -369,6 +369,10 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "round_prompts": lambda i: tri.round_prompts(
         i.coded_findings(), i.rounds_with_evidence(), ROUND_TEMPLATE, PROJECT
     ),
+    "triage_requests": lambda i: comp.triage_requests(
+        tri.round_prompts(i.coded_findings(), i.rounds_with_evidence(), ROUND_TEMPLATE, PROJECT),
+        ROUND, "round", SYSTEM, MODEL,
+    ).drop("messages", "reasoning_effort"),
     "parse_verdicts": lambda i: tri.parse_verdicts(i.round_responses, ROUND),
     "round_evidence": lambda i: i.rounds_with_evidence().select(
         *ROUND, "verdict", "grep_used", "evidence"

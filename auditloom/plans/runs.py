@@ -73,23 +73,24 @@ def triage_run(
     project: str,
     template: str,
     arbiter_template: str,
+    model: str = "",
+    system: str = "",
+    arbiter_system: str = "",
     rounds: int = fixed.ROUNDS,
     concurrency: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(decisions, rounds) of findings (see ``round_prompts`` for their columns).
 
+    ``system`` and ``arbiter_system`` are the instructions sent with each prompt.
+
     Rounds follow each other because each sees the earlier reviews; one round is
     one distributed step over all findings.
     """
     count = rounds if rounds > 0 else fixed.ROUNDS
 
-    def ask(prompts: DataFrame, round_no: int) -> DataFrame:
-        requests = prompts.select(
-            "run_id",
-            "finding_id",
-            F.lit(round_no).alias("round_no"),
-            digest_id(F.col("run_id"), F.col("finding_id"), F.lit(round_no)).alias("request_id"),
-            F.col("prompt").alias("payload"),
+    def ask(prompts: DataFrame, round_no: int, stage: str, instructions: str) -> DataFrame:
+        requests = comp.triage_requests(
+            prompts.withColumn("round_no", F.lit(round_no)), ROUND, stage, instructions, model
         )
         answers = durable(comp.run_completions(requests, model_fn, concurrency))
         return tri.parse_verdicts(_keyed(requests, answers, ROUND), ROUND)
@@ -105,12 +106,12 @@ def triage_run(
         )
         seen = blank if done is None else done.select(blank.columns).unionByName(blank)
         prompts = tri.round_prompts(findings, seen, template, project)
-        parsed = durable(ask(prompts.filter(F.col("round_no") == number), number))
+        parsed = durable(ask(prompts.filter(F.col("round_no") == number), number, "round", system))
         evidence = ev.gather_evidence(parsed, lines, ROUND, "reasoning")
         told = durable(tri.round_evidence(parsed, evidence))
         done = told if done is None else done.unionByName(told)
     arbiter = done.limit(0)
     if count > 1:
         prompts = tri.arbiter_requests(findings, done, arbiter_template, project)
-        arbiter = ask(prompts, count + 1)
+        arbiter = ask(prompts, count + 1, "arbiter", arbiter_system)
     return tri.final_verdict(findings, done, arbiter), done

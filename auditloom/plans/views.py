@@ -118,7 +118,8 @@ SELECT coalesce(d.source, 'none') AS run_id, c.conv_id AS finding_id, CAST(c.tur
     || '","grep":"GREP: ' || chr(96) || {_json("split_part(c.text, ' ', 2)")} || chr(96) || '"}}'
   WHEN 'assistant' THEN CASE WHEN c.turn % 4 = 1 THEN ' Valid: ' ELSE 'invalid since ' END || c.text
   ELSE 'I looked.' || {NL} || '{{"verdict":"UNCERTAIN","reasoning":" ","crux":5}} done' END AS content,
-  CASE WHEN (c.conv_id + c.turn) % 9 = 4 THEN 'api 503: busy' END AS error
+  CASE WHEN (c.conv_id + c.turn) % 9 = 4 THEN 'api 503: busy' END AS error,
+  CAST(length(c.text) AS INT) AS total_tokens, CAST(length(c.text) AS DOUBLE) / CAST(64 AS DOUBLE) AS elapsed_s
 FROM conversations c LEFT JOIN documents d ON d.doc_id = c.conv_id""",
     "call_log": """
 SELECT event_id AS call_id, event_id - event_id % 3 AS request_id, ts, value AS elapsed_s,
