@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, let, spread_join, words_of
+from .common import BLANKS, let, spread_join, stored, words_of
 
 #: Limits of the base rules and of the line rule.
 MIN_WORDS = 50
@@ -88,55 +88,38 @@ def base_measures(text: Column) -> dict[str, Column]:
     }
 
 
-def line_rows(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """One row per line with a word: host, hash, words, and whether the document's first such."""
-    text = F.col(text_col)
-    hashed = F.transform(
-        _wordy_lines(text),
-        lambda x: F.struct(
-            F.xxhash64(normal_line(x)).alias("line"), F.size(words_of(x)).cast("bigint").alias("words")
-        ),
-    )
-    marked = let(
-        F.sort_array(hashed),
-        lambda s: F.transform(
-            s,
-            lambda x, i: F.struct(
-                x["line"].alias("line"),
-                x["words"].alias("words"),
-                F.coalesce(F.get(s, i - 1)["line"] != x["line"], F.lit(True)).alias("first"),
-            ),
-        ),
-    )
-    return docs.select(
-        F.col(id_col).alias("id"),
-        F.xxhash64(text).alias("digest"),
-        F.coalesce(F.col(host_col), F.lit("")).alias("host"),
-        F.explode(marked).alias("x"),
-    ).select("id", "digest", "host", "x.*")
+def _host(host_col: str) -> Column:
+    return F.coalesce(F.col(host_col), F.lit(""))
 
 
 def frequent_lines(
     docs: DataFrame,
-    lines: DataFrame,
-    text_col: str,
-    host_col: str,
+    text_col: str = "text",
+    host_col: str = "source",
     min_docs: int = MIN_DOCS,
     share_pct: int = SHARE_PCT,
 ) -> DataFrame:
-    """The boilerplate lines: (host, line)."""
+    """(host, lines): the hashes of each host's boilerplate lines, sorted.
+
+    A host has at most 100 / ``share_pct`` times as many of them as its documents have
+    lines on average, since each is on that share of its documents.
+    """
+    lines = docs.select(
+        _host(host_col).alias("host"),
+        F.xxhash64(text_col).alias("digest"),
+        F.explode(
+            F.array_distinct(F.transform(_wordy_lines(F.col(text_col)), lambda x: F.xxhash64(normal_line(x))))
+        ).alias("line"),
+    )
     counts = (
-        lines.filter("first")
-        .groupBy("host", "line", "digest")
+        lines.groupBy("host", "line", "digest")
         .agg(F.lit(1).alias("one"))
         .groupBy("host", "line")
         .agg(F.count("one").alias("n"))
         .filter(F.col("n") >= min_docs)
     )
     hosts = (
-        docs.select(
-            F.coalesce(F.col(host_col), F.lit("")).alias("host"), F.xxhash64(text_col).alias("digest")
-        )
+        docs.select(_host(host_col).alias("host"), F.xxhash64(text_col).alias("digest"))
         .groupBy("host", "digest")
         .agg(F.lit(1).alias("one"))
         .groupBy("host")
@@ -145,29 +128,38 @@ def frequent_lines(
     return (
         spread_join(counts, hosts, ["host"], F.col("line"))
         .filter(100 * F.col("n") > share_pct * F.col("host_docs"))
-        .select("host", "line")
+        .groupBy("host")
+        .agg(F.sort_array(F.collect_list("line")).alias("lines"))
     )
 
 
-def removals(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    host_col: str = "source",
-    min_docs: int = MIN_DOCS,
-    share_pct: int = SHARE_PCT,
-) -> DataFrame:
-    """(id, digest, removed_words, removed_lines) of documents that hold boilerplate lines."""
-    lines = line_rows(docs, id_col, text_col, host_col)
-    frequent = frequent_lines(docs, lines, text_col, host_col, min_docs, share_pct)
-    hits = spread_join(lines, frequent, ["host", "line"], F.struct("id", "digest"))
-    # a repeated row repeats all of its lines: count those of one row
-    once = hits.groupBy("id", "digest", "line").agg(
-        (F.sum("words") / F.sum(F.col("first").cast("int"))).cast("bigint").alias("words")
-    )
-    return once.groupBy("id", "digest").agg(
-        F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed_lines")
+def _marked(docs: DataFrame, text_col: str, host_col: str, frequent: DataFrame) -> DataFrame:
+    """The documents with ``_lf_lines``, the boilerplate of their host.
+
+    The stored side's size is known, so Spark sends it to all tasks while it is small and
+    the texts stay where they are; beyond that it shuffles and splits large hosts.
+    """
+    keyed = frequent.select(F.col("host").alias("_lf_host"), F.col("lines").alias("_lf_lines"))
+    return docs.join(keyed, _host(host_col) == F.col("_lf_host"), "left")
+
+
+def _is_boilerplate(line: Column) -> Column:
+    return F.coalesce(F.array_contains("_lf_lines", F.xxhash64(normal_line(line))), F.lit(False))
+
+
+def _rating(text_col: str, max_removed_pct: int) -> dict[str, Column]:
+    """The measures and verdicts of a document with its host's boilerplate lines."""
+    measures = base_measures(F.col(text_col))
+    gone = F.filter(_wordy_lines(F.col(text_col)), _is_boilerplate)
+    removed = F.aggregate(
+        F.transform(gone, lambda x: F.size(words_of(x))), F.lit(0), lambda a, b: a + b
+    ).cast("bigint")
+    measures["removed_words"] = F.when(F.col("_lf_lines").isNull(), F.lit(0)).otherwise(removed)
+    failed = (F.col("n_words") < MIN_WORDS) | (
+        100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words")
     )
+    spared = 100 * F.col("removed_words") <= max_removed_pct * F.col("n_words")
+    return measures | {"base_failed": failed, "kept": ~failed & spared}
 
 
 def rate(
@@ -179,50 +171,27 @@ def rate(
     share_pct: int = SHARE_PCT,
     max_removed_pct: int = MAX_REMOVED_PCT,
 ) -> DataFrame:
-    """One row per document: id, digest, measures, removed_words, base_failed and kept."""
-    base = docs.select(
-        F.col(id_col).alias("id"),
-        F.xxhash64(text_col).alias("digest"),
-        *[c.alias(name) for name, c in base_measures(F.col(text_col)).items()],
-    )
-    gone = removals(docs, id_col, text_col, host_col, min_docs, share_pct)
-    removed = F.coalesce(gone["removed_words"], F.lit(0))
-    failed = (F.col("n_words") < MIN_WORDS) | (
-        100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words")
-    )
-    return base.join(
-        gone, base["id"].eqNullSafe(gone["id"]) & (base["digest"] == gone["digest"]), "left"
-    ).select(
-        base["id"],
-        base["digest"],
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        failed.alias("base_failed"),
-        (~failed & (100 * removed <= max_removed_pct * F.col("n_words"))).alias("kept"),
-        removed.alias("removed_words"),
-        "removed_lines",
-    )
+    """One row per document: id, measures, removed_words, base_failed and kept."""
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), F.col(host_col).alias("_host"))
+    frequent = stored(frequent_lines(narrow, "_text", "_host", min_docs, share_pct))
+    rating = _rating("_text", max_removed_pct)
+    verdicts = {k: rating.pop(k) for k in ("base_failed", "kept")}
+    rated = _marked(narrow, "_text", "_host", frequent).select("id", *[c.alias(k) for k, c in rating.items()])
+    return rated.select("*", verdicts["base_failed"].alias("base_failed"), verdicts["kept"].alias("kept"))
 
 
 def clean(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source"
 ) -> DataFrame:
     """The kept documents, same columns, without their boilerplate lines."""
-    rated = rate(docs, id_col, text_col, host_col).filter("kept").select(
-        F.col("id").alias("_lf_id"), F.col("digest").alias("_lf_digest"), F.col("removed_lines").alias("_lf_lines")
-    ).dropDuplicates(["_lf_id", "_lf_digest"])
-    joined = docs.withColumn("_lf_key", F.xxhash64(text_col)).join(
-        rated, F.col(id_col).eqNullSafe(F.col("_lf_id")) & (F.col("_lf_key") == F.col("_lf_digest"))
-    )
-    left = F.array_join(
-        F.filter(
-            F.split(F.col(text_col), "\n"),
-            lambda x: ~F.array_contains("_lf_lines", F.xxhash64(normal_line(x))),
-        ),
-        "\n",
-    )
-    cleaned = F.when(F.col("_lf_lines").isNull(), F.col(text_col)).otherwise(left)
-    return joined.select(*[cleaned.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    names = [f"_lf_{k}" for k in range(len(docs.columns))]
+    plain = docs.toDF(*names)  # so that no column of the documents meets one of the rating
+    text, host = (names[docs.columns.index(c)] for c in (text_col, host_col))
+    frequent = stored(frequent_lines(plain, text, host))
+    rating = _rating(text, MAX_REMOVED_PCT)
+    kept = rating.pop("kept")
+    rating.pop("base_failed")
+    rated = _marked(plain, text, host, frequent).select("*", *[c.alias(k) for k, c in rating.items()]).filter(kept)
+    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: ~_is_boilerplate(x)), "\n")
+    cleaned = F.when(F.col("removed_words") == 0, F.col(text)).otherwise(left)
+    return rated.select(*[(cleaned if n == text else F.col(n)).alias(c) for n, c in zip(names, docs.columns)])

@@ -59,7 +59,7 @@ def messy_rows():
         document(16, "Ünï Straße — “quoted” 中文 😀 " * 20),
     ]
     rows += [document(20 + k, f"{prose(20 + k, 120)}\nShared line number {k} of the site\n{prose(50 + k, 30)}", source="host") for k in range(12)]
-    rows += [document(40 + k, "\n".join(["Menu one two three"] * 1 + [f"Footer words of page {j} here and there again" for j in range(12)] + [prose(80 + k, 10)]), source="host2") for k in range(8)]
+    rows += [document(40 + k, "\n".join(["Menu one two  THREE", *[prose(300 + j, 9) for j in range(12)], prose(80 + k, 10)]), source="host2") for k in range(8)]
     return [*rows, rows[5], rows[10]]
 
 

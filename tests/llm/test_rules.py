@@ -60,7 +60,7 @@ def test_phrases_and_templates(spark):
     ]
     assert [r.labels for r in got] == ["cc-by,reserved", "mit", "mit", "", "", "", "gpl", "", "apache"]
     assert [r.score for r in got][:2] == [1.0, 1.0] and 0.6 <= got[2].score < 1 and got[3].score == 0
-    assert got[4].n_words == 0 and got[0].n_words == 11
+    assert got[4].n_words == 0 and got[0].n_words == 12
 
 
 def test_repeated_rows_vote_once(spark):
