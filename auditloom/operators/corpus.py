@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..session import durable
 
 
 def _size(df: DataFrame) -> Column:
@@ -196,12 +197,9 @@ def with_skip_reason(
 
 def skip_ledger(files: DataFrame, ignored: DataFrame | None, **rules) -> DataFrame:
     """One row per dropped file, sorted by path."""
-    return (
-        with_skip_reason(files, ignored, **rules)
-        .filter(F.col("reason").isNotNull())
-        .select("run_id", "path", "reason")
-        .orderBy("run_id", "path")
-    )
+    dropped = with_skip_reason(files, ignored, **rules).filter(F.col("reason").isNotNull())
+    # stored before the sort samples it, so that contents are read once
+    return durable(dropped.select("run_id", "path", "reason")).orderBy("run_id", "path")
 
 
 def skip_counts(ledger: DataFrame) -> DataFrame:
@@ -218,13 +216,15 @@ def source_profile(files: DataFrame, base: str | None = None) -> DataFrame:
             F.startswith("path", F.lit(prefix)),
             F.substring("path", F.lit(len(prefix) + 1), F.length("path")),
         ).otherwise(F.col("path"))
-    return files.select(
+    measured = files.select(
         "run_id",
         "path",
         display.alias("display_name"),
         _line_feeds(text).alias("lines"),
         F.octet_length(text).cast("int").alias("chars"),
-    ).orderBy("run_id", "display_name")
+    )
+    # sorting samples its input first: stored, so that contents are read once
+    return durable(measured).orderBy("run_id", "display_name")
 
 
 def corpus_totals(runs: DataFrame, classified: DataFrame) -> DataFrame:

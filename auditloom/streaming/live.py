@@ -63,17 +63,20 @@ def severity_totals(reports: DataFrame) -> DataFrame:
     )
 
 
-def drain_totals(totals: DataFrame) -> DataFrame:
-    """Run a complete-mode aggregate to the end of its input and return the last table."""
+def drain_totals(totals: DataFrame, folder: str | None = None) -> DataFrame:
+    """Run a complete-mode aggregate to the end of its input and return the last table.
+
+    A drain with the same ``folder`` (shared by driver and executors) goes on where the
+    last one stopped: it reads new input only, and its totals include all earlier input.
+    """
     spark = totals.sparkSession
-    base = f"{scratch_dir(spark)}/totals-{uuid.uuid4().hex}"
-    last = {}
+    base = folder or f"{scratch_dir(spark)}/totals-{uuid.uuid4().hex}"
+    # an epoch before all others, so that there is a table without input, too
+    spark.createDataFrame([], totals.schema).write.mode("overwrite").parquet(f"{base}/totals/epoch=-1")
 
     def keep(batch: DataFrame, epoch: int) -> None:
         # one folder per epoch: a repeated epoch overwrites its own output only
-        path = f"{base}/epoch={epoch}"
-        batch.write.mode("overwrite").parquet(path)
-        last["path"] = path
+        batch.write.mode("overwrite").parquet(f"{base}/totals/epoch={epoch}")
 
     query = (
         totals.writeStream.outputMode("complete")
@@ -83,15 +86,20 @@ def drain_totals(totals: DataFrame) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    if "path" not in last:
-        return spark.createDataFrame([], totals.schema)
-    return spark.read.schema(totals.schema).parquet(last["path"])
+    schema = T.StructType([*totals.schema.fields, T.StructField("epoch", T.LongType())])
+    epochs = spark.read.schema(schema).parquet(f"{base}/totals")
+    # partition values only: no file is opened for the last epoch's number
+    last = epochs.agg(F.max("epoch")).first()[0]
+    return epochs.filter(F.col("epoch") == (-1 if last is None else last)).drop("epoch")
+
 
+def drain_append(rows: DataFrame, folder: str | None = None) -> DataFrame:
+    """Run an append-only stream to the end of its input and return its table.
 
-def drain_append(rows: DataFrame) -> DataFrame:
-    """Run an append-only stream to the end of its input and return its table."""
+    A drain with the same ``folder`` reads new input only and adds to the table.
+    """
     spark = rows.sparkSession
-    base = f"{scratch_dir(spark)}/append-{uuid.uuid4().hex}"
+    base = folder or f"{scratch_dir(spark)}/append-{uuid.uuid4().hex}"
     query = (
         rows.writeStream.outputMode("append")
         .format("parquet")
@@ -104,10 +112,15 @@ def drain_append(rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{base}/rows")
 
 
-def arriving_files(files: DataFrame, max_bytes: int = fixed.MAX_BYTES) -> DataFrame:
-    """Scope and profile new files as they land: kept files and the reasons of the others."""
+def arriving_files(
+    files: DataFrame, max_bytes: int = fixed.MAX_BYTES, ignored: DataFrame | None = None
+) -> DataFrame:
+    """Scope and profile new files as they land: kept files and the reasons of the others.
+
+    ``ignored`` is a table, (run_id, path), joined as it stands when a batch runs.
+    """
     pruned = corpus.prune_dirs(files)
-    return corpus.with_skip_reason(pruned, None, max_bytes=max_bytes)
+    return corpus.with_skip_reason(pruned, ignored, max_bytes=max_bytes)
 
 
 # ---- over the given tables -------------------------------------------------------
