@@ -321,22 +321,33 @@ def scan_errors(results: DataFrame) -> DataFrame:
 
 
 def markdown_table(
-    summary: DataFrame, ranked: DataFrame, failures: DataFrame, title: str, model: str
+    summary: DataFrame,
+    ranked: DataFrame,
+    failures: DataFrame,
+    title: str,
+    model: str,
+    target: str = "",
+    stamp: str = "",
 ) -> DataFrame:
     """The run's Markdown page as ordered rows: run_id, section, position, line.
 
-    Sections: 1 heading, 2 files in ranked order, 3 policy failures.
-    ``summary`` is ``run_summary``; ``ranked`` is ``file_ranking``; ``failures`` has
+    Sections: 1 heading, 2 files in ranked order, 3 policy failures under a heading of
+    their own where there are any.  ``summary`` is ``run_summary``, with the seconds of
+    the run in ``wall_s`` if known; ``ranked`` is ``file_ranking``; ``failures`` has
     finding_id for a stable order.
     """
+    wall = F.coalesce("wall_s", F.lit(0.0)) if "wall_s" in summary.columns else F.lit(0.0)
     failing = failures.select("run_id").distinct().withColumn("_fails", F.lit(True))
     head = summary.join(failing, "run_id", "left")
     lines = F.array(
         F.lit(f"# {title}"),
         F.lit(""),
+        F.lit(fixed.TARGET % target),
+        F.lit(fixed.DATE % stamp),
         F.lit(f"- **Model**: `{model}`"),
         F.format_string(fixed.FILES_SCANNED, "files_scanned"),
         F.format_string(fixed.FILES_SKIPPED, "files_skipped"),
+        F.format_string(fixed.WALL_TIME, wall),
         F.when(F.col("_fails"), fixed.RESULT_FAILED).otherwise(fixed.RESULT_PASSED),
         F.lit(""),
         *[F.lit(line) for line in fixed.TABLE_HEAD],
@@ -365,12 +376,17 @@ def markdown_table(
     ).select(
         "run_id",
         F.lit(3).alias("section"),
-        "position",
+        (F.col("position") + len(fixed.POLICY_HEAD)).alias("position"),
         F.format_string(
             fixed.POLICY_LINE, "file", "severity", _percent(F.col("confidence")), "title"
         ).alias("line"),
     )
-    return heading.unionByName(files).unionByName(policy)
+    policy_heading = failing.select(
+        "run_id",
+        F.lit(3).alias("section"),
+        F.posexplode(F.array(*[F.lit(x) for x in fixed.POLICY_HEAD])).alias("p", "line"),
+    ).select("run_id", "section", (F.col("p") + 1).cast("long").alias("position"), "line")
+    return heading.unionByName(files).unionByName(policy_heading).unionByName(policy)
 
 
 # ---- names and documents -------------------------------------------------------

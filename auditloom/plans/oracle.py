@@ -397,9 +397,10 @@ _LOG_HEAD = (
     f'{{"name":"auditloom","rules":[{_RULES}]}}}},"results":['
 )
 _PAGE_HEAD = [
-    "'# Scan results'", "''", f"'- **Model**: `{MODEL}`'",
+    "'# Scan results'", "''", "'- **Target**: `repo`'", f"'- **Date**: `{STAMP}`'", f"'- **Model**: `{MODEL}`'",
     "'- **Files scanned**: `' || CAST(files_scanned AS VARCHAR) || '`'",
     "'- **Files skipped**: `' || CAST(files_skipped AS VARCHAR) || '`'",
+    "'- **Wall time**: `' || CAST(files_scanned // 2 AS VARCHAR) || CASE WHEN files_scanned % 2 = 1 THEN '.5s`' ELSE '.0s`' END",
     "CASE WHEN run_id IN (SELECT run_id FROM failing) THEN '- **CI result**: failed policy threshold' ELSE '- **CI result**: passed policy threshold' END",
     "''", "'| File | Lines | Critical | High | Medium | Low | Status |'",
     "'|------|-------|----------|------|--------|-----|--------|'",
@@ -415,7 +416,8 @@ STEPS["pages_out"] = "\nUNION ALL ".join(
     + [
         f"""SELECT run_id, 2, position, '| ' || {_cell('display_name')} || ' | ' || lines || ' | ' || critical || ' | ' || high || ' | '
   || medium || ' | ' || low || ' | ' || {_cell('status')} || ' |' FROM ranked""",
-        f"""SELECT run_id, 3, row_number() OVER (PARTITION BY run_id ORDER BY confidence DESC, file, finding_id),
+        "SELECT DISTINCT run_id, 3, k::BIGINT, x FROM failing, (VALUES (1, ''), (2, '## Policy failures'), (3, '')) AS h(k, x)",
+        f"""SELECT run_id, 3, 3 + row_number() OVER (PARTITION BY run_id ORDER BY confidence DESC, file, finding_id),
   '- `' || file || '`: **' || severity || '** ' || {percent('confidence')} || ' - ' || title FROM failing""",
     ]
 )

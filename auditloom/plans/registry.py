@@ -235,7 +235,8 @@ def _markdown(i: Inputs) -> DataFrame:
     results = i.once("results")
     failing = durable(rep.gate_validated(i.once("triage_full")))
     return rep.markdown_table(
-        _summary(i, results), rep.file_ranking(results), failing, "Scan results", MODEL
+        _summary(i, results).withColumn("wall_s", F.col("files_scanned") / F.lit(2.0)),
+        rep.file_ranking(results), failing, "Scan results", MODEL, "repo", STAMP,
     )
 
 

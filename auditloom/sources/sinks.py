@@ -34,9 +34,11 @@ def write_run(
     chosen = tuple(formats) or FORMATS
     written = []
 
-    def put(df: DataFrame, name: str, kind: str) -> None:
+    def put(df: DataFrame, name: str, kind: str, ordered: bool = False) -> None:
         path = f"{out}/{name}"
-        writer = df.write.mode("overwrite").partitionBy("run_id")
+        # one run's rows together, large runs split and small ones joined by their size
+        rows = df if ordered else df.hint("rebalance", "run_id")
+        writer = rows.write.mode("overwrite").partitionBy("run_id")
         writer.option("partitionOverwriteMode", "dynamic").format(kind).save(path)
         written.append(path)
 
@@ -46,8 +48,8 @@ def write_run(
         put(triage, "triage", "json")
     if "markdown" in chosen:
         # range partitioning keeps the lines of a page in order over its files
-        ordered = pages.repartitionByRange("run_id", "section", "position")
-        put(ordered.sortWithinPartitions("run_id", "section", "position"), "pages", "parquet")
+        lines = pages.repartitionByRange("run_id", "section", "position")
+        put(lines.sortWithinPartitions("run_id", "section", "position"), "pages", "parquet", ordered=True)
         put(documents, "documents", "parquet")
     if "sarif" in chosen:
         put(sarif.select("run_id", F.col("sarif").alias("value")), "sarif", "text")
