@@ -236,7 +236,7 @@ def sarif_log(results: DataFrame, tool: str, shard_size: int = 5000) -> DataFram
 # ---- comment and sections ------------------------------------------------------
 
 
-def comment_topk(
+def comment_items(
     findings: DataFrame,
     triage: DataFrame,
     min_confidence: float = 0.0,
@@ -244,11 +244,15 @@ def comment_topk(
 ) -> DataFrame:
     """First survivors of each run, or else its first raw findings, and how many more.
 
+    Survivors carry confidence, letters and reasoning, raw findings their function.
+
     The row-number filter keeps at most ``limit`` rows per run and task before the
     shuffle; totals come from a separate aggregate.
     """
 
-    def first(df: DataFrame, order: list[Column], section: str, file: str) -> DataFrame:
+    def first(
+        df: DataFrame, order: list[Column], section: str, file: str, extra: list[Column]
+    ) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("run_id").orderBy(*order))
         body = F.coalesce(F.when(trimmed("description") != "", F.col("description")), F.col("body"))
         top = df.withColumn("rn", rank).filter(F.col("rn") <= limit)
@@ -262,6 +266,7 @@ def comment_topk(
             "severity",
             truncate_text(body, fixed.BODY_CHARS).alias("body"),
             F.greatest(F.col("_total") - limit, F.lit(0)).alias("omitted"),
+            *extra,
         )
 
     valid = _survivors(triage, min_confidence)
@@ -270,12 +275,134 @@ def comment_topk(
         [F.col("confidence").desc(), F.col("file"), F.col("finding_id")],
         "validated",
         "file",
+        [
+            F.lit(None).cast("string").alias("function"),
+            "confidence",
+            "verdicts",
+            truncate_text(F.col("reasoning"), fixed.REASONING_CHARS).alias("reasoning"),
+        ],
     )
     # the anti join comes last: by then a run has at most ``limit`` rows
-    rest = first(findings, _raw_order(), "raw", "display_name")
+    rest = first(findings, _raw_order(), "raw", "display_name", [
+        "function",
+        F.lit(None).cast("double").alias("confidence"),
+        F.lit(None).cast("string").alias("verdicts"),
+        F.lit(None).cast("string").alias("reasoning"),
+    ])
     return shown.unionByName(rest.join(shown.select("run_id").distinct(), "run_id", "left_anti"))
 
 
+def comment_topk(
+    findings: DataFrame,
+    triage: DataFrame,
+    min_confidence: float = 0.0,
+    limit: int = fixed.MAX_COMMENT_ITEMS,
+) -> DataFrame:
+    """The items of a comment without what only the page shows."""
+    items = comment_items(findings, triage, min_confidence, limit)
+    return items.drop("function", "confidence", "verdicts", "reasoning")
+
+
+def comment_page(
+    summary: DataFrame,
+    ranked: DataFrame,
+    items: DataFrame,
+    sections: DataFrame,
+    failures: DataFrame,
+    title: str,
+    model: str,
+    limit: int = fixed.MAX_COMMENT_ITEMS,
+) -> DataFrame:
+    """A run's comment as ordered blocks: run_id, section, position, text.
+
+    Sections: 1 heading, 2 files in ranked order, 3 the heading of what follows, 4 its
+    items and how many were left out, or the errors of a run without findings.
+    ``items`` is ``comment_items``, ``sections`` is ``report_section``, ``ranked`` is
+    ``file_ranking`` with status and error.
+    """
+    failing = failures.select("run_id").distinct().withColumn("_fails", F.lit(True))
+    head = summary.join(failing, "run_id", "left").select(
+        "run_id",
+        F.lit(1).alias("section"),
+        F.lit(1).cast("long").alias("position"),
+        F.concat(
+            F.lit(f"## {title}\n\n- **Model**: `{model}`\n"),
+            F.format_string(fixed.FILES_SCANNED + "\n" + fixed.FILES_SKIPPED + "\n", "files_scanned", "files_skipped"),
+            F.when(
+                F.col("error_files") > 0, F.format_string(fixed.FILES_FAILED + "\n", "error_files")
+            ).otherwise(""),
+            F.when(F.col("_fails"), fixed.COMMENT_FAILING).otherwise(fixed.COMMENT_PASSING),
+            F.lit("\n\n" + "\n".join(fixed.COMMENT_TABLE)),
+        ).alias("text"),
+    )
+    files = ranked.select(
+        "run_id",
+        F.lit(2).alias("section"),
+        "position",
+        F.format_string(
+            fixed.COMMENT_ROW,
+            table_cell(F.col("display_name")),
+            *fixed.SEVERITIES[:4],
+            table_cell(F.col("status")),
+        ).alias("text"),
+    )
+    opening = F.lit(fixed.COMMENT_NOTHING)
+    for name, text in fixed.COMMENT_SECTIONS.items():
+        opening = F.when(F.col("section") == name, F.lit(text)).otherwise(opening)
+    openings = sections.select(
+        "run_id", F.lit(3).alias("section"), F.lit(1).cast("long").alias("position"), opening.alias("text")
+    )
+    part = lambda template, col: F.when(
+        F.coalesce(F.col(col), F.lit("")) != "", F.format_string(template, col)
+    ).otherwise("")
+    valid = F.col("section") == "validated"
+    block = F.concat(
+        F.format_string(fixed.COMMENT_ITEM, "title", "file", "severity"),
+        F.when(
+            valid,
+            F.concat(
+                F.format_string(fixed.COMMENT_SHARE, _percent(F.col("confidence")), "verdicts"),
+                part("%s\n\n", "body"),
+                part(fixed.COMMENT_FOLDED, "reasoning"),
+            ),
+        ).otherwise(
+            F.concat(
+                part(fixed.COMMENT_FUNCTION, "function"),
+                F.when(F.coalesce("body", F.lit("")) != "", F.format_string("\n%s\n\n", "body")).otherwise("\n"),
+            )
+        ),
+    )
+    shown = items.select(
+        "run_id", F.lit(4).alias("section"), F.col("rn").cast("long").alias("position"), block.alias("text")
+    )
+    left_out = (
+        items.filter((F.col("rn") == 1) & (F.col("omitted") > 0))
+        .select(
+            "run_id",
+            F.lit(4).alias("section"),
+            F.lit(limit + 1).cast("long").alias("position"),
+            F.format_string(fixed.COMMENT_OMITTED, "omitted", "section").alias("text"),
+        )
+    )
+    only_errors = sections.filter("section = 'errors'").select("run_id")
+    message = trimmed("error")
+    errors = (
+        ranked.filter("status = 'error'")
+        .join(only_errors, "run_id", "left_semi")
+        .select(
+            "run_id",
+            F.lit(4).alias("section"),
+            "position",
+            F.format_string(
+                fixed.ERROR_LINE,
+                "display_name",
+                truncate_text(F.when(message == "", F.lit("scan failed")).otherwise(message), fixed.ERROR_CHARS),
+            ).alias("text"),
+        )
+    )
+    return reduce(DataFrame.unionByName, [head, files, openings, shown, left_out, errors])
+
+
 def report_section(
     runs: DataFrame,
     findings: DataFrame,
@@ -307,19 +434,6 @@ def report_section(
     )
 
 
-def scan_errors(results: DataFrame) -> DataFrame:
-    """Error lines of a run, for runs that show them."""
-    message = trimmed("error")
-    shown = F.when(message == "", F.lit("scan failed")).otherwise(message)
-    return results.filter(F.col("status") == "error").select(
-        "run_id",
-        "display_name",
-        F.format_string(
-            fixed.ERROR_LINE, "display_name", truncate_text(shown, fixed.ERROR_CHARS)
-        ).alias("line"),
-    )
-
-
 def markdown_table(
     summary: DataFrame,
     ranked: DataFrame,

@@ -422,6 +422,15 @@ STEPS["pages_out"] = "\nUNION ALL ".join(
     ]
 )
 
+COMMENT_BODY = shorten(f"CASE WHEN {trim('description')} <> '' THEN description ELSE body END", 1200)
+COMMENT_TITLE = f"'#### ' || title || {NL} || {NL} || '- **File**: `' || @file || '`' || {NL} || '- **Severity**: `' || severity || '`' || {NL}"
+REPORT_SECTION = """SELECT *, CASE WHEN n_valid > 0 THEN 'validated' WHEN n_raw > 0 AND n_triaged > 0 THEN 'raw, none survived triage'
+  WHEN n_raw > 0 THEN 'raw, not triaged' WHEN n_errors > 0 THEN 'errors' ELSE 'none' END AS section FROM (
+  SELECT r.run_id, (SELECT count(*) FROM kept_valid t WHERE t.run_id = r.run_id) AS n_valid,
+    (SELECT count(*) FROM triage t WHERE t.run_id = r.run_id) AS n_triaged,
+    (SELECT count(*) FROM findings t WHERE t.run_id = r.run_id) AS n_raw,
+    (SELECT count(*) FROM reports t WHERE t.run_id = r.run_id AND t.status = 'error') AS n_errors FROM runs r)"""
+
 ROUND_PROMPTS = f"""SELECT p.run_id, p.finding_id, p.round_no, p.n_prior::INTEGER AS n_prior,
   {template(ROUND_TEMPLATE, f"'{PROJECT}'", 'f.finding_text', 'f.file', 'f.code')}
   || CASE WHEN f.context <> '' THEN {NL} || {NL} || '**Security context for this file:**' || {NL} || {prefix('f.context', 2000)} ELSE '' END
@@ -562,12 +571,27 @@ FROM survivors WHERE confidence >= 0.5""",
   {shorten(f"CASE WHEN {trim('description')} <> '' THEN description ELSE body END", 1200)} AS body, greatest(n - 20, 0) AS omitted FROM valid_ranked WHERE rn <= 20
 UNION ALL SELECT run_id, 'raw', rn, display_name, title, severity,
   {shorten(f"CASE WHEN {trim('description')} <> '' THEN description ELSE body END", 1200)}, greatest(n - 20, 0) FROM raw_left WHERE rn <= 20""",
-    "report_section": """SELECT *, CASE WHEN n_valid > 0 THEN 'validated' WHEN n_raw > 0 AND n_triaged > 0 THEN 'raw, none survived triage'
-  WHEN n_raw > 0 THEN 'raw, not triaged' WHEN n_errors > 0 THEN 'errors' ELSE 'none' END AS section FROM (
-  SELECT r.run_id, (SELECT count(*) FROM kept_valid t WHERE t.run_id = r.run_id) AS n_valid,
-    (SELECT count(*) FROM triage t WHERE t.run_id = r.run_id) AS n_triaged,
-    (SELECT count(*) FROM findings t WHERE t.run_id = r.run_id) AS n_raw,
-    (SELECT count(*) FROM reports t WHERE t.run_id = r.run_id AND t.status = 'error') AS n_errors FROM runs r)""",
+    "report_section": REPORT_SECTION,
+    "comment_page": f"""SELECT run_id, 1 AS section, 1::BIGINT AS position, '## Review' || {NL} || {NL} || '- **Model**: `{MODEL}`' || {NL}
+  || '- **Files scanned**: `' || files_scanned || '`' || {NL} || '- **Files skipped**: `' || files_skipped || '`' || {NL}
+  || CASE WHEN error_files > 0 THEN '- **Files with errors**: `' || error_files || '`' || {NL} ELSE '' END
+  || CASE WHEN run_id IN (SELECT run_id FROM failing) THEN '- **Result**: failing policy threshold' ELSE '- **Result**: passing policy threshold' END
+  || {NL} || {NL} || '| File | Critical | High | Medium | Low | Status |' || {NL} || '|------|----------|------|--------|-----|--------|' AS text FROM summary
+UNION ALL SELECT run_id, 2, position, '| ' || {_cell('display_name')} || ' | ' || critical || ' | ' || high || ' | ' || medium || ' | ' || low || ' | ' || {_cell('status')} || ' |' FROM ranked
+UNION ALL SELECT run_id, 3, 1, CASE section WHEN 'validated' THEN {NL} || '### Validated Findings' || {NL} || {NL}
+  WHEN 'raw, none survived triage' THEN {NL} || '### Raw Findings' || {NL} || {NL} || '_No findings survived triage; raw scanner findings are listed for visibility._' || {NL} || {NL}
+  WHEN 'raw, not triaged' THEN {NL} || '### Raw Findings' || {NL} || {NL} || '_Triage did not run; these findings are unvalidated._' || {NL} || {NL}
+  WHEN 'errors' THEN {NL} || '### Scan Errors' || {NL} || {NL} ELSE {NL} || 'No findings were reported.' || {NL} END FROM ({REPORT_SECTION})
+UNION ALL SELECT run_id, 4, rn, {COMMENT_TITLE.replace('@file', 'file')} || '- **Confidence**: `' || {percent('confidence')} || ' [' || verdicts || ']`' || {NL} || {NL}
+  || CASE WHEN {COMMENT_BODY} <> '' THEN {COMMENT_BODY} || {NL} || {NL} ELSE '' END
+  || CASE WHEN {trim('reasoning')} <> '' THEN '<details><summary>Triage reasoning</summary>' || {NL} || {NL} || {shorten('reasoning', 1800)} || {NL} || {NL} || '</details>' || {NL} || {NL} ELSE '' END
+  FROM valid_ranked WHERE rn <= 20
+UNION ALL SELECT run_id, 4, rn, {COMMENT_TITLE.replace('@file', 'display_name')} || CASE WHEN coalesce("function", '') <> '' THEN '- **Function**: `' || "function" || '`' || {NL} ELSE '' END
+  || CASE WHEN coalesce({COMMENT_BODY}, '') <> '' THEN {NL} || {COMMENT_BODY} || {NL} || {NL} ELSE {NL} END FROM raw_left WHERE rn <= 20
+UNION ALL SELECT run_id, 4, 21, '_' || (n - 20) || ' more validated finding(s) omitted from this comment._' || {NL} || {NL} FROM valid_ranked WHERE rn = 1 AND n > 20
+UNION ALL SELECT run_id, 4, 21, '_' || (n - 20) || ' more raw finding(s) omitted from this comment._' || {NL} || {NL} FROM raw_left WHERE rn = 1 AND n > 20
+UNION ALL SELECT run_id, 4, position, '- `' || display_name || '`: ' || {shorten(f"CASE WHEN {trim('error')} = '' THEN 'scan failed' ELSE error END", 500)} FROM ranked
+  WHERE status = 'error' AND run_id IN (SELECT run_id FROM ({REPORT_SECTION}) WHERE section = 'errors')""",
     "markdown_table": "SELECT * FROM pages_out",
     "truncate_text": f"""SELECT doc_id, {shorten('text', 1200)} AS body, {shorten('text', 1800)} AS reasoning, {shorten('text', 500)} AS error FROM documents""",
     "safe_names": f"""SELECT run_id, file_id, slug, count(*) OVER (PARTITION BY run_id, slug) AS n_same,

@@ -240,6 +240,19 @@ def _markdown(i: Inputs) -> DataFrame:
     )
 
 
+def _comment(i: Inputs) -> DataFrame:
+    results, triage, findings = i.once("results"), i.once("triage_full"), i.once("findings")
+    return rep.comment_page(
+        _summary(i, results),
+        rep.file_ranking(results),
+        rep.comment_items(findings, triage, 0.75),
+        rep.report_section(i.runs, findings, triage, i.reports, 0.75),
+        rep.gate_validated(triage),
+        "Review",
+        MODEL,
+    )
+
+
 def _details(i: Inputs) -> DataFrame:
     triage = i.once("triage_full")
     return (
@@ -407,6 +420,7 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "sarif_results": lambda i: rep.sarif_results(i.findings(), i.triage_full()),
     "sarif_log": lambda i: rep.sarif_log(rep.sarif_results(i.findings(), i.triage_full()), "auditloom"),
     "comment_topk": lambda i: rep.comment_topk(i.once("findings"), i.once("triage_full"), 0.75),
+    "comment_page": _comment,
     "report_section": lambda i: rep.report_section(
         i.runs, i.once("findings"), i.once("triage"), i.reports, 0.75
     ),
