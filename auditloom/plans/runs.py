@@ -25,6 +25,31 @@ def _keyed(requests: DataFrame, responses: DataFrame, keys: list[str]) -> DataFr
     return requests.select(*keys, "request_id").join(responses, "request_id").drop("request_id")
 
 
+def _answers(
+    requests: DataFrame, model_fn: Model, concurrency: int | None, folder: str | None
+) -> DataFrame:
+    """Response rows of the requests, stored before they are used.
+
+    With a shared ``folder`` answers outlive the session: only requests without a stored
+    answer are asked, and an answer stands before an error of an earlier try.
+    """
+    if folder is None:
+        return durable(comp.run_completions(requests, model_fn, concurrency))
+    spark = requests.sparkSession
+    spark.createDataFrame([], comp.RESPONSE).write.mode("append").parquet(folder)
+    known = spark.read.schema(comp.RESPONSE).parquet(folder)
+    left = comp.pending_requests(requests, known)
+    comp.run_completions(left, model_fn, concurrency).write.mode("append").parquet(folder)
+    every = spark.read.schema(comp.RESPONSE).parquet(folder)
+    asked = every.join(requests.select("request_id"), "request_id", "left_semi")
+    row = F.struct(*[F.col(c) for c in every.columns])
+    return (
+        asked.groupBy("request_id")
+        .agg(F.max_by(row, F.col("error").isNull()).alias("r"))
+        .select("r.*")
+    )
+
+
 def scan_run(
     files: DataFrame,
     lines: DataFrame,
@@ -37,15 +62,15 @@ def scan_run(
     example: tuple[str, str],
     user_template: str,
     concurrency: int | None = None,
+    answers: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(results, findings) of files (run_id, file_id, display_name, content).
 
-    Responses of each stage are stored before they are used: a lost executor never
-    repeats a paid call.
+    Responses of each stage are stored before they are used, in the folder ``answers``
+    if given: a run started again asks only what has no answer there.
     """
     asked = comp.context_requests(files, context_system, model)
-    answers = durable(comp.run_completions(asked, model_fn, concurrency))
-    contexts = _keyed(asked, answers, FILE)
+    contexts = _keyed(asked, _answers(asked, model_fn, concurrency, answers), FILE)
     evidence = ev.gather_evidence(contexts.filter("error IS NULL"), lines, FILE, "content")
     full = F.concat(
         "content",
@@ -59,7 +84,7 @@ def scan_run(
     scans = comp.scan_requests(
         files, told, scan_system, context_heading, example, user_template, model
     )
-    scanned = _keyed(scans, durable(comp.run_completions(scans, model_fn, concurrency)), FILE)
+    scanned = _keyed(scans, _answers(scans, model_fn, concurrency, answers), FILE)
     results = comp.scan_results(files, contexts, scanned)
     findings = find.parse_findings(results.filter("status = 'ok'"), [*FILE, "display_name"])
     return results, findings
@@ -78,6 +103,7 @@ def triage_run(
     arbiter_system: str = "",
     rounds: int = fixed.ROUNDS,
     concurrency: int | None = None,
+    answers: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(decisions, rounds) of findings (see ``round_prompts`` for their columns).
 
@@ -92,8 +118,8 @@ def triage_run(
         requests = comp.triage_requests(
             prompts.withColumn("round_no", F.lit(round_no)), ROUND, stage, instructions, model
         )
-        answers = durable(comp.run_completions(requests, model_fn, concurrency))
-        return tri.parse_verdicts(_keyed(requests, answers, ROUND), ROUND)
+        found = _answers(requests, model_fn, concurrency, answers)
+        return tri.parse_verdicts(_keyed(requests, found, ROUND), ROUND)
 
     done: DataFrame | None = None
     for number in range(1, count + 1):
@@ -115,3 +141,46 @@ def triage_run(
         prompts = tri.arbiter_requests(findings, done, arbiter_template, project)
         arbiter = ask(prompts, count + 1, "arbiter", arbiter_system)
     return tri.final_verdict(findings, done, arbiter), done
+
+
+def triage_input(
+    files: DataFrame,
+    results: DataFrame,
+    findings: DataFrame,
+    threshold: str = "medium",
+    mode: str = "enabled",
+) -> DataFrame:
+    """Candidates with an id of their own, their file's code and its context."""
+    named = findings.withColumn(
+        "finding_id", digest_id(F.col("run_id"), F.col("file_id"), F.col("pos"))
+    )
+    code = files.select(*FILE, F.col("content").alias("code"))
+    return (
+        tri.triage_candidates(named, results, threshold, mode)
+        .withColumnRenamed("display_name", "file")
+        .join(code, FILE)
+        .join(results.select(*FILE, "context"), FILE)
+    )
+
+
+def review_run(
+    files: DataFrame,
+    lines: DataFrame,
+    model_fn: Model,
+    *,
+    scan: dict,
+    triage: dict,
+    threshold: str = "medium",
+    mode: str = "enabled",
+    concurrency: int | None = None,
+    answers: str | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(results, findings, decisions, rounds): scan files, then triage what was found.
+
+    ``scan`` and ``triage`` hold the other arguments of ``scan_run`` and ``triage_run``.
+    """
+    shared = {"concurrency": concurrency, "answers": answers}
+    results, findings = (durable(x) for x in scan_run(files, lines, model_fn, **scan, **shared))
+    chosen = durable(triage_input(files, results, findings, threshold, mode))
+    decided, rounds = triage_run(chosen, lines, model_fn, **triage, **shared)
+    return results, findings, decided, rounds

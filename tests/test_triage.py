@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from auditloom.operators import completions as comp
 from auditloom.operators import triage as tri
-from auditloom.plans.runs import scan_run, triage_run
+from auditloom.plans.runs import review_run, scan_run, triage_run
 
 ROUND = ["run_id", "finding_id", "round_no"]
 
@@ -178,3 +178,43 @@ def test_finding_text_falls_back(spark):
     df = spark.createDataFrame(rows, "severity string, title string, body string, description string, file string")
     got = [r[0].split("\n\n", 1)[1] for r in df.select(tri.finding_text(df)).collect()]
     assert got == ["b", "d", '{"severity":"high","title":"T\\u003cx\\u003e","file":"f.c"}', '{"severity":"high","title":"T"}']
+
+
+def test_a_whole_run_and_its_second_start(spark, tmp_path):
+    import pandas as pd
+
+    log = str(tmp_path / "calls")
+
+    def model(batch: pd.DataFrame) -> pd.DataFrame:
+        payload, request = batch["payload"].iloc[0], batch["request_id"].iloc[0]
+        with open(log, "a") as f:
+            f.write(request + "\n")
+        if "json_object" in payload:
+            content = '{"verdict":"VALID","reasoning":"seen","grep":"needle"}'
+        elif '"assistant"' in payload:
+            content = '[{"severity":"high","title":"T","description":"d"},{"severity":"low","title":"L"}]'
+        else:
+            content = "Briefing. GREP: needle"
+        return pd.DataFrame([[request, content, 1, 1, 2, 0.25, None]], columns=[
+            "request_id", "content", "prompt_tokens", "completion_tokens", "total_tokens", "elapsed_s", "error"])
+
+    files = spark.createDataFrame([("r", 1, "ok.c", "int a;"), ("r", 2, "b.c", "int b;")], "run_id string, file_id int, display_name string, content string")
+    lines = spark.createDataFrame([("r", "ok.c", 1, "needle")], "run_id string, path string, line int, text string")
+
+    def start():
+        results, found, decided, rounds = review_run(
+            files, lines, model, answers=str(tmp_path / "answers"),
+            scan={"model": "m", "context_system": "s", "scan_system": "t", "context_heading": "\n", "example": ("u", "a"), "user_template": "%s %s"},
+            triage={"project": "p", "template": "P %s\n%s\n%s\n%s", "arbiter_template": "%s %s %s %s %s %d %d %s %s", "rounds": 2, "model": "m", "system": "judge"},
+        )
+        assert found.count() == 4 and results.filter("status = 'ok'").count() == 2
+        assert {r.evidence is not None for r in rounds.collect()} == {True}
+        assert {(r.tokens, r.elapsed_s) for r in rounds.collect()} == {(2, 0.3)}
+        return sorted((r.file, r.title, r.verdict, r.verdicts) for r in decided.collect())
+
+    want = [("b.c", "T", "VALID", "VV->V"), ("ok.c", "T", "VALID", "VV->V")]
+    assert start() == want
+    calls = open(log).read().split()
+    assert len(calls) == len(set(calls)) == 2 + 2 + 2 * 3
+    assert start() == want
+    assert open(log).read().split() == calls
