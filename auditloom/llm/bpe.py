@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .packing import byte_letters, loaded
 
 #: Words remembered by a task; symbols of the longest word that takes part in rounds.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 LONG_WORD = 2000
 
 _NONE = np.iinfo(np.int64).max

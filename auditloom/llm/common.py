@@ -78,7 +78,7 @@ def spread_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Colum
 class WordHashes(dict):
     """128-bit hashes of words, remembered up to a bound."""
 
-    LIMIT = 1_000_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.LIMIT:
