@@ -62,7 +62,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-_RESULT = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_RESULT = "id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 _FULL = f"part int, role string, text string, {_RESULT}"
 
 
@@ -73,9 +73,9 @@ def _results(ids: list, texts: list[str], prints: list[bytes], following: list[s
     return {
         "id": pa.array(ids, pa.int64()),
         "n_chars": pa.array([len(t) for t in texts], pa.int64()),
-        "edited_sha256": pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed], pa.string()),
-        "fingerprint": pa.array([p.hex() for p in prints], pa.string()),
-        "edited_fingerprint": pa.array([p.hex() for p in changed_prints], pa.string()),
+        "edited_sha256": pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in changed], pa.binary()),
+        "fingerprint": pa.array(prints, pa.binary()),
+        "edited_fingerprint": pa.array(changed_prints, pa.binary()),
         "near_edited": pa.array([likeness(a, b) for a, b in zip(prints, changed_prints)], pa.float64()),
         "near_next": pa.array([likeness(a, b) for a, b in zip(prints, next_prints)], pa.float64()),
     }
@@ -83,8 +83,9 @@ def _results(ids: list, texts: list[str], prints: list[bytes], following: list[s
 
 def _edge(part: int, role: str, row: tuple) -> pa.RecordBatch:
     id_, text, print_ = row
-    values = {"part": [part], "role": [role], "text": [text], "id": [id_], "n_chars": [len(text)], "fingerprint": [print_.hex()]}
-    kinds = {"part": pa.int32(), "id": pa.int64(), "n_chars": pa.int64(), "near_edited": pa.float64(), "near_next": pa.float64()}
+    values = {"part": [part], "role": [role], "text": [text], "id": [id_], "n_chars": [len(text)], "fingerprint": [print_]}
+    binary = dict.fromkeys(("edited_sha256", "fingerprint", "edited_fingerprint"), pa.binary())
+    kinds = binary | {"part": pa.int32(), "id": pa.int64(), "n_chars": pa.int64(), "near_edited": pa.float64(), "near_next": pa.float64()}
     names = ["part", "role", "text", "id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     return pa.record_batch([pa.array(values.get(n, [None]), kinds.get(n, pa.string())) for n in names], names)
 
@@ -120,8 +121,7 @@ def _edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             ids, texts, prints, following, next_prints = (c.to_pylist() for c in batch.columns)
-            back = [[bytes.fromhex(p) for p in x] for x in (prints, next_prints)]
-            columns = _results(ids, texts, back[0], following, back[1])
+            columns = _results(ids, texts, prints, following, next_prints)
             yield pa.record_batch(list(columns.values()), list(columns))
 
 
@@ -155,4 +155,8 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .select("id", "text", "fingerprint", "following", "next_print")
         .mapInArrow(_edge_rows, _RESULT)
     )
-    return done.filter("role IS NULL").drop("part", "role", "text").union(edges)
+    rows = done.filter("role IS NULL").drop("part", "role", "text").union(edges)
+    # stored as bytes, shown in hex
+    return rows.select(
+        *[F.lower(F.hex(c)).alias(c) if kind == "binary" else F.col(c) for c, kind in rows.dtypes]
+    )
