@@ -57,13 +57,6 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """A key that tells rows apart which share an id but not their text."""
-    return F.struct(
-        F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("digest")
-    )
-
-
 def spread_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, salts: int = 16):
     """Inner join on ``keys`` where a key may hold much of ``big``.
 

@@ -445,8 +445,3 @@ def keep_one(
     )
     keys = ["_mh_id", "_mh_row"]
     return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
-
-
-def shingle_sets_of(text: str) -> np.ndarray:
-    """The shingle set of one text, for tests and inspection."""
-    return shingles(text.encode(), WordHashes())
