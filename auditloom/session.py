@@ -7,10 +7,6 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-# a table may be broadcast only when counted to be within this bound
-BROADCAST_ROWS = 100_000
-
-
 def prepare(spark: SparkSession) -> SparkSession:
     """Runtime settings the operators rely on; safe to call repeatedly."""
     for key, value in {
