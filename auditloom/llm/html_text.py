@@ -60,14 +60,19 @@ IN_HEAD = set("base link meta title style script noscript template head".split()
 LISTS = {"ul", "ol", "menu", "dir"}
 MAX_SPAN = 1000
 
+#: An attribute as HTML's tokeniser reads it: a quote opens a run only where a value starts.
+_NAME = r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+"
+_EQUALS = r"[ \t\n\r\f]*+=[ \t\n\r\f]*+"
+_BARE = r"[^ \t\n\r\f>\"'][^ \t\n\r\f>]*+"
 _PIECE = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
-    r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)"
+    rf"(?P<attrs>(?:[ \t\n\r\f/]++|{_NAME}(?:{_EQUALS}(?:\"[^\"]*\"|'[^']*'|{_BARE}|(?=>))|(?!{_EQUALS})))*+)>"
     r"|<[!?/][^>]*>"
     r"|(?P<text>[^<]+|<(?![A-Za-z!?/]))",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:{_EQUALS}(?:\"([^\"]*)\"|'([^']*)'|({_BARE}))?)?")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 _HIDES = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.IGNORECASE)
 _VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)", re.IGNORECASE)

@@ -39,6 +39,26 @@ def test_layout(page):
     assert visible_text(page) == CASES[page]
 
 
+STRAY_QUOTES = {
+    "<p title=it's>hello</p><p>world</p>": "hello\n\nworld",
+    "<p title=it's>hello</p><p>don't stop</p>": "hello\n\ndon't stop",
+    '<img alt="5" tall"><p>text</p>': "text",
+    '<img alt="5"" tall><p>6" wide</p>': '6" wide',
+    "<p 'a>x</p 'b>y": "x\n\ny",
+    '<p ="a>x</p>y"': 'x\n\ny"',
+    "<p title = 'a>b' id=c\"d>x": "x",
+    "<p title=>x": "x",
+    '<div a=b\' style="display:none">no</div>yes': "yes",
+    "<input value=it's><input value='a>b'>": "it'sa>b",
+    "x<p title=\"a' >y": "x",
+}
+
+
+@pytest.mark.parametrize("page", STRAY_QUOTES)
+def test_quotes_open_a_run_only_where_a_value_starts(page):
+    assert visible_text(page) == STRAY_QUOTES[page]
+
+
 def test_hostile_pages():
     assert visible_text(None) is None
     assert visible_text("<div>" * 30_000 + "deep") == "deep"
