@@ -54,6 +54,10 @@ ENDS = {
     "optgroup": ({"optgroup", "option"}, {"select"}),
     "body": ({"head"}, {"html"}),
 }
+#: An opening tag of these ends an open caption.
+ENDS_CAPTION = set("caption col colgroup tbody td tfoot th thead tr".split())
+#: Opening tags of these leave an open column group open.
+IN_COLUMN_GROUP = {"col", "template"}
 #: End tags look for their element no further than these.
 SCOPE = {"table", "td", "th", "caption", "template"}
 IN_HEAD = set("base link meta title style script noscript template head".split())
@@ -126,6 +130,10 @@ class _Builder:
             self.close({"head"}, set())
         if name in ("html", "body") and any(n.name == name for n in self.open[:4]):
             return
+        if self.open[-1].name == "colgroup" and name not in IN_COLUMN_GROUP:
+            self.close({"colgroup"}, set())
+        if name in ENDS_CAPTION:
+            self.close({"caption"}, {"table"})
         if name in ENDS_PARAGRAPH:
             self.close({"p"}, SCOPE | {"button", "object"})
         if name in ENDS:
@@ -148,8 +156,8 @@ class _Builder:
         self.close({name}, within)
 
     def text(self, data: str) -> None:
-        if len(self.open) > 1 and self.open[-1].name == "head" and data.strip(" \t\n\r\f"):
-            self.close({"head"}, set())
+        if len(self.open) > 1 and self.open[-1].name in ("head", "colgroup") and data.strip(" \t\n\r\f"):
+            self.close({self.open[-1].name}, set())
         self.open[-1].children.append(data)
 
 

@@ -59,6 +59,23 @@ def test_quotes_open_a_run_only_where_a_value_starts(page):
     assert visible_text(page) == STRAY_QUOTES[page]
 
 
+OPEN_PARTS = {
+    "<table><colgroup><col><col><tr><td>a</td></tr></table>": "a",
+    "<table><colgroup><col><col><td>a<th>b</table>c": "a  b\n\nc",
+    "<table><colgroup>\n<col>\n<template>no</template><col><tbody><tr><td>a</table>": "a",
+    "<table><colgroup><col><colgroup><col><tr><td>a<td>b</table>": "a  b",
+    "<table><colgroup><col><caption>Cap</caption><tr><td>a</table>": "Cap\na",
+    "<table><caption>Cap <b>x</b><colgroup><col><tr><td>a<tr><td>b</table>": "Cap x\na\nb",
+    "<table><caption>Cap<td>a<td>b</table>": "Cap\na  b",
+    "<div><colgroup>text</div>": "text",
+}
+
+
+@pytest.mark.parametrize("page", OPEN_PARTS)
+def test_column_groups_and_captions_left_open(page):
+    assert visible_text(page) == OPEN_PARTS[page]
+
+
 def test_hostile_pages():
     assert visible_text(None) is None
     assert visible_text("<div>" * 30_000 + "deep") == "deep"
