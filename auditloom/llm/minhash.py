@@ -20,15 +20,16 @@ the probability that no band agrees, (1 - t^4)^16 < 1e-5 at a similarity t of 0.
 ``MISS`` for each batch.
 
 Defined results.  A null or wordless text has an empty set and is linked with nothing.
-Repeated rows get the same answer.  Rows that share an id but not their text are grouped
-each by its own text; an id that leads two classes joins them.  A null id ranks behind
-all others and is returned as null.  Empty tables give empty results; other
-columns are not looked at.
+Repeated rows get the same answer.  Rows that share an id, or have none, are grouped each
+by its own text: links run between classes, and ids only name a component.  Its smallest
+id leads it, and of several texts of that id the one of smallest hash.  A null id ranks
+behind all others and is returned as null.  Empty tables give empty results; other columns
+are not looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ready, rolled, stored, texts
+from .common import BLANKS, WordHashes, ready, rolled, spread_join, stored, texts
 
 SHINGLE = 5
 #: Minima in a signature; the first BANDS * ROWS of them are cut into bands.
@@ -309,11 +310,13 @@ def _one_set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
 
-def across(buckets: DataFrame, marked: DataFrame, docs: DataFrame, threshold_pct: int) -> DataFrame:
+def across(
+    buckets: DataFrame, marked: DataFrame, docs_of: Callable[[DataFrame], DataFrame], threshold_pct: int
+) -> DataFrame:
     """Verified links within a bucket between different components.
 
-    ``buckets``: (bucket, band, id); ``marked``: (id, signature, component); ``docs``:
-    (id, text).  A bucket's members outside its first component form blocks, and each of
+    ``buckets``: (bucket, band, id); ``marked``: (id, signature, component); ``docs_of``:
+    from (id) to (id, text).  A bucket's members outside its first component form blocks, and each of
     these meets the bucket's members in parts, so a task holds two blocks whatever the
     size of the bucket.  The first pass compares signatures and puts out the members
     worth a closer look, each once a block; the second has their full sets and puts out
@@ -339,7 +342,7 @@ def across(buckets: DataFrame, marked: DataFrame, docs: DataFrame, threshold_pct
         "id", "bucket", "band", every(n_few).alias("x"), F.pmod(spot, n_all).cast("int").alias("y"), F.lit(False).alias("few")
     )
     # the work in a block is not told by its bytes, so the blocks are not put together
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     block = ["bucket", "x", "y"]
     picked = stored(
         few.union(all_)
@@ -350,7 +353,7 @@ def across(buckets: DataFrame, marked: DataFrame, docs: DataFrame, threshold_pct
             _candidate_members(threshold_pct), "bucket long, x int, y int, few boolean, id long, component long"
         )
     )
-    sets = docs.join(picked.select("id").distinct(), "id").select("id", "text").mapInArrow(_one_set_rows, "id long, set binary")
+    sets = docs_of(picked.select("id").distinct()).mapInArrow(_one_set_rows, "id long, set binary")
     return (
         picked.join(sets, "id")
         .repartition(n_parts, *block)
@@ -367,38 +370,52 @@ def groups(
     and row, a hash of its text."""
     ready(docs.sparkSession)
     rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("id"), F.col(text_col).alias("text")
+        F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("id"),
+        F.col(text_col).alias("text"),
+        F.xxhash64(text_col).alias("row"),
     )
     sketches = stored(
-        rows.withColumn("row", F.xxhash64("text")).mapInArrow(
+        rows.mapInArrow(
             _sketch_rows, "id long, n_shingles long, one long, two long, signature binary, row long"
         )
     )
-    # a class: documents of one word sequence
+    # a class: documents of one word sequence; its digest is its key in links and components
     classes = stored(
-        sketches.filter("n_shingles > 0").groupBy("one", "two").agg(F.min("id").alias("first"))
+        sketches.filter("n_shingles > 0")
+        .groupBy("one", "two")
+        .agg(F.min(F.struct("id", "row")).alias("head"))
+        .select("one", "two", F.col("head.id").alias("first"), F.col("head.row").alias("first_row"))
     )
-    chosen = (
+    chosen = stored(
         sketches.join(classes, ["one", "two"])
-        .filter("id = first")
-        .select("id", "one", "two", "signature")
-        .dropDuplicates(["id", "one", "two"])
-        .select("id", "signature")
+        .filter("id = first and row = first_row")
+        .select(F.col("one").alias("id"), "signature")
+        .dropDuplicates(["id"])
     )
-    chosen = stored(chosen)
+
+    def docs_of(nodes: DataFrame) -> DataFrame:
+        """One text for each class of these keys."""
+        heads = classes.join(nodes.select(F.col("id").alias("one")), "one").select(
+            F.col("one").alias("node"), F.col("first").alias("id"), F.col("first_row").alias("row")
+        )
+        return stored(
+            rows.join(heads, ["id", "row"]).select(F.col("node").alias("id"), "text").dropDuplicates(["id"])
+        )
+
     buckets = chosen.select("id", "signature").mapInArrow(_band_rows, "bucket long, band int, id long").distinct()
     pivots = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a < last")
     shared = stored(buckets.join(pivots.select("bucket", "a"), "bucket"))
 
     pairs = shared.filter("a < id").select("a", F.col("id").alias("b")).distinct()
     sided = lambda c: chosen.select(F.col("id").alias(c), F.col("signature").alias(f"signature_{c}"))
-    survivors = (
+    survivors = stored(
         pairs.join(sided("b"), "b")
         .join(sided("a"), "a")
         .select("a", "b", "signature_a", "signature_b")
         .mapInArrow(_tested(threshold_pct), "a long, b long")
     )
-    links = stored(verify(survivors, rows, threshold_pct))
+    met = survivors.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    links = stored(verify(survivors, docs_of(met), threshold_pct))
 
     def with_component(found: DataFrame) -> DataFrame:
         return (
@@ -407,22 +424,27 @@ def groups(
         )
 
     reached = components(links)
-    more = stored(across(shared.select("bucket", "band", "id"), with_component(reached), rows, threshold_pct))
+    more = stored(across(shared.select("bucket", "band", "id"), with_component(reached), docs_of, threshold_pct))
     if not more.isEmpty():
         reached = components(links.union(more))
 
-    named = classes.join(reached.withColumnRenamed("id", "first"), "first", "left").select(
-        "one", "two", F.coalesce("component", "first").alias("component")
+    head = F.struct(F.col("first").alias("id"), "one", F.col("first_row").alias("row")).alias("head")
+    linked = stored(classes.join(reached.withColumnRenamed("id", "one"), "one").select("one", "two", "component", head))
+    leads = linked.groupBy("component").agg(F.min("head").alias("lead"))
+    led = spread_join(linked.select("one", "two", "component"), leads, ["component"], F.col("one"))
+    named = classes.select("one", "two", head).join(led, ["one", "two"], "left").select(
+        "one", "two", F.coalesce("lead", "head").alias("lead")
     )
     labelled = sketches.select("id", "n_shingles", "one", "two", "row").join(named, ["one", "two"], "left")
     top = F.lit(int(NO_ID))
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
+    wordy = F.col("n_shingles") > 0
+    component = F.when(wordy, F.col("lead.id")).otherwise(F.col("id"))
     shown = lambda c: F.when(c < top, c)
     return labelled.select(
         shown(F.col("id")).alias("id"),
         "n_shingles",
         shown(component).alias("component_id"),
-        (component == F.col("id")).alias("kept"),
+        F.when(wordy, F.col("lead") == F.struct("id", "one", "row")).otherwise(F.lit(True)).alias("kept"),
         "row",
     )
 
@@ -433,15 +455,18 @@ def keep_one(
     """The documents of which each group's smallest id stays; same columns.
 
     Equal rows of a kept id leave one; its rows of another text are documents of their own.
+    Rows with neither id nor words are linked with nothing and all stay.
     """
+    bare = F.col(id_col).isNull() & ~F.coalesce(F.col(text_col), F.lit("")).rlike(BLANKS.replace("[", "[^"))
     kept = (
         groups(docs, id_col, text_col, threshold_pct)
         .filter("kept")
         .select(F.coalesce("id", F.lit(int(NO_ID))).alias("_mh_id"), F.col("row").alias("_mh_row"))
         .distinct()
     )
-    keyed = docs.withColumn("_mh_id", F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID)))).withColumn(
+    keyed = docs.filter(~bare).withColumn("_mh_id", F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID)))).withColumn(
         "_mh_row", F.xxhash64(text_col)
     )
     keys = ["_mh_id", "_mh_row"]
-    return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    one_each = keyed.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    return one_each.union(docs.filter(bare))

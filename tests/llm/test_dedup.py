@@ -114,6 +114,35 @@ def test_one_of_each_group_stays(messy):
     assert ids.count(None) == 1
 
 
+def test_unrelated_texts_of_one_id_or_none_stay_apart(spark):
+    base = prose(70, 120)
+    near = base.replace(base.split()[60], "changed")
+    texts = [prose(71 + k, 100) for k in range(5)]
+    rows = [
+        (1, base), (None, near), (None, texts[0]), (None, texts[1]), (None, texts[1]),  # near an id, and apart
+        (2, texts[2]), (2, texts[3]), (3, texts[3].upper()), (3, texts[4]),  # ids of two texts
+        (None, None), (None, None), (None, " "), (4, ""),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.row, r.id, r.component_id, r.kept) for r in minhash.groups(df).collect()}
+    assert sorted((str(i), str(c), k) for _, i, c, k in got) == sorted(
+        [("1", "1", True), ("None", "1", False), ("None", "None", True), ("None", "None", True),
+         ("2", "2", True), ("2", "2", True), ("3", "2", False), ("3", "3", True),
+         ("None", "None", True), ("None", "None", True), ("4", "4", True)]
+    )
+    kept = sorted(map(repr, map(tuple, minhash.keep_one(df).collect())))
+    assert kept == sorted(map(repr, [(1, base), (None, texts[0]), (None, texts[1]), (2, texts[2]), (2, texts[3]),
+                                     (3, texts[4]), (None, None), (None, None), (None, " "), (4, "")]))
+
+
+def test_near_texts_of_one_id_leave_one(spark):
+    base = prose(70, 120)
+    rows = [(i, base.replace(base.split()[60], f"changed{k}")) for i in (None, 5) for k in range(3)]
+    for i in (None, 5):
+        df = spark.createDataFrame([r for r in rows if r[0] == i], "doc_id long, text string")
+        assert minhash.keep_one(df).count() == 1
+
+
 def test_looks_follow_the_posterior():
     for n, m in minhash.least_matches(85):
         # by numeric integration of the posterior density
