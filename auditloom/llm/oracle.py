@@ -123,10 +123,127 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit: a byte enters with the first of its eight steps."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    step = "CASE WHEN xor(a, b) & 1 = 1 THEN xor(xor(a, b) >> 1, 3988292384) ELSE xor(a, b) >> 1 END"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {bits}), lambda a, b: {step}), 4294967295)"
+
+
+PREFIX_TRIE = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) AS own FROM t GROUP BY conv_id),
+h AS (SELECT *, {_crc32('CAST(conv_id AS VARCHAR)')} % 6 AS h FROM c),
+r AS (
+  SELECT h.conv_id, list_concat(coalesce(b.own[1:h.h], []), h.own[h.h + 1:]) AS turns
+  FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 100),
+m AS (
+  SELECT conv_id, depth, turns[1:depth] AS prefix, len(turns) = depth AS ends
+  FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS depth FROM r)),
+n AS (
+  SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends) AS ends
+  FROM m GROUP BY prefix, depth),
+kids AS (SELECT prefix[1:depth - 1] AS prefix, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+w AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf,
+    CASE WHEN depth > 0 THEN (n_convs - 1) * length(prefix[depth].text) ELSE 0 END AS saved
+  FROM n LEFT JOIN kids USING (prefix, depth)),
+sums AS (
+  SELECT prefix[1:top] AS prefix, top AS depth, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT prefix, leaf, saved, unnest(range(0, depth + 1)) AS top FROM w) GROUP BY ALL)
+SELECT w.conv_id, CAST(w.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(w.ends, '')) AS ends_sha256
+FROM w JOIN sums s ON s.prefix = w.prefix AND s.depth = w.depth
+LEFT JOIN w p ON p.depth = w.depth - 1 AND p.prefix = w.prefix[1:w.depth - 1]
+"""
+
+
+def _repair() -> str:
+    """Backwards over the rows, one column a state: 0 nothing yet, 1 after s, 2 after a, 3 after u.
+
+    A value is (cost, audit, lines), the least by cost and then audit.
+    """
+    after, role = (3, 3, 3, 2), ("user", "user", "user", "assistant")
+    keeps = {(0, "s"): 1, (0, "u"): 3, (1, "u"): 3, (2, "u"): 3, (3, "a"): 2}
+
+    def made(cost: str, letter: str, line: str | None, rest: str) -> str:
+        lines = f"list_concat([{line}], {rest}.o)" if line else f"{rest}.o"
+        return f"{{'c': {rest}.c + {cost}, 'a': '{letter}' || {rest}.a, 'o': {lines}}}"
+
+    impossible = "{'c': CAST(1000000000 AS BIGINT), 'a': '', 'o': CAST([] AS VARCHAR[])}"
+
+    def own(state: int) -> str:
+        ways = [made("3", "D", None, f"v{state}")]
+        ways += [
+            f"CASE WHEN free AND initial = '{first}' THEN {made('late', 'K', 'line', f'v{to}')} ELSE {impossible} END"
+            for (at, first), to in keeps.items() if at == state
+        ]
+        again = f"'{role[state]}:' || text"
+        ways.append(f"CASE WHEN free THEN {made('late + 2', 'R', again, f'v{after[state]}')} ELSE {impossible} END")
+        return f"list_min([{', '.join(ways)}]) AS w{state}"
+
+    def inserted(state: int) -> str:
+        first, second = after[state], after[after[state]]
+        once = made("2", "I", f"'{role[state]}:'", f"w{first}")
+        twice = (
+            f"{{'c': w{second}.c + 4, 'a': 'II' || w{second}.a, "
+            f"'o': list_concat(['{role[state]}:', '{role[first]}:'], w{second}.o)}}"
+        )
+        return f"list_min([w{state}, {once}, {twice}]) AS v{state}"
+
+    ends = ("[]", "['user:', 'assistant:']", "[]", "['assistant:']")
+    start = ", ".join(
+        f"{{'c': CAST({2 * len(x)} AS BIGINT), 'a': '{'I' * len(x)}', 'o': CAST({e} AS VARCHAR[])}} AS v{k}"
+        for k, (x, e) in enumerate(zip(("", "II", "", "I"), ends))
+    )
+    return rf"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), ' ') AS key, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind
+  FROM conversations),
+damaged AS (
+  SELECT key, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM raw WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last FROM damaged),
+faults AS (
+  SELECT *, left(role, 1) AS initial, role || ':' || text AS line,
+    CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY key, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY key ORDER BY i) || left(role, 1) AS pair FROM placed),
+rows AS (SELECT *, fault NOT IN ('blank', 'duplicate') AS free, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS late FROM faults),
+path AS (
+  SELECT key, max(i) + 1 AS i, {start} FROM rows GROUP BY key
+  UNION ALL
+  SELECT key, i, {', '.join(inserted(k) for k in range(4))} FROM (
+    SELECT r.key, r.i, {', '.join(own(k) for k in range(4))} FROM path JOIN rows r ON r.key = path.key AND r.i = path.i - 1)),
+counts AS (
+  SELECT key, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY key),
+ids AS (SELECT DISTINCT conv_id, key FROM raw)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(v0.c, 0) AS BIGINT) AS cost,
+  coalesce(v0.a, '') AS audit, sha256(coalesce(array_to_string(v0.o, chr(10)), '')) AS repaired_sha256
+FROM ids LEFT JOIN counts USING (key) LEFT JOIN (SELECT key, v0 FROM path WHERE i = 1) USING (key)
+"""
+
+
+CONVERSATION_REPAIR = _repair()
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": SUBSTRING_DEDUP,
         "op4_minhash": MINHASH,
         "op5_line_frequency": LINE_FREQUENCY,
         "op9_license_scan": LICENSE_SCAN,
+        "op11_prefix_trie": PREFIX_TRIE,
+        "op13_conversation_repair": CONVERSATION_REPAIR,
     }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import (
     bpe,
+    conversation_repair,
     html_text,
     language_id,
     license_scan,
@@ -17,6 +18,8 @@ from . import (
     minhash,
     packing,
     phrase_prints,
+    prefix_trie,
+    secret_scan,
     substring_dedup,
     warc,
 )
@@ -100,6 +103,31 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(
+        table(spark, sf_dir, "conversations"), prefix_trie.branched_conversations
+    )
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, secret_scan.train(docs))
+    show = lambda spans: F.array_join(
+        F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ","
+    )
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[count(k) for k in secret_scan.KINDS],
+        F.sha2(show(F.filter("spans", lambda x: x["kind"].isin(*secret_scan.KINDS))), 256).alias("base_sha256"),
+        show(F.col("spans")).alias("spans"),
+    )
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_substring_dedup,
     op2_packing,
@@ -111,6 +139,9 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op8_warc,
     op9_license_scan,
     op10_bpe,
+    op11_prefix_trie,
+    op12_secret_scan,
+    op13_conversation_repair,
 ]
 
 

@@ -18,7 +18,7 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(oracle.oracle_sql()))
 def test_query_like_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
     got = queries.queries()[name](spark, FOLDER)
     found = con.sql(oracle.oracle_sql()[name])
@@ -28,10 +28,10 @@ def test_query_like_sql(spark, name):
 
 
 def test_every_operator_has_its_query():
-    assert [int(n.split("_")[0][2:]) for n in queries.queries()] == list(range(1, 11))
+    assert [int(n.split("_")[0][2:]) for n in queries.queries()] == list(range(1, 14))
 
 
-@pytest.mark.parametrize("name", ["op2_packing", "op3_language_id", "op6_html_text", "op7_phrase_prints", "op8_warc", "op10_bpe"])
+@pytest.mark.parametrize("name", ["op2_packing", "op3_language_id", "op6_html_text", "op7_phrase_prints", "op8_warc", "op10_bpe", "op12_secret_scan"])
 def test_whole_tables(spark, name):
     got = queries.queries()[name](spark, FOLDER)
     key = got.columns[0]
