@@ -52,6 +52,12 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"{BLANKS}+"), lambda w: w != "")
 
 
+def by_place(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The table with columns named by place, so that no name of theirs meets one of ours."""
+    names = [f"_c{k}" for k in range(len(docs.columns))]
+    return docs.toDF(*names), names
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, however often the body uses it."""
     return F.transform(F.array(value), body)[0]

@@ -6,6 +6,11 @@ without a row gets one), and the tree is laid out: hidden elements are left out,
 stand on lines of their own with the blank lines their kind has, list items get markers
 and indents, and the cells of a table are padded to columns.
 
+The work is linear in the page.  To that end a column starts ``MAX_OFFSET`` characters from the
+margin at most, cells beyond ``MAX_COLUMNS`` columns are not moved by cells of other rows,
+indents stop growing at ``MAX_INDENTS`` levels, and tables in ``MAX_TABLES`` tables are laid out
+as lines, a cell each; no text is left out.
+
 Defined results.  A null page has null text, an empty one an empty text.  Broken markup
 never fails: unknown end tags are ignored, open elements end with the page, depth is
 bounded by the page alone (no recursion).  Repeated rows get the same answer.  Other
@@ -16,7 +21,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -82,6 +87,11 @@ _HIDES = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.IGNORECASE)
 _VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)", re.IGNORECASE)
 
 
+#: Bounds of the layout, see above.
+MAX_OFFSET, MAX_COLUMNS, MAX_INDENTS, MAX_TABLES = 400, 1000, 32, 8
+_CELLS = ("td", "th", "caption")
+
+
 class Node:
     """An element: its name, attributes, and children (nodes and texts)."""
 
@@ -102,27 +112,27 @@ class _Builder:
     def __init__(self):
         self.root = Node("#root")
         self.open = [self.root]
-        self.count: Counter[str] = Counter()  # of the open elements, by name
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements, by name
+
+    def _last(self, names: set[str]) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
 
     def close(self, names: set[str], within: set[str]) -> bool:
         """End the innermost open element of these names that lies within bounds."""
-        if not any(self.count[n] for n in names):
+        at = self._last(names)
+        if not at or at < self._last(within - names):
             return False
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].name in names:
-                self.count.subtract(n.name for n in self.open[k:])
-                del self.open[k:]
-                return True
-            if self.open[k].name in within:
-                return False
-        return False
+        for node in self.open[at:]:
+            self.places[node.name].pop()
+        del self.open[at:]
+        return True
 
     def push(self, name: str, attrs: dict[str, str] | None = None) -> Node:
         node = Node(name, attrs)
         self.open[-1].children.append(node)
         if name not in VOID:
+            self.places[name].append(len(self.open))
             self.open.append(node)
-            self.count[name] += 1
         return node
 
     def start(self, name: str, attrs: dict[str, str]) -> None:
@@ -147,7 +157,7 @@ class _Builder:
         self.push(name, attrs)
 
     def end(self, name: str) -> None:
-        if name == "p" and not self.count["p"]:
+        if name == "p" and not self.places.get("p"):
             self.push("p")
         if name == "br":
             self.push("br")
@@ -224,9 +234,11 @@ class _Page:
         if self.gap and self.lines and self.lines[-1]:
             self.lines.append("")
         self.gap = False
-        indent = "".join(self.indents)
+        indent = "".join(self.indents[:MAX_INDENTS])
         if self.marker:
-            indent, self.marker = indent[: -len(self.marker)] + self.marker, ""
+            if len(self.indents) <= MAX_INDENTS:
+                indent = indent[: -len(self.marker)]
+            indent, self.marker = indent + self.marker, ""
         self.lines.append((indent + line).rstrip(" "))
 
     def text(self) -> str:
@@ -260,22 +272,38 @@ class _Table:
                 if columns == 1:
                     single[at] = max(single.get(at, 0), *map(len, cells[at]))
                 if rows > 1:
-                    taken.update({at + k: rows - 1 for k in range(columns)})
+                    taken.update({c: rows - 1 for c in range(at, min(at + columns, MAX_COLUMNS))})
                 at += columns
             grid.append(cells)
-        out = self.caption.split("\n") if self.caption else []
-        for cells in grid:
-            if not any(any(x) for x in cells.values()):
-                continue
-            for k in range(max(map(len, cells.values()))):
-                line = ""
-                for at in sorted(cells):
-                    part = cells[at][k] if k < len(cells[at]) else ""
-                    if part:
-                        line = line.ljust(sum(single.get(c, 0) + 2 for c in range(at))) + part
-                        line += "  "
-                out.append(line.rstrip(" "))
-        return out
+        return [*(self.caption.split("\n") if self.caption else []), *_laid(grid, _starts(grid, single))]
+
+
+def _starts(grid: list[dict[int, list[str]]], single: dict[int, int]) -> dict[int, int]:
+    """Where each column in use begins: after the widths of those before it that have a width."""
+    starts, offset = {}, 0
+    for at in sorted({c for cells in grid for c in cells} | set(single)):
+        starts[at] = min(offset, MAX_OFFSET)
+        if at in single:
+            offset += single[at] + 2
+    return starts
+
+
+def _laid(grid: list[dict[int, list[str]]], starts: dict[int, int]) -> Iterator[str]:
+    for cells in grid:
+        if not any(any(x) for x in cells.values()):
+            continue
+        # the cells that have a text in a line, in order of their columns
+        by_line: list[list[tuple[int, str]]] = [[] for _ in range(max(map(len, cells.values())))]
+        for at in sorted(cells):
+            for k, part in enumerate(cells[at]):
+                if part:
+                    by_line[k].append((at, part))
+        for parts in by_line:
+            size, line = 0, []
+            for at, part in parts:
+                line.append(" " * (starts[at] - size) + part + "  ")
+                size = max(size, starts[at]) + len(part) + 2
+            yield "".join(line).rstrip(" ")
 
 
 def _number(text: str | None, default: int) -> int:
@@ -312,7 +340,9 @@ def render(root: Node) -> str:
             continue
         name = node.name
         if leaving:
-            if name in ("td", "th", "caption") and tables:
+            if name in _CELLS and tables and tables[-1] is None:
+                page.flush()
+            elif name in _CELLS and tables:
                 pages.pop()
                 if name == "caption":
                     tables[-1].caption = page.text()
@@ -320,7 +350,9 @@ def render(root: Node) -> str:
                     spans = [min(MAX_SPAN, max(1, _number(node.attrs.get(s), 1))) for s in ("colspan", "rowspan")]
                     tables[-1].rows[-1].append((page.text(), *spans))
             elif name == "table":
-                for line in tables.pop().lines():
+                page.flush()
+                table = tables.pop()
+                for line in table.lines() if table else []:
                     page.now.append(line)
                     page.flush()
                 page.gap = True
@@ -355,10 +387,13 @@ def render(root: Node) -> str:
         if name == "table":
             page.flush()
             page.gap = True
-            tables.append(_Table())
+            # a table in many others is laid out as lines: its text goes where the cell's goes
+            tables.append(_Table() if len(tables) < MAX_TABLES else None)
+        elif (name == "tr" or name in _CELLS) and tables and tables[-1] is None:
+            page.flush()
         elif name == "tr" and tables:
             tables[-1].rows.append([])
-        elif name in ("td", "th", "caption") and tables:
+        elif name in _CELLS and tables:
             if name != "caption" and not tables[-1].rows:
                 tables[-1].rows.append([])
             pages.append(_Page())

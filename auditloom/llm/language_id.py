@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import by_place, ready, stored
 
 #: Length of the vectors; letters with a vector of their own (others share them by code).
 DIMENSIONS = 1024
@@ -35,6 +35,8 @@ GRAM = 3
 #: The bound on training rows for each language, and on the number of languages.
 SAMPLE = 5000
 MAX_LANGUAGES = 1000
+#: Share of a language's labelled documents that may lie under its bar.
+BAR = 0.005
 #: Characters turned into grams at once.
 STRETCH = 1 << 18
 
@@ -132,14 +134,15 @@ def _sign_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(
     rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE
 ) -> tuple[list[str], np.ndarray]:
-    """(languages, one prototype row each) from labelled rows."""
+    """(languages, one prototype row each) from labelled rows.
+
+    Of more than ``MAX_LANGUAGES`` labels the most frequent are learned, ties by name.
+    """
     ready(rows.sparkSession)
     labelled = rows.select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(13), F.col(id_col)).alias("spot")
     ).filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not counts:
         return [], np.zeros((0, DIMENSIONS))
     # a share of the hash's range for each language, all of it below the bound
@@ -182,6 +185,27 @@ def predictor(languages: list[str], prototypes: np.ndarray):
     return predicted
 
 
+def above_bar(docs: DataFrame, learned: tuple[list[str], np.ndarray], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Documents whose score is not under their language's bar; same columns, labels filled in.
+
+    The bar is the ``BAR`` quantile of the scores of the labelled documents that are
+    predicted as labelled, over all of them (their lowest score, where they are few).
+    Texts without letters go.  A language of which no labelled document is found again
+    has no bar.
+    """
+    plain, names = by_place(docs)
+    text, lang = (names[docs.columns.index(c)] for c in (text_col, lang_col))
+    rated = stored(plain.withColumn("_p", predictor(*learned)(text)))
+    own = rated.filter(F.col(lang) == F.col("_p.lang"))
+    bars = own.groupBy("_p.lang").agg(F.percentile_approx("_p.score", BAR, 10_000).alias("bar")).collect()
+    bar = F.lit(0.0)
+    for row in bars:  # a row a language
+        bar = F.when(F.col("_p.lang") == row["lang"], row["bar"]).otherwise(bar)
+    kept = rated.filter((F.col("_p.lang") != "und") & (F.col("_p.score") >= bar))
+    filled = [F.coalesce(F.col(c), F.col("_p.lang")) if c == lang else F.col(c) for c in names]
+    return kept.select(*[c.alias(n) for c, n in zip(filled, names)]).toDF(*docs.columns)
+
+
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
     """Whether a document belongs to the fold that is not learned from."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, WordHashes, ready, rolled, spread_join, stored, texts
+from .common import BLANKS, WordHashes, by_place, ready, rolled, spread_join, stored, texts
 
 SHINGLE = 5
 #: Minima in a signature; the first BANDS * ROWS of them are cut into bands.
@@ -457,16 +457,18 @@ def keep_one(
     Equal rows of a kept id leave one; its rows of another text are documents of their own.
     Rows with neither id nor words are linked with nothing and all stay.
     """
-    bare = F.col(id_col).isNull() & ~F.coalesce(F.col(text_col), F.lit("")).rlike(BLANKS.replace("[", "[^"))
+    plain, names = by_place(docs)
+    id_at, text_at = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    bare = F.col(id_at).isNull() & ~F.coalesce(F.col(text_at), F.lit("")).rlike(BLANKS.replace("[", "[^"))
     kept = (
-        groups(docs, id_col, text_col, threshold_pct)
+        groups(plain, id_at, text_at, threshold_pct)
         .filter("kept")
         .select(F.coalesce("id", F.lit(int(NO_ID))).alias("_mh_id"), F.col("row").alias("_mh_row"))
         .distinct()
     )
-    keyed = docs.filter(~bare).withColumn("_mh_id", F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID)))).withColumn(
-        "_mh_row", F.xxhash64(text_col)
+    keyed = plain.filter(~bare).withColumn("_mh_id", F.coalesce(F.col(id_at).cast("long"), F.lit(int(NO_ID)))).withColumn(
+        "_mh_row", F.xxhash64(text_at)
     )
     keys = ["_mh_id", "_mh_row"]
-    one_each = keyed.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
-    return one_each.union(docs.filter(bare))
+    one_each = keyed.join(kept, keys, "left_semi").dropDuplicates(keys).select(*names)
+    return one_each.union(plain.filter(bare)).toDF(*docs.columns)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import WordHashes, ready, rolled, stored, texts
+from .common import WordHashes, by_place, ready, rolled, stored, texts
 
 #: A difference cover: every residue of the period is a difference of two of these.
 PERIOD = 7
@@ -182,9 +182,24 @@ def remove_repeats(
     All columns are kept in order, then follow ``_n_words``, ``_n_removed`` and
     ``_removed_spans`` (word positions, end exclusive).
     """
+    measures = ["_n_words", "_n_removed", "_removed_spans"]
+    return _removed(docs, id_col, text_col, window).toDF(*docs.columns, *measures)
+
+
+def without_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW
+) -> DataFrame:
+    """The same with the columns of ``docs`` alone, whatever their names."""
+    found = _removed(docs, id_col, text_col, window)
+    return found.select(*found.columns[: len(docs.columns)]).toDF(*docs.columns)
+
+
+def _removed(given: DataFrame, id_name: str, text_name: str, window: int) -> DataFrame:
     if window <= PERIOD:
         raise ValueError(f"a window has more than {PERIOD} words")
-    ready(docs.sparkSession)
+    ready(given.sparkSession)
+    docs, names = by_place(given)
+    id_col, text_col = (names[given.columns.index(c)] for c in (id_name, text_name))
     size = window - PERIOD + 1
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID)))
     keyed = docs.withColumn("_sd_id", key)

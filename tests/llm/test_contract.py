@@ -5,7 +5,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 from brute import components, quality, substrings
-from conftest import messy_rows
+from conftest import SCHEMA, document, messy_rows, prose
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -58,14 +59,18 @@ def plain_language(rows):
     for r, p in zip(rows, profiles):
         if p is not None and r[2] is not None:
             sums[r[2]] = sums.get(r[2], 0) + np.sign(p)
-    kept = []
+    rated = []
     for r, p in zip(rows, profiles):
         if p is not None:
             cosines = {k: s @ p / np.linalg.norm(s) / np.linalg.norm(p) for k, s in sorted(sums.items())}
             best = max(cosines, key=cosines.get)
-            if cosines[best] > 0:
-                kept.append((*r[:2], r[2] or best, *r[3:5]))
-    return kept
+            rated.append((r, best, cosines[best]))
+    bars = {}
+    for r, best, score in rated:
+        if r[2] == best:
+            bars.setdefault(best, []).append(score)
+    at = {k: sorted(v)[max(0, int(np.ceil(language_id.BAR * len(v))) - 1)] for k, v in bars.items()}
+    return [(*r[:2], r[2] or best, *r[3:5]) for r, best, score in rated if score > at.get(best, 0) - 1e-9]
 
 
 def test_pipeline_like_plain_stages(spark, messy):
@@ -102,6 +107,36 @@ def test_pipeline_like_plain_stages(spark, messy):
     assert len({p.doc_id for p in pieces}) == len(plain)
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    """Names that stages use inside, and names with a dot, come back with their values."""
+    names = ["_sd_id", "_mh_id", "_mh_row", "_li", "_p", "_n_words", "_n_removed", "_lf_0", "_c0", "a.b", "id", "anchor"]
+    schema = T.StructType([*SCHEMA.fields[:5], *[T.StructField(n, T.StringType()) for n in names]])
+    rows = [(*document(k, prose(k, 90))[:5], *[f"{n} {k}" for n in names]) for k in range(12)]
+    docs = spark.createDataFrame([*rows, (*document(20, prose(3, 90))[:5], *["copy"] * len(names))], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, FOLDER))
+        assert docs.columns == [f.name for f in schema], name
+    got = {tuple(r) for r in docs.collect()}
+    assert {r[5:] for r in got} <= {r[5:] for r in rows} and len(got) >= 11
+
+
+def test_language_bar(spark):
+    """Random letters go, labelled rows stay."""
+    rng = np.random.default_rng(3)
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"]
+    noise = []
+    for k in range(60):
+        letters = list(alphabets[k % 3])
+        text = " ".join("".join(rng.choice(letters, rng.integers(3, 10))) for _ in range(120))
+        noise.append((10**9 + k, text, None, "s", len(text)))
+    docs = given.union(spark.createDataFrame(noise, given.schema))
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, FOLDER).select("doc_id").collect()}
+    labelled = {r.doc_id for r in given.filter("lang IS NOT NULL AND text rlike '\\\\p{L}'").select("doc_id").collect()}
+    assert len(labelled & kept) >= 0.99 * len(labelled)
+    assert sum(10**9 <= k for k in kept) <= 3
+
+
 def test_pipeline_of_nothing(spark, none):
     docs = none
     for name, stage in corpus_pipeline.STAGES:

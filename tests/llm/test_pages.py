@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import time
 
 import pytest
 import zstandard
@@ -228,3 +229,37 @@ def test_one_and_no_document(spark, none):
     assert phrase_prints.compare_with_next(none).collect() == []
     one = phrase_prints.compare_with_next(spark.createDataFrame([document(1, "abcdef")], SCHEMA)).collect()
     assert one[0].edited_sha256 == hashlib.sha256(b"abcabc").hexdigest() and one[0].near_next == 1
+
+
+def grown(kind, n):
+    cells = "<td colspan=1000>x</td>" * n
+    return {
+        "wide cells": f"<table><tr>{cells}</tr></table>",
+        "rows under wide cells": "<table><tr>" + "<td rowspan=65534 colspan=9>x" * 200 + "<tr><td>y" * n + "</table>",
+        "padded rows": "<table><tr>" + "<td>wide cell" * 200 + "<tr><td colspan=199><td>y" * n + "</table>",
+        "nested lists": "<ul><li>x" * n,
+        "nested quotes": "<blockquote>x" * n,
+        "nested tables": "<table><tr><td>x" * n,
+        "stray ends": "<b>" + "<table><tr><td>" + "<span>" * n + "</b>" * n,
+        "open spans": "<b><span>" * n + "</b>" * n,
+        "dialogs": "<p><dialog>" * n + "x",
+    }[kind]
+
+
+@pytest.mark.parametrize(
+    "kind",
+    ["wide cells", "rows under wide cells", "padded rows", "nested lists", "nested quotes", "nested tables", "stray ends", "open spans", "dialogs"],
+)
+def test_doubled_pages_take_twice_the_time(kind):
+    def run(n):
+        page, best, size = grown(kind, n), 1e9, 0
+        for _ in range(3):
+            start = time.process_time()
+            size = len(visible_text(page))
+            best = min(best, time.process_time() - start)
+        return best, size
+
+    run(100)
+    (small, small_size), (large, large_size) = run(2000), run(4000)
+    assert large_size <= 2.2 * small_size + 1000
+    assert large <= 3 * small + 0.05
