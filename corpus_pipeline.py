@@ -24,21 +24,18 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without letters, or far from every profile, go.
+    """Documents with a language: those without letters, or far from their profile, go.
 
-    A missing label is filled with the prediction.  Where no document is labelled there
-    is nothing to compare with, and all documents with letters stay.
+    Far is a score under the one that 0.5 % of a language's labelled documents stay under
+    (``language_id.above_bar``).  A missing label is filled with the prediction.  Where no
+    document is labelled there is nothing to compare with, and all documents with letters
+    stay.
     """
     ready(spark)
     learned = language_id.train(docs)
     if not learned[0]:
         return docs.filter(F.col("text").rlike("\\p{L}"))
-    rated = docs.withColumn("_li", language_id.predictor(*learned)("text")).filter(
-        "_li.lang <> 'und' AND _li.score > 0"
-    )
-    return rated.select(
-        *[F.coalesce("lang", "_li.lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns]
-    )
+    return language_id.above_bar(docs, learned)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +51,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that stand in a document of smaller id."""
-    return _measured(substring_dedup.remove_repeats(docs).select(*docs.columns))
+    return _measured(substring_dedup.without_repeats(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
