@@ -21,6 +21,9 @@ RESPONSE = (
     "total_tokens int, elapsed_s double, error string"
 )
 
+#: A response and how the call ended; a function that does not say is judged by its error.
+TRY = f"{RESPONSE}, status_code int, body string"
+
 
 def _messages(*pairs: tuple[str, Column]) -> Column:
     return F.array(
@@ -98,6 +101,7 @@ def run_completions(
     fn: Callable[[pd.DataFrame], pd.DataFrame | Iterable[pd.DataFrame]],
     concurrency: int | None = None,
     batched: bool = False,
+    schema: str = RESPONSE,
 ) -> DataFrame:
     """Answer requests with a user function; no answered request is asked again.
 
@@ -108,11 +112,15 @@ def run_completions(
     function that returns all rows at once and raises leaves the error on all of them.
     ``concurrency`` caps how many batches run at the same time.
     """
-    names = [field.split()[0] for field in RESPONSE.split(", ")]
+    names = [field.split()[0] for field in schema.split(", ")]
+
+    def shaped(frame: pd.DataFrame) -> pd.DataFrame:
+        """With the columns in order; those that the function leaves out are null."""
+        return frame.assign(**{n: None for n in names if n not in frame.columns})[names]
 
     def failed(rows: pd.DataFrame, error: Exception) -> pd.DataFrame:
-        return pd.DataFrame(
-            [[i, "", 0, 0, 0, 0.0, str(error)] for i in rows["request_id"]], columns=names
+        return shaped(
+            pd.DataFrame([[i, "", 0, 0, 0, 0.0, str(error)] for i in rows["request_id"]], columns=names[:7])
         )
 
     def ask(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -124,7 +132,7 @@ def run_completions(
                 return
             try:
                 for frame in [found] if isinstance(found, pd.DataFrame) else found:
-                    yield frame.reindex(columns=names)
+                    yield shaped(frame)
                     part = part[~part["request_id"].isin(frame["request_id"])]
                 return
             except Exception as error:
@@ -140,7 +148,7 @@ def run_completions(
                     yield from ask(batch.iloc[at : at + 1])
 
     spread = requests if concurrency is None else requests.repartition(concurrency)
-    return spread.mapInPandas(answer, RESPONSE)
+    return spread.mapInPandas(answer, schema)
 
 
 def pending_requests(requests: DataFrame, stored: DataFrame) -> DataFrame:

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..session import durable
+from .ranking import numbered
 
 
 def _size(df: DataFrame) -> Column:
@@ -144,10 +145,9 @@ def snapshot_diff(head: DataFrame, base: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n_deleted"))
         .withColumn("change", F.lit("A"))
     )
-    # only contents that were deleted somewhere are put in order
+    # only contents that were deleted somewhere are put in order, in pieces of any size
     paired = touched.join(deleted, ["run_id", "digest", "change"])
-    order = Window.partitionBy("run_id", "digest").orderBy("path")
-    left_over = paired.withColumn("rn", F.row_number().over(order)).filter("rn > n_deleted")
+    left_over = numbered(paired, ["run_id", "digest"], [F.col("path")], "rn").filter("rn > n_deleted")
     plain = touched.join(deleted, ["run_id", "digest", "change"], "left_anti")
     columns = ["run_id", "path", "change"]
     return plain.select(*columns).unionByName(left_over.select(*columns))
@@ -206,20 +206,23 @@ def skip_counts(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("run_id", "reason").agg(F.count(F.lit(1)).alias("n_files"))
 
 
+def display_name(base: str | None) -> Column:
+    """The path relative to ``base``; one outside it stays as it is."""
+    if base is None:
+        return F.col("path")
+    prefix = base.rstrip("/") + "/"
+    return F.when(
+        F.startswith("path", F.lit(prefix)), F.substring("path", F.lit(len(prefix) + 1), F.length("path"))
+    ).otherwise(F.col("path"))
+
+
 def source_profile(files: DataFrame, base: str | None = None) -> DataFrame:
     """lines (count of line feeds), chars (bytes), display name; sorted by it."""
     text = F.col("content").cast("string")
-    display = F.col("path")
-    if base is not None:
-        prefix = base.rstrip("/") + "/"
-        display = F.when(
-            F.startswith("path", F.lit(prefix)),
-            F.substring("path", F.lit(len(prefix) + 1), F.length("path")),
-        ).otherwise(F.col("path"))
     measured = files.select(
         "run_id",
         "path",
-        display.alias("display_name"),
+        display_name(base).alias("display_name"),
         _line_feeds(text).alias("lines"),
         F.octet_length(text).cast("int").alias("chars"),
     )

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import byte_prefix, let, trimmed
-from ..session import durable
-
-# Anchor lengths, longest first: a pattern is looked up by its first n characters.
-ANCHORS = (8, 3, 1)
-# Hash values that tell which grams may be anchors: four bytes each, sent to every task.
-BUCKETS = 1 << 18
+from ..session import durable, fitting, kept
+
+# Characters of a gram; shorter patterns are looked up whole.
+GRAM = 3
+# Words up to so many characters are cut by place.
+LONG_WORD = 64
+# Fills up the grams at a word's end.
+FILL = "\u0001"
 MATCH = ("run_id", "pattern", "path", "line", "text")
 
 
@@ -108,30 +110,145 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(let(F.split(text, ""), cut))
 
 
+def with_ids(lines: DataFrame) -> DataFrame:
+    """Lines with a number each, stored, so that keys are short and stay the same."""
+    return kept(lines.select("run_id", "path", "line", "text", F.monotonically_increasing_id().alias("line_id")))
+
+
+def _words(text: Column, blanks: str = r"\s+") -> Column:
+    return F.array_distinct(F.filter(F.split(text, blanks), lambda x: x != ""))
+
+
+def postings(lines: DataFrame, blanks: str = r"\s+") -> DataFrame:
+    """(run_id, word, line_id): which lines hold which words, runs of characters between blanks."""
+    return lines.select("run_id", "line_id", F.explode(_words(F.col("text"), blanks)).alias("word"))
+
+
+def vocabulary(places: DataFrame) -> DataFrame:
+    """(run_id, word, n): the runs of characters of a corpus and the lines that hold them."""
+    return places.groupBy("run_id", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _pieces(patterns: DataFrame) -> DataFrame:
+    """A pattern's words; the first and the last may be a part of a word of the line."""
+    cut = patterns.withColumn("_p", F.split("pattern", r"\s+")).select(
+        "run_id", "pattern", F.size("_p").alias("n_pieces"), F.posexplode("_p").alias("at", "piece")
+    )
+    return cut.filter("piece <> ''").select(
+        "run_id", "pattern", "n_pieces", "piece", (F.col("at") == 0).alias("first"), (F.col("at") == F.col("n_pieces") - 1).alias("last")
+    )
+
+
+def word_grams(words: DataFrame) -> DataFrame:
+    """(run_id, gram, word, n): the vocabulary by grams; those at a word's end are filled up.
+
+    A gram that stands twice in a short word comes twice; cutting it out by place is the
+    quick way there, and would be quadratic in a long word.
+    """
+    filled = words.select("run_id", "word", "n", F.concat("word", F.lit(FILL * (GRAM - 1))).alias("_f"))
+    places = F.sequence(F.lit(1), F.length("word"))
+    short = filled.filter(F.length("word") <= LONG_WORD).select("*", F.explode(places).alias("_at"))
+    by_place = short.select("run_id", F.substring("_f", F.col("_at"), F.lit(GRAM)).alias("gram"), "word", "n")
+    long = filled.filter(F.length("word") > LONG_WORD)
+    return by_place.unionByName(long.select("run_id", F.explode(_grams(F.col("_f"), GRAM)).alias("gram"), "word", "n"))
+
+
+def gram_counts(grams: DataFrame) -> DataFrame:
+    """(run_id, gram, n): the lines whose words hold a gram, a word standing for all its lines."""
+    return grams.groupBy("run_id", "gram").agg(F.sum("n").alias("n"))
+
+
+def candidate_words(patterns: DataFrame, words: DataFrame, counts: DataFrame) -> DataFrame:
+    """(run_id, pattern, n_pieces, word): every line that holds a pattern holds such a word.
+
+    A pattern's anchor is its gram, at any place in it, that the fewest lines hold.  A
+    pattern without a piece of ``GRAM`` characters is looked up by all grams that begin
+    with its longest piece.
+    """
+    pieces = _pieces(patterns.select("run_id", "pattern").distinct())
+    mine = pieces.filter(F.length("piece") >= GRAM).select("*", F.explode(_grams(F.col("piece"), GRAM)).alias("gram"))
+    # a gram that no line holds ends the search for its pattern
+    choice = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "piece", "first", "last")
+    of_one = (
+        mine.join(counts, ["run_id", "gram"], "left")
+        .groupBy("run_id", "pattern", "n_pieces")
+        .agg(F.min(choice).alias("a"), F.lit(True).alias("_long"))
+        .filter("a.n > 0")
+    )
+    size = F.length("piece")
+    longest = pieces.groupBy("run_id", "pattern", "n_pieces").agg(
+        F.max(F.struct(size.alias("size"), "piece", "first", "last")).alias("s")
+    )
+    heads = counts.select("run_id", "gram", F.posexplode(F.array(*[F.left("gram", F.lit(k)) for k in range(1, GRAM)])).alias("_k", "head"))
+    of_many = longest.filter(F.col("s.size") < GRAM).join(
+        heads.filter(F.length("head") == F.col("_k") + 1).withColumnRenamed("run_id", "_r"),
+        (F.col("run_id") == F.col("_r")) & (F.col("s.piece") == F.col("head")),
+    )
+    columns = ["run_id", "pattern", "n_pieces"]
+    anchors = of_one.select(*columns, "a.gram", "a.piece", "a.first", "a.last").unionByName(
+        of_many.select(*columns, "gram", "s.piece", "s.first", "s.last")
+    )
+    fits = (
+        F.when(F.col("first") & F.col("last"), F.contains("word", "piece"))
+        .when(F.col("first"), F.endswith("word", F.col("piece")))
+        .when(F.col("last"), F.startswith("word", F.col("piece")))
+        .otherwise(F.col("word") == F.col("piece"))
+    )
+    theirs = word_grams(words).select("run_id", "gram", "word")
+    found = theirs.join(fitting(durable(anchors)), ["run_id", "gram"]).filter(fits)
+    return found.select(*columns, "word").distinct()
+
+
+def search_places(places: DataFrame, words_of: DataFrame, lines: DataFrame) -> DataFrame:
+    """Every (pattern, line) of a run where the line holds the pattern, with the line's text.
+
+    ``places`` are the ``postings`` of ``lines``, ``words_of`` the ``candidate_words`` of the
+    patterns.  Only keys are shuffled to find candidate lines; the text is fetched once a line.
+    """
+    wanted = fitting(durable(words_of))
+    lines_of = places.join(wanted, ["run_id", "word"]).select("line_id", "pattern", "n_pieces")
+    # a pattern of one piece may stand in several words of a line; the text meets the same shuffle
+    candidates = lines_of.repartition("line_id").dropDuplicates(["line_id", "pattern"])
+    held = candidates.join(lines, "line_id")
+    return held.filter((F.col("n_pieces") == 1) | F.contains("text", "pattern")).select(*MATCH)
+
+
+def search_blanks(lines: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The same for patterns of blanks alone: blanks take the place of words."""
+    places = postings(lines, r"\S+")
+    words = kept(vocabulary(places))
+    size = F.length("pattern")
+    whole = patterns.select("run_id", "pattern", size.alias("size")).distinct()
+    # a run of blanks holds few distinct patterns: those that stand at one of its places
+    cuts = words.select("run_id", "word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at"))
+    held = cuts.select(
+        "run_id", "word", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("at") + 1)).alias("size"), "at"
+    ).select("run_id", "word", F.substring("word", F.col("at"), F.col("size")).alias("pattern"))
+    words_of = held.distinct().join(whole.select("run_id", "pattern"), ["run_id", "pattern"])
+    return search_places(places, words_of.withColumn("n_pieces", F.lit(1)), lines)
+
+
 def corpus_search(lines: DataFrame, patterns: DataFrame) -> DataFrame:
     """Every (pattern, line) of a run where the line holds the pattern literally.
 
-    A pattern's anchor is its first n characters, for the largest n of ``ANCHORS`` it
-    has.  A line offers each of its distinct n-grams once, so no pair repeats.  Grams
-    whose hash is no anchor's are dropped where the text lies, through a table of at
-    most ``BUCKETS`` hash values; what is left is joined with the patterns and checked
-    on the text it carries.  One plan serves any number of patterns.
+    What a pattern can match is looked up in the vocabulary of the lines, by the pattern's
+    rarest gram, and only then in the lines.  Exact for any pattern: of a pattern with
+    blanks, inner words must be words of the line, outer ones ends of words, and the text
+    decides.  To search one corpus often, keep a ``search_index.SearchIndex`` of it.
     """
-    wanted = patterns.select("run_id", "pattern").filter(F.length("pattern") > 0).distinct()
-    size = F.lit(ANCHORS[-1])
-    for n in reversed(ANCHORS):
-        size = F.when(F.length("pattern") >= n, F.lit(n)).otherwise(size)
-    bucket = F.pmod(F.xxhash64("run_id", "anchor"), F.lit(BUCKETS)).cast("int")
-    keyed = wanted.withColumn("anchor", F.left("pattern", size))
-    buckets = keyed.select(bucket.alias("_bucket")).distinct()
-    grams = F.flatten(F.array(*[_grams(F.col("text"), n) for n in ANCHORS]))
-    offered = (
-        lines.select("run_id", "path", "line", "text", F.explode(grams).alias("anchor"))
-        .withColumn("_bucket", bucket)
-        .join(F.broadcast(buckets), "_bucket", "left_semi")  # bounded by BUCKETS
-    )
-    found = offered.join(keyed, ["run_id", "anchor"])
-    return found.filter(F.contains("text", "pattern")).select(*MATCH)
+    lines = with_ids(lines)
+    places = postings(lines)
+    words = kept(vocabulary(places))
+    counts = kept(gram_counts(word_grams(words)))
+    return search_all(places, words, counts, lines, patterns)
+
+
+def search_all(places: DataFrame, words: DataFrame, counts: DataFrame, lines: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Patterns with words through the index, those of blanks alone beside it."""
+    asked = durable(patterns.select("run_id", "pattern").filter("pattern <> ''").distinct())
+    found = search_places(places, candidate_words(asked, words, counts), lines)
+    blank = asked.filter(~F.col("pattern").rlike(r"\S"))
+    return found if blank.isEmpty() else found.unionByName(search_blanks(lines, blank))
 
 
 def top_matches(matches: DataFrame, limit: int = fixed.MAX_MATCHES) -> DataFrame:

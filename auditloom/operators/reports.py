@@ -28,8 +28,8 @@ from ..functions.severity import (
     unit_interval,
 )
 from ..functions.text import safe_name, table_cell, trimmed, truncate_text
-from .ranking import numbered
-
+from ..session import durable
+from .ranking import numbered, running_sums
 
 
 def _zero(col: str) -> Column:
@@ -186,14 +186,37 @@ def sarif_results(findings: DataFrame, triage: DataFrame) -> DataFrame:
     )
 
 
-def sarif_log(results: DataFrame, tool: str, shard_size: int = 5000) -> DataFrame:
-    """Complete logs of at most ``shard_size`` results each: run_id, shard, n, log."""
-    rows = numbered(
-        results,
-        ["run_id"],
-        [F.col(c) for c in ("source", "uri", "rule_id", "message", "confidence")],
-        "_n",
-    ).withColumn("shard", F.expr(f"cast((_n - 1) div {int(shard_size)} as int)"))
+def sarif_log(
+    results: DataFrame, tool: str, shard_size: int = 5000, shard_bytes: int = fixed.SARIF_SHARD_BYTES
+) -> DataFrame:
+    """Complete logs of bounded size: run_id, shard, n_results, sarif.
+
+    A log ends after ``shard_size`` results or when its results reach ``shard_bytes`` of message
+    and name, whichever comes first.  Messages are stored once and take part in no sort;
+    results are ranked by their keys and the message's digest.
+    """
+    shown = ["run_id", "source", "uri", "rule_id", "level", "start_line", "confidence"]
+    size = (F.octet_length("message") + F.octet_length("uri") + 256).cast("long")
+    whole = durable(
+        results.withColumn("_digest", F.sha2("message", 256)).withColumn("_bytes", size).withColumn(
+            "_key", F.monotonically_increasing_id()
+        )
+    )
+    order = [F.col(c) for c in ("source", "uri", "rule_id", "_digest", "confidence", "_key")]
+    ranked = running_sums(
+        whole.withColumn("_one", F.lit(1)).select("_key", "_bytes", "_one", *shown, "_digest"),
+        ["run_id"], order, {"_n": "_one", "_upto": "_bytes"},
+    ).select("_key", "_n", "_upto", "_bytes")
+    # a shard is a range of places that neither bound crosses
+    piece = F.struct(
+        F.expr(f"(_n - 1) div {int(shard_size)}").alias("a"), F.expr(f"(_upto - _bytes) div {int(shard_bytes)}").alias("b")
+    )
+    rows = whole.join(ranked.select("_key", "_n", piece.alias("_cut")), "_key")
+    pieces = rows.groupBy("run_id", "_cut").agg(F.min("_n").alias("_start"))
+    shards = numbered(pieces, ["run_id"], [F.col("_start")], "_shard").select(
+        "run_id", "_cut", (F.col("_shard") - 1).cast("int").alias("shard")
+    )
+    rows = rows.join(shards, ["run_id", "_cut"])
     properties = F.struct("source", "confidence")  # a null confidence is left out of the JSON
     result = F.struct(
         F.col("rule_id").alias("ruleId"),
@@ -621,9 +644,16 @@ def survivor_details(numbered_survivors: DataFrame, stamp: str) -> DataFrame:
     return single.unionByName(overview)
 
 
-def file_details(results: DataFrame) -> DataFrame:
-    """Report and context documents of every ``ok`` file."""
-    ok = results.filter(F.col("status") == "ok").withColumn("slug", safe_name(F.col("display_name")))
+def file_details(results: DataFrame, slugs: DataFrame | None = None) -> DataFrame:
+    """Report and context documents of every ``ok`` file.
+
+    ``slugs`` (run_id, file_id, slug) gives the names; else they are made of the display names.
+    """
+    ok = results.filter(F.col("status") == "ok")
+    if slugs is None:
+        ok = ok.withColumn("slug", safe_name(F.col("display_name")))
+    else:
+        ok = ok.join(slugs, ["run_id", "file_id"])
 
     def doc(kind: str, title: str, suffix: str, column: str) -> DataFrame:
         return ok.select(
@@ -657,7 +687,8 @@ def nested_results(results: DataFrame, findings: DataFrame) -> DataFrame:
 
 def nested_triage(triage: DataFrame, rounds: DataFrame) -> DataFrame:
     """Decisions with all their rounds as an array, in order."""
-    names = [c for c in ("round_no", "verdict", "reasoning", "grep_used", "evidence") if c in rounds.columns]
+    told = ("round_no", "verdict", "reasoning", "grep_used", "evidence", "elapsed_s", "tokens")
+    names = [c for c in told if c in rounds.columns]
     per_finding = rounds.groupBy("run_id", "finding_id").agg(
         F.array_sort(F.collect_list(F.struct(*names))).alias("all_rounds")
     )

@@ -130,6 +130,23 @@ SELECT run_id, path, {lines('content')} AS lines, CASE
   WHEN strlen(content) > {MAX_BYTES} THEN 'too large (' || CAST(strlen(content) AS VARCHAR) || ' bytes)'
   WHEN contains(content, {NUL}) THEN 'binary' END AS other
 FROM source_files WHERE NOT {DIRS}""",
+    "tree": f"""
+SELECT run_id, path, content FROM source_files WHERE NOT {DIRS}
+UNION ALL SELECT run_id, 'repo/.github/_f' || file_id || '.c', content FROM source_files WHERE file_id % 5 = 0
+UNION ALL SELECT run_id, 'apart/single.c', content FROM source_files s WHERE file_id = (SELECT min(file_id) FROM source_files m WHERE m.run_id = s.run_id)""",
+    "rule_patterns": """
+SELECT run_id, folder, line, kind IN (2, 7) AS taken_back, kind = 1 AS only_dirs, CASE kind WHEN 0 THEN '^(.*/)?[^/]*' || n || '[.]c$'
+  WHEN 1 THEN '^src/net$' WHEN 2 THEN '^(.*/)?f[^/]*[13][.][^/]$' WHEN 4 THEN '^core/f[^/]' || n || '[.][^/]*$'
+  WHEN 5 THEN '^(.*/)?docs/.+$' WHEN 6 THEN '^(.*/)?lib$' ELSE '^src/(.*/)?f[^/]*' || n || '[.]go$' END AS pattern
+FROM (SELECT *, line % 8 AS kind, line % 10 AS n FROM ignore_rules) WHERE kind <> 3""",
+    "path_heads": """
+SELECT run_id, path, array_to_string(parts[1:k], '/') AS head, k < len(parts) AS is_dir, k FROM (
+  SELECT run_id, path, string_split(path, '/') AS parts, unnest(range(1, len(string_split(path, '/')) + 1)) AS k FROM source_files)""",
+    "judged_heads": """
+SELECT h.run_id, h.path, h.head, arg_max(r.taken_back, (len(r.folder), r.line)) AS taken_back FROM path_heads h JOIN rule_patterns r
+  ON r.run_id = h.run_id AND (r.folder = '' OR starts_with(h.head, r.folder || '/')) AND (h.is_dir OR NOT r.only_dirs)
+  AND regexp_matches(CASE WHEN r.folder = '' THEN h.head ELSE substr(h.head, len(r.folder) + 2) END, r.pattern)
+GROUP BY h.run_id, h.path, h.head""",
     "classified": """
 SELECT m.run_id, m.path, m.lines, CASE WHEN i.path IS NOT NULL THEN 'gitignore' ELSE m.other END AS reason
 FROM measured m LEFT JOIN ignored_paths i ON m.run_id = i.run_id AND m.path = i.path""",
@@ -375,6 +392,10 @@ SELECT *, CASE WHEN NOT (contains(lower(body), 'insufficient_quota') OR contains
       OR contains(lower(body), 'requests per min') OR contains(lower(body), 'rpm') OR body = ''
     ELSE contains(lower(body), 'rate limit reached') OR contains(lower(body), 'too many requests') END THEN 'rate_limited'
   WHEN status_code = 429 OR status_code >= 500 THEN 'retryable' WHEN status_code <> 200 THEN 'fatal' ELSE 'ok' END AS class FROM call_log""",
+    "recorded_tries": """
+SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY ts, call_id) AS attempt, status_code, class
+FROM classes
+UNION ALL SELECT request_id, count(*) + 1, 404, 'fatal' FROM call_log GROUP BY request_id""",
     "arbiter_votes": f"""
 SELECT run_id, finding_id, string_agg('Round ' || CAST(round_no AS VARCHAR) || ' (' || verdict || '): ' || {prefix('reasoning', 500)} ||
     CASE WHEN coalesce(evidence, '') <> '' THEN {NL} || evidence ELSE '' END, {NL} ORDER BY round_no) AS key_evidence,
@@ -437,8 +458,51 @@ ROUND_PROMPTS = f"""SELECT p.run_id, p.finding_id, p.round_no, p.n_prior::INTEGE
   || CASE WHEN p.n_prior > 0 THEN {lit(fixed.PRIOR_REVIEWS)} || p.told ELSE '' END AS prompt
 FROM priors p JOIN coded f ON p.run_id = f.run_id AND p.finding_id = f.finding_id"""
 
+DETAIL_DOCS = f"""SELECT o.run_id, 'triage' AS kind, printf('T%04d_', o.position) || {slug('o.file')} || '_' || {slug('o.title')} || '.md' AS name, o.position,
+  '# Triage ' || printf('T%04d', o.position) || ': ' || o.title || {NL} || {NL} || '- **File**: `' || o.file || '`' || {NL} || '- **Verdict**: `' || o.verdict || '`' || {NL}
+  || '- **Confidence**: `' || {percent('o.confidence')} || ' [' || o.verdicts || ']`' || {NL} || {NL} || '## Finding' || {NL} || {NL} || o.description
+  || {NL} || {NL} || '## Triage rounds' || {NL} || {NL} || (SELECT string_agg('### Round ' || r.round_no || ': ' || r.verdict || {NL} || {NL} || r.reasoning || {NL} || {NL}
+    || CASE WHEN coalesce(r.evidence, '') <> '' THEN '#### Grep results' || {NL} || {NL} || r.evidence || {NL} || {NL} ELSE '' END, '' ORDER BY r.round_no)
+    FROM rounds_ev r WHERE r.run_id = o.run_id AND r.finding_id = o.finding_id) AS text FROM ordered o
+UNION ALL SELECT run_id, 'finding', printf('VULN-%03d_', position) || {slug('file')} || '.md', position, '# ' || printf('VULN-%03d', position) || ': ' || title || {NL} || {NL}
+  || '- **File**: `' || file || '`' || {NL} || '- **Severity**: `' || severity || '`' || {NL} || '- **Confidence**: `' || {percent('confidence')} || ' [' || verdicts || ']`' || {NL}
+  || '- **Date**: `{STAMP}`' || {NL} || {NL} || '## Scanner finding' || {NL} || {NL} || description || {NL} || {NL} || '## Triage reasoning' || {NL} || {NL} || reasoning || {NL} FROM survivors
+UNION ALL SELECT run_id, 'survivors', 'triage_survivors.md', position, '## ' || file || ': ' || title || {NL} || {NL} || '- **Severity**: `' || severity || '`' || {NL}
+  || '- **Confidence**: `' || {percent('confidence')} || ' [' || verdicts || ']`' || {NL} || {NL} || reasoning || {NL} || {NL} || '---' || {NL} || {NL} FROM survivors
+UNION ALL SELECT r.run_id, 'report', {slug('r.display_name')} || '.md', 1::BIGINT, '# Scan: ' || r.display_name || {NL} || {NL} || r.report FROM reports r WHERE r.status = 'ok'
+UNION ALL SELECT r.run_id, 'context', {slug('r.display_name')} || '.context.md', 1::BIGINT, '# Context: ' || r.display_name || {NL} || {NL} || c.content
+  FROM reports r JOIN contexts c ON r.run_id = c.run_id AND r.file_id = c.file_id WHERE r.status = 'ok'"""
+
+COMMENT_PAGE = f"""SELECT run_id, 1 AS section, 1::BIGINT AS position, '## Review' || {NL} || {NL} || '- **Model**: `{MODEL}`' || {NL}
+  || '- **Files scanned**: `' || files_scanned || '`' || {NL} || '- **Files skipped**: `' || files_skipped || '`' || {NL}
+  || CASE WHEN error_files > 0 THEN '- **Files with errors**: `' || error_files || '`' || {NL} ELSE '' END
+  || CASE WHEN run_id IN (SELECT run_id FROM failing) THEN '- **Result**: failing policy threshold' ELSE '- **Result**: passing policy threshold' END
+  || {NL} || {NL} || '| File | Critical | High | Medium | Low | Status |' || {NL} || '|------|----------|------|--------|-----|--------|' AS text FROM summary
+UNION ALL SELECT run_id, 2, position, '| ' || {_cell('display_name')} || ' | ' || critical || ' | ' || high || ' | ' || medium || ' | ' || low || ' | ' || {_cell('status')} || ' |' FROM ranked
+UNION ALL SELECT run_id, 3, 1, CASE section WHEN 'validated' THEN {NL} || '### Validated Findings' || {NL} || {NL}
+  WHEN 'raw, none survived triage' THEN {NL} || '### Raw Findings' || {NL} || {NL} || '_No findings survived triage; raw scanner findings are listed for visibility._' || {NL} || {NL}
+  WHEN 'raw, not triaged' THEN {NL} || '### Raw Findings' || {NL} || {NL} || '_Triage did not run; these findings are unvalidated._' || {NL} || {NL}
+  WHEN 'errors' THEN {NL} || '### Scan Errors' || {NL} || {NL} ELSE {NL} || 'No findings were reported.' || {NL} END FROM ({REPORT_SECTION})
+UNION ALL SELECT run_id, 4, rn, {COMMENT_TITLE.replace('@file', 'file')} || '- **Confidence**: `' || {percent('confidence')} || ' [' || verdicts || ']`' || {NL} || {NL}
+  || CASE WHEN {COMMENT_BODY} <> '' THEN {COMMENT_BODY} || {NL} || {NL} ELSE '' END
+  || CASE WHEN {trim('reasoning')} <> '' THEN '<details><summary>Triage reasoning</summary>' || {NL} || {NL} || {shorten('reasoning', 1800)} || {NL} || {NL} || '</details>' || {NL} || {NL} ELSE '' END
+  FROM valid_ranked WHERE rn <= 20
+UNION ALL SELECT run_id, 4, rn, {COMMENT_TITLE.replace('@file', 'display_name')} || CASE WHEN coalesce("function", '') <> '' THEN '- **Function**: `' || "function" || '`' || {NL} ELSE '' END
+  || CASE WHEN coalesce({COMMENT_BODY}, '') <> '' THEN {NL} || {COMMENT_BODY} || {NL} || {NL} ELSE {NL} END FROM raw_left WHERE rn <= 20
+UNION ALL SELECT run_id, 4, 21, '_' || (n - 20) || ' more validated finding(s) omitted from this comment._' || {NL} || {NL} FROM valid_ranked WHERE rn = 1 AND n > 20
+UNION ALL SELECT run_id, 4, 21, '_' || (n - 20) || ' more raw finding(s) omitted from this comment._' || {NL} || {NL} FROM raw_left WHERE rn = 1 AND n > 20
+UNION ALL SELECT run_id, 4, position, '- `' || display_name || '`: ' || {shorten(f"CASE WHEN {trim('error')} = '' THEN 'scan failed' ELSE error END", 500)} FROM ranked
+  WHERE status = 'error' AND run_id IN (SELECT run_id FROM ({REPORT_SECTION}) WHERE section = 'errors')"""
+
+RUNNING_TOTALS = f"""SELECT run_id, file_id, row_number() OVER w AS done, (sum(CASE WHEN status = 'error' THEN 1 ELSE 0 END) OVER w)::BIGINT AS errors,
+  {', '.join(f'(sum({s}) OVER w)::BIGINT AS total_{s}' for s in fixed.SEVERITIES)}
+FROM done WINDOW w AS (PARTITION BY run_id ORDER BY done_at NULLS FIRST, file_id ROWS UNBOUNDED PRECEDING)"""
+
+
 QUERIES = {
-    "corpus_scan": "SELECT run_id, path, strlen(content)::INTEGER AS length, sha256(content) AS digest FROM source_files",
+    "corpus_scan": f"""SELECT run_id, path, 'file' AS kind, strlen(content)::BIGINT AS length, sha256(content) AS digest FROM tree
+WHERE {EXT} IN ({EXTS}) AND strlen(content) <= {MAX_BYTES}""",
+    "ignore_rules": """SELECT DISTINCT run_id, path FROM judged_heads WHERE NOT taken_back""",
     "prune_dirs": f"SELECT run_id, path, strlen(content)::INTEGER AS chars FROM source_files WHERE NOT {DIRS}",
     "ext_filter": f"SELECT run_id, path, strlen(content)::INTEGER AS chars FROM source_files WHERE {EXT} IN ({EXTS})",
     "size_gate": f"SELECT run_id, path, strlen(content)::INTEGER AS chars FROM source_files WHERE strlen(content) <= {MAX_BYTES}",
@@ -557,7 +621,7 @@ FROM survivors WHERE confidence >= 0.5""",
     "sarif_results": "SELECT * FROM sarif_flat",
     "sarif_log": f"""SELECT run_id, shard, count(*) AS n_results, {lit(_LOG_HEAD)} || string_agg(item, ',' ORDER BY n) || ']}}]}}' AS sarif FROM (
   SELECT *, CAST((n - 1) // 5000 AS INTEGER) AS shard FROM (
-    SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY source, uri, rule_id, message, confidence) AS n,
+    SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY source, uri, rule_id, sha256(message), confidence) AS n,
       '{{"ruleId":"' || rule_id || '","level":"' || level || '","message":{{"text":' || CAST(to_json(message) AS VARCHAR)
       || '}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":' || CAST(to_json(uri) AS VARCHAR)
       || '}},"region":{{"startLine":1}}}}}}],"properties":{{"source":"' || source || '"'
@@ -567,31 +631,27 @@ FROM survivors WHERE confidence >= 0.5""",
   UNION ALL SELECT 'triage', run_id FROM triage UNION ALL SELECT 'pages', run_id FROM pages_out
   UNION ALL SELECT 'documents', run_id FROM reports WHERE status = 'ok' UNION ALL SELECT 'documents', run_id FROM reports WHERE status = 'ok'
   UNION ALL SELECT DISTINCT 'sarif', run_id FROM sarif_flat) GROUP BY output, run_id""",
+    "run_files": f"""SELECT path, sha256(content) AS digest FROM (
+  SELECT 'run=' || run_id || '/' || CASE kind WHEN 'triage' THEN 'triages/' WHEN 'finding' THEN 'findings/' WHEN 'report' THEN 'reports/'
+    ELSE 'contexts/' END || name AS path, text AS content FROM ({DETAIL_DOCS}) WHERE kind <> 'survivors'
+  UNION ALL SELECT 'run=' || run_id || '/triage_survivors.md', string_agg(text, '' ORDER BY position) FROM ({DETAIL_DOCS}) WHERE kind = 'survivors' GROUP BY run_id
+  UNION ALL SELECT 'run=' || run_id || '/summary.md', string_agg(line, {NL} ORDER BY section, position) || {NL} FROM pages_out GROUP BY run_id
+  UNION ALL SELECT 'run=' || run_id || '/pr-comment.md', string_agg(text, {NL} ORDER BY section, position) FROM ({COMMENT_PAGE}) GROUP BY run_id
+  UNION ALL SELECT 'run=' || s.run_id || '/summary.json', CAST(to_json({{'timestamp': '{STAMP}', 'target': 'repo', 'model': '{MODEL}',
+    'files_scanned': files_scanned, 'files_skipped': files_skipped, 'total_lines': total_lines, 'wall_time_seconds': files_scanned / 2.0::DOUBLE,
+    'critical_files': critical_files, 'high_files': high_files, 'clean_files': clean_files, 'error_files': error_files,
+    'should_fail': n_failing > 0, 'failures': n_failing, 'min_confidence': 0.0::DOUBLE}}) AS VARCHAR)
+    FROM (SELECT *, (SELECT count(*) FROM failing f WHERE f.run_id = s.run_id) AS n_failing FROM summary s) s)""",
+    "attempts": """SELECT request_id, CAST(attempt AS INTEGER) AS attempt, status_code, class FROM (
+  SELECT *, count(*) FILTER (WHERE class IN ('ok', 'fatal')) OVER before AS finished, count(*) FILTER (WHERE class = 'retryable') OVER before AS failed
+  FROM recorded_tries WINDOW before AS (PARTITION BY request_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+WHERE finished = 0 AND failed < 3""",
     "comment_topk": f"""SELECT run_id, 'validated' AS section, rn, file, title, severity,
   {shorten(f"CASE WHEN {trim('description')} <> '' THEN description ELSE body END", 1200)} AS body, greatest(n - 20, 0) AS omitted FROM valid_ranked WHERE rn <= 20
 UNION ALL SELECT run_id, 'raw', rn, display_name, title, severity,
   {shorten(f"CASE WHEN {trim('description')} <> '' THEN description ELSE body END", 1200)}, greatest(n - 20, 0) FROM raw_left WHERE rn <= 20""",
     "report_section": REPORT_SECTION,
-    "comment_page": f"""SELECT run_id, 1 AS section, 1::BIGINT AS position, '## Review' || {NL} || {NL} || '- **Model**: `{MODEL}`' || {NL}
-  || '- **Files scanned**: `' || files_scanned || '`' || {NL} || '- **Files skipped**: `' || files_skipped || '`' || {NL}
-  || CASE WHEN error_files > 0 THEN '- **Files with errors**: `' || error_files || '`' || {NL} ELSE '' END
-  || CASE WHEN run_id IN (SELECT run_id FROM failing) THEN '- **Result**: failing policy threshold' ELSE '- **Result**: passing policy threshold' END
-  || {NL} || {NL} || '| File | Critical | High | Medium | Low | Status |' || {NL} || '|------|----------|------|--------|-----|--------|' AS text FROM summary
-UNION ALL SELECT run_id, 2, position, '| ' || {_cell('display_name')} || ' | ' || critical || ' | ' || high || ' | ' || medium || ' | ' || low || ' | ' || {_cell('status')} || ' |' FROM ranked
-UNION ALL SELECT run_id, 3, 1, CASE section WHEN 'validated' THEN {NL} || '### Validated Findings' || {NL} || {NL}
-  WHEN 'raw, none survived triage' THEN {NL} || '### Raw Findings' || {NL} || {NL} || '_No findings survived triage; raw scanner findings are listed for visibility._' || {NL} || {NL}
-  WHEN 'raw, not triaged' THEN {NL} || '### Raw Findings' || {NL} || {NL} || '_Triage did not run; these findings are unvalidated._' || {NL} || {NL}
-  WHEN 'errors' THEN {NL} || '### Scan Errors' || {NL} || {NL} ELSE {NL} || 'No findings were reported.' || {NL} END FROM ({REPORT_SECTION})
-UNION ALL SELECT run_id, 4, rn, {COMMENT_TITLE.replace('@file', 'file')} || '- **Confidence**: `' || {percent('confidence')} || ' [' || verdicts || ']`' || {NL} || {NL}
-  || CASE WHEN {COMMENT_BODY} <> '' THEN {COMMENT_BODY} || {NL} || {NL} ELSE '' END
-  || CASE WHEN {trim('reasoning')} <> '' THEN '<details><summary>Triage reasoning</summary>' || {NL} || {NL} || {shorten('reasoning', 1800)} || {NL} || {NL} || '</details>' || {NL} || {NL} ELSE '' END
-  FROM valid_ranked WHERE rn <= 20
-UNION ALL SELECT run_id, 4, rn, {COMMENT_TITLE.replace('@file', 'display_name')} || CASE WHEN coalesce("function", '') <> '' THEN '- **Function**: `' || "function" || '`' || {NL} ELSE '' END
-  || CASE WHEN coalesce({COMMENT_BODY}, '') <> '' THEN {NL} || {COMMENT_BODY} || {NL} || {NL} ELSE {NL} END FROM raw_left WHERE rn <= 20
-UNION ALL SELECT run_id, 4, 21, '_' || (n - 20) || ' more validated finding(s) omitted from this comment._' || {NL} || {NL} FROM valid_ranked WHERE rn = 1 AND n > 20
-UNION ALL SELECT run_id, 4, 21, '_' || (n - 20) || ' more raw finding(s) omitted from this comment._' || {NL} || {NL} FROM raw_left WHERE rn = 1 AND n > 20
-UNION ALL SELECT run_id, 4, position, '- `' || display_name || '`: ' || {shorten(f"CASE WHEN {trim('error')} = '' THEN 'scan failed' ELSE error END", 500)} FROM ranked
-  WHERE status = 'error' AND run_id IN (SELECT run_id FROM ({REPORT_SECTION}) WHERE section = 'errors')""",
+    "comment_page": COMMENT_PAGE,
     "markdown_table": "SELECT * FROM pages_out",
     "truncate_text": f"""SELECT doc_id, {shorten('text', 1200)} AS body, {shorten('text', 1800)} AS reasoning, {shorten('text', 500)} AS error FROM documents""",
     "safe_names": f"""SELECT run_id, file_id, slug, count(*) OVER (PARTITION BY run_id, slug) AS n_same,
@@ -602,26 +662,15 @@ UNION ALL SELECT run_id, finding_id, 'finding', printf('VULN-%03d_', position) |
     "grand_totals": f"""SELECT run_id, {', '.join(f'sum({s})::BIGINT AS {s}' for s in fixed.SEVERITIES)},
   sum({' + '.join(fixed.SEVERITIES)})::BIGINT AS total_findings FROM results GROUP BY run_id""",
     "severity_rollup": "SELECT run_id, severity, count(*) AS n_findings FROM findings GROUP BY ROLLUP (run_id, severity)",
-    "detail_docs": f"""SELECT o.run_id, 'triage' AS kind, printf('T%04d_', o.position) || {slug('o.file')} || '_' || {slug('o.title')} || '.md' AS name, o.position,
-  '# Triage ' || printf('T%04d', o.position) || ': ' || o.title || {NL} || {NL} || '- **File**: `' || o.file || '`' || {NL} || '- **Verdict**: `' || o.verdict || '`' || {NL}
-  || '- **Confidence**: `' || {percent('o.confidence')} || ' [' || o.verdicts || ']`' || {NL} || {NL} || '## Finding' || {NL} || {NL} || o.description
-  || {NL} || {NL} || '## Triage rounds' || {NL} || {NL} || (SELECT string_agg('### Round ' || r.round_no || ': ' || r.verdict || {NL} || {NL} || r.reasoning || {NL} || {NL}
-    || CASE WHEN coalesce(r.evidence, '') <> '' THEN '#### Grep results' || {NL} || {NL} || r.evidence || {NL} || {NL} ELSE '' END, '' ORDER BY r.round_no)
-    FROM rounds_ev r WHERE r.run_id = o.run_id AND r.finding_id = o.finding_id) AS text FROM ordered o
-UNION ALL SELECT run_id, 'finding', printf('VULN-%03d_', position) || {slug('file')} || '.md', position, '# ' || printf('VULN-%03d', position) || ': ' || title || {NL} || {NL}
-  || '- **File**: `' || file || '`' || {NL} || '- **Severity**: `' || severity || '`' || {NL} || '- **Confidence**: `' || {percent('confidence')} || ' [' || verdicts || ']`' || {NL}
-  || '- **Date**: `{STAMP}`' || {NL} || {NL} || '## Scanner finding' || {NL} || {NL} || description || {NL} || {NL} || '## Triage reasoning' || {NL} || {NL} || reasoning || {NL} FROM survivors
-UNION ALL SELECT run_id, 'survivors', 'triage_survivors.md', position, '## ' || file || ': ' || title || {NL} || {NL} || '- **Severity**: `' || severity || '`' || {NL}
-  || '- **Confidence**: `' || {percent('confidence')} || ' [' || verdicts || ']`' || {NL} || {NL} || reasoning || {NL} || {NL} || '---' || {NL} || {NL} FROM survivors
-UNION ALL SELECT r.run_id, 'report', {slug('r.display_name')} || '.md', 1::BIGINT, '# Scan: ' || r.display_name || {NL} || {NL} || r.report FROM reports r WHERE r.status = 'ok'
-UNION ALL SELECT r.run_id, 'context', {slug('r.display_name')} || '.context.md', 1::BIGINT, '# Context: ' || r.display_name || {NL} || {NL} || c.content
-  FROM reports r JOIN contexts c ON r.run_id = c.run_id AND r.file_id = c.file_id WHERE r.status = 'ok'""",
-    "running_totals": f"""SELECT run_id, file_id, row_number() OVER w AS done, (sum(CASE WHEN status = 'error' THEN 1 ELSE 0 END) OVER w)::BIGINT AS errors,
-  {', '.join(f'(sum({s}) OVER w)::BIGINT AS total_{s}' for s in fixed.SEVERITIES)}
-FROM done WINDOW w AS (PARTITION BY run_id ORDER BY done_at NULLS FIRST, file_id ROWS UNBOUNDED PRECEDING)""",
+    "detail_docs": DETAIL_DOCS,
+    "running_totals": RUNNING_TOTALS,
+    "stream_running_totals": RUNNING_TOTALS,
     "stream_severity": f"""SELECT run_id, count(*) AS done, count(*) FILTER (WHERE status = 'error')::BIGINT AS errors, {', '.join(f'sum({s})::BIGINT AS {s}' for s in fixed.SEVERITIES)}
 FROM results GROUP BY run_id""",
-    "stream_corpus": "SELECT run_id, path, lines, strlen(content)::INTEGER AS chars, other AS reason FROM measured JOIN source_files USING (run_id, path)",
+    "stream_corpus": f"""SELECT run_id, path, CASE WHEN starts_with(path, 'repo/') THEN substr(path, 6) ELSE path END AS display_name,
+  {lines('content')} AS lines, strlen(content)::INTEGER AS chars, CASE WHEN NOT {EXT} IN ({EXTS}) THEN 'extension'
+  WHEN strlen(content) > {MAX_BYTES} THEN 'too large (' || CAST(strlen(content) AS VARCHAR) || ' bytes)'
+  WHEN contains(content, {NUL}) THEN 'binary' END AS reason FROM tree""",
 }
 
 

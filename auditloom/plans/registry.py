@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.severity import normalize_severity
 from ..functions.text import truncate_text
+from ..operators import attempts
 from ..operators import completions as comp
 from ..operators import corpus
 from ..operators import evidence as ev
 from ..operators import findings as find
 from ..operators import reports as rep
 from ..operators import triage as tri
+from ..operators.ignore_rules import ignored_by_rules
 from ..operators.ranking import running_sums
 from ..session import durable, scratch_dir
-from ..sources import sinks
+from ..sources import outputs, sinks, tree
 from ..streaming import live
+from . import trees
 from .views import view
 
 MAX_BYTES = 2000
@@ -137,6 +141,25 @@ def _listing(df: DataFrame) -> DataFrame:
 # ---- A -------------------------------------------------------------------------
 
 
+def _scan_tree(i: Inputs) -> DataFrame:
+    """The tree written and read through the tree source, filters applied before a file is opened."""
+    _, roots = trees.write_tree(i.source_files)
+    found = tree.read_tree(i.spark, roots).filter(
+        F.col("ext").isin(*fixed.EXTENSIONS) & (F.col("length") <= MAX_BYTES)
+    )
+    return found.select(
+        "run_id", trees.inside(F.col("path")).alias("path"), "kind", "length", F.sha2("content", 256).alias("digest")
+    )
+
+
+def _stream_tree(i: Inputs) -> DataFrame:
+    """The tree as a stream, drained; paths relative to their run's folder."""
+    _, roots = trees.write_tree(i.source_files)
+    landed = live.changed_files(tree.stream_tree(i.spark, roots)).withColumn("path", trees.inside(F.col("path")))
+    rows = live.drain_append(live.arriving_files(landed, MAX_BYTES, base="repo"))
+    return rows.select("run_id", "path", "display_name", "lines", "chars", "reason")
+
+
 def _ignore(i: Inputs) -> DataFrame:
     slim = _listing(i.source_files)
     kept, dropped = corpus.ignore_antijoin(slim, i.ignored_paths)
@@ -295,6 +318,70 @@ def _write_run(i: Inputs) -> DataFrame:
     return total
 
 
+def _run_files(i: Inputs) -> DataFrame:
+    """Write a run's files under their names, read them back through the tree source: name and digest."""
+    out = f"{scratch_dir(i.spark)}/files-{uuid.uuid4().hex}"
+    triage, results, findings = i.once("triage_full"), i.once("results"), i.once("findings")
+    gate = rep.gate_status(i.runs, i.reports, rep.gate_validated(triage), "validated")
+    summary = _summary(i, results).withColumn("wall_s", F.col("files_scanned") / F.lit(2.0))
+    slugs = durable(outputs.unique_slugs(results))
+    details = (
+        rep.triage_details(tri.triage_order(triage), i.rounds_with_evidence())
+        .unionByName(rep.survivor_details(rep.survivors(triage), STAMP))
+        .unionByName(rep.file_details(i.file_texts(), slugs))
+    )
+    comment = durable(_comment(i))
+    decided = tri.triage_order(rep.nested_triage(triage, i.rounds))
+    outputs.write_outputs(out, {
+        "json": [
+            outputs.summary_json(summary, gate, STAMP, "repo", MODEL, 0.0),
+            outputs.result_json(rep.nested_results(results, findings), slugs, STAMP, MODEL),
+            outputs.triage_json(decided),
+        ],
+        "markdown": [
+            outputs.pages(_markdown(i), ["section", "position"], "line", "summary", "\n", "\n"),
+            outputs.pages(comment, ["section", "position"], "text", "pr-comment", "\n"),
+            outputs.documents(details),
+        ],
+        "sarif": [outputs.sarif_files(rep.sarif_log(rep.sarif_results(findings, triage), "auditloom"))],
+    })
+    found = tree.read_tree(i.spark, {"all": [out]})
+    inside = F.regexp_replace("path", r"^.*/files-[0-9a-f]{32}/", "")
+    shown = found.select(inside.alias("path"), "content").filter(~F.col("path").rlike(r"/(results|triage)/|\.sarif$"))
+    return shown.select("path", F.sha2("content", 256).alias("digest"))
+
+
+def _attempts(i: Inputs) -> DataFrame:
+    """The recorded calls, replayed: every request is asked until the rules let it rest."""
+    calls = i.call_log.select(
+        "request_id", "status_code", "body",
+        F.row_number().over(Window.partitionBy("request_id").orderBy("ts", "call_id")).alias("attempt"),
+    )
+    recorded = durable(calls.withColumn("request_id", F.col("request_id").cast("string")))
+
+    def ask(due: DataFrame) -> DataFrame:
+        found = due.select("request_id", "attempt").join(recorded, ["request_id", "attempt"], "left")
+        said = found.withColumn("status_code", F.coalesce("status_code", F.lit(404)))
+        return said.select(
+            "request_id", F.lit("").alias("content"), *[F.lit(0).alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens")],
+            F.lit(0.0).alias("elapsed_s"), F.when(F.col("status_code") != 200, F.lit("failed")).alias("error"),
+            "status_code", F.coalesce("body", F.lit("no record")).alias("body"),
+        )
+
+    folder = f"{scratch_dir(i.spark)}/attempts-{uuid.uuid4().hex}"
+    clock = [datetime.datetime(2024, 1, 1)]
+
+    def wait(seconds: float) -> None:
+        clock[0] += datetime.timedelta(seconds=seconds)
+
+    # batches as wide as the table: nothing is paid for here
+    attempts.settle(
+        recorded.select("request_id").distinct(), ask, folder, batch=1 << 20, clock=lambda: clock[0], wait=wait
+    )
+    tries = attempts.judged(attempts.Ledger(i.spark, folder).tries())
+    return tries.select(F.col("request_id").cast("long").alias("request_id"), "attempt", "status_code", "class")
+
+
 # ---- G -------------------------------------------------------------------------
 
 
@@ -305,23 +392,21 @@ def _running(i: Inputs) -> DataFrame:
     ones = rows.withColumn("one", F.lit(1)).withColumn(
         "failed", (F.col("status") == "error").cast("int")
     )
-    sums = {"done": "one", "errors": "failed", **{f"total_{s}": s for s in fixed.SEVERITIES}}
-    out = running_sums(ones, ["run_id"], [F.col("done_at"), F.col("file_id")], sums)
-    return out.select("run_id", "file_id", *sums)
+    out = running_sums(ones, ["run_id"], [F.col("done_at"), F.col("file_id")], live.RUNNING)
+    return out.select("run_id", "file_id", *live.RUNNING)
 
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     # corpus
-    "corpus_scan": lambda i: i.source_files.select(
-        "run_id", "path", F.octet_length("content").alias("length"), F.sha2("content", 256).alias("digest")
-    ),
+    "corpus_scan": _scan_tree,
     "prune_dirs": lambda i: _listing(corpus.prune_dirs(i.source_files)),
     "ext_filter": lambda i: _listing(corpus.ext_filter(i.source_files)),
     "size_gate": lambda i: _listing(corpus.size_gate(i.source_files, MAX_BYTES)),
     "binary_gate": lambda i: _listing(corpus.binary_gate(i.source_files)),
     "ignore_antijoin": _ignore,
+    "ignore_rules": lambda i: ignored_by_rules(i.source_files, i.ignore_rules),
     "changed_scope": _changed,
     "snapshot_diff": lambda i: corpus.snapshot_diff(i.source_files, i.base_files),
     "skip_ledger": _ledger,
@@ -337,6 +422,7 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "decode_completions": lambda i: comp.decode_completions(i.wire).drop("body"),
     "classify_calls": lambda i: comp.classify_calls(i.call_log).select("call_id", "class"),
     "retry_backlog": lambda i: comp.retry_backlog(i.call_log),
+    "attempts": _attempts,
     "scan_results": _scan_results,
     # findings
     "marker_findings": lambda i: find.marker_findings(i.reports, FILE),
@@ -441,10 +527,12 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "severity_rollup": lambda i: rep.severity_rollup(i.findings()),
     "detail_docs": _details,
     "write_run": _write_run,
+    "run_files": _run_files,
     # live
     "running_totals": _running,
     "stream_severity": lambda i: live.stream_severity(i.spark, i.sf_dir),
-    "stream_corpus": lambda i: live.stream_corpus(i.spark, i.sf_dir, MAX_BYTES),
+    "stream_running_totals": lambda i: live.stream_running_totals(i.spark, i.sf_dir),
+    "stream_corpus": _stream_tree,
 }
 
 

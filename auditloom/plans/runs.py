@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.text import digest_id
 from ..operators import completions as comp
-from ..operators import evidence as ev
 from ..operators import findings as find
 from ..operators import triage as tri
-from ..session import durable
+from ..operators.attempts import settle
+from ..operators.search_index import SearchIndex, indexed
+from ..session import durable, scratch_dir
 
 Model = Callable[[pd.DataFrame], pd.DataFrame]
 FILE = ["run_id", "file_id"]
@@ -26,33 +28,25 @@ def _keyed(requests: DataFrame, responses: DataFrame, keys: list[str]) -> DataFr
 
 
 def _answers(
-    requests: DataFrame, model_fn: Model, concurrency: int | None, folder: str | None
+    requests: DataFrame, model_fn: Model, concurrency: int | None, folder: str | None, retry: dict | None
 ) -> DataFrame:
-    """Response rows of the requests, stored before they are used.
+    """Response rows of the requests, stored batch by batch before they are used.
 
-    With a shared ``folder`` answers outlive the session: only requests without a stored
-    answer are asked, and an answer stands before an error of an earlier try.
+    With a shared ``folder`` tries outlive the session: only requests without an answer
+    there are asked, and those that failed until they have failed often enough.
     """
-    if folder is None:
-        return durable(comp.run_completions(requests, model_fn, concurrency))
     spark = requests.sparkSession
-    spark.createDataFrame([], comp.RESPONSE).write.mode("append").parquet(folder)
-    known = spark.read.schema(comp.RESPONSE).parquet(folder)
-    left = comp.pending_requests(requests, known)
-    comp.run_completions(left, model_fn, concurrency).write.mode("append").parquet(folder)
-    every = spark.read.schema(comp.RESPONSE).parquet(folder)
-    asked = every.join(requests.select("request_id"), "request_id", "left_semi")
-    row = F.struct(*[F.col(c) for c in every.columns])
-    return (
-        asked.groupBy("request_id")
-        .agg(F.max_by(row, F.col("error").isNull()).alias("r"))
-        .select("r.*")
-    )
+    place = folder or f"{scratch_dir(spark)}/tries-{uuid.uuid4().hex}"
+
+    def ask(due: DataFrame) -> DataFrame:
+        return comp.run_completions(due, model_fn, schema=comp.TRY)
+
+    return durable(settle(requests, ask, place, width=concurrency, **(retry or {})))
 
 
 def scan_run(
     files: DataFrame,
-    lines: DataFrame,
+    lines: DataFrame | SearchIndex,
     model_fn: Model,
     *,
     model: str,
@@ -63,6 +57,7 @@ def scan_run(
     user_template: str,
     concurrency: int | None = None,
     answers: str | None = None,
+    retry: dict | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(results, findings) of files (run_id, file_id, display_name, content).
 
@@ -70,8 +65,8 @@ def scan_run(
     if given: a run started again asks only what has no answer there.
     """
     asked = comp.context_requests(files, context_system, model)
-    contexts = _keyed(asked, _answers(asked, model_fn, concurrency, answers), FILE)
-    evidence = ev.gather_evidence(contexts.filter("error IS NULL"), lines, FILE, "content")
+    contexts = _keyed(asked, _answers(asked, model_fn, concurrency, answers, retry), FILE)
+    evidence = indexed(lines).evidence(contexts.filter("error IS NULL"), FILE, "content")
     full = F.concat(
         "content",
         F.when(
@@ -84,7 +79,7 @@ def scan_run(
     scans = comp.scan_requests(
         files, told, scan_system, context_heading, example, user_template, model
     )
-    scanned = _keyed(scans, _answers(scans, model_fn, concurrency, answers), FILE)
+    scanned = _keyed(scans, _answers(scans, model_fn, concurrency, answers, retry), FILE)
     results = comp.scan_results(files, contexts, scanned)
     findings = find.parse_findings(results.filter("status = 'ok'"), [*FILE, "display_name"])
     return results, findings
@@ -92,7 +87,7 @@ def scan_run(
 
 def triage_run(
     findings: DataFrame,
-    lines: DataFrame,
+    lines: DataFrame | SearchIndex,
     model_fn: Model,
     *,
     project: str,
@@ -104,6 +99,7 @@ def triage_run(
     rounds: int = fixed.ROUNDS,
     concurrency: int | None = None,
     answers: str | None = None,
+    retry: dict | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(decisions, rounds) of findings (see ``round_prompts`` for their columns).
 
@@ -118,9 +114,10 @@ def triage_run(
         requests = comp.triage_requests(
             prompts.withColumn("round_no", F.lit(round_no)), ROUND, stage, instructions, model
         )
-        found = _answers(requests, model_fn, concurrency, answers)
+        found = _answers(requests, model_fn, concurrency, answers, retry)
         return tri.parse_verdicts(_keyed(requests, found, ROUND), ROUND)
 
+    index = indexed(lines)  # the lines are read here, rounds read the index
     done: DataFrame | None = None
     for number in range(1, count + 1):
         blank = findings.select(
@@ -133,7 +130,7 @@ def triage_run(
         seen = blank if done is None else done.select(blank.columns).unionByName(blank)
         prompts = tri.round_prompts(findings, seen, template, project)
         parsed = durable(ask(prompts.filter(F.col("round_no") == number), number, "round", system))
-        evidence = ev.gather_evidence(parsed, lines, ROUND, "reasoning")
+        evidence = index.evidence(parsed, ROUND, "reasoning")
         told = durable(tri.round_evidence(parsed, evidence))
         done = told if done is None else done.unionByName(told)
     arbiter = done.limit(0)
@@ -165,7 +162,7 @@ def triage_input(
 
 def review_run(
     files: DataFrame,
-    lines: DataFrame,
+    lines: DataFrame | SearchIndex,
     model_fn: Model,
     *,
     scan: dict,
@@ -174,12 +171,15 @@ def review_run(
     mode: str = "enabled",
     concurrency: int | None = None,
     answers: str | None = None,
+    retry: dict | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(results, findings, decisions, rounds): scan files, then triage what was found.
 
-    ``scan`` and ``triage`` hold the other arguments of ``scan_run`` and ``triage_run``.
+    ``scan`` and ``triage`` hold the other arguments of ``scan_run`` and ``triage_run``,
+    ``retry`` those of ``attempts.settle``.
     """
-    shared = {"concurrency": concurrency, "answers": answers}
+    shared = {"concurrency": concurrency, "answers": answers, "retry": retry}
+    lines = indexed(lines)
     results, findings = (durable(x) for x in scan_run(files, lines, model_fn, **scan, **shared))
     chosen = durable(triage_input(files, results, findings, threshold, mode))
     decided, rounds = triage_run(chosen, lines, model_fn, **triage, **shared)

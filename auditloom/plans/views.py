@@ -60,6 +60,12 @@ UNION ALL SELECT run_id, '/work/' || path FROM base_files""",
 SELECT DISTINCT source AS run_id, '/work/repo/src' AS root FROM documents
 UNION ALL SELECT DISTINCT source AS run_id, '/work/repo/lib' AS root FROM documents
 UNION ALL SELECT DISTINCT source AS run_id, '/work/repo/src/net' AS root FROM documents""",
+    "ignore_rules": """
+SELECT d.source AS run_id, CASE d.doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'repo' ELSE 'repo/src' END AS folder, d.doc_id AS line,
+  CASE d.doc_id % 8 WHEN 0 THEN '*' || CAST(d.doc_id % 10 AS VARCHAR(20)) || '.c' WHEN 1 THEN '/src/net/' WHEN 2 THEN '!f*[13].?'
+    WHEN 3 THEN '# f1.c' WHEN 4 THEN 'core/f?' || CAST(d.doc_id % 10 AS VARCHAR(20)) || '.*  ' WHEN 5 THEN '**/docs/**'
+    WHEN 6 THEN 'lib' ELSE '!src/**/f*' || CAST(d.doc_id % 10 AS VARCHAR(20)) || '.go' END AS rule
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic = 1""",
     "reports": f"""
 SELECT d.source AS run_id, d.doc_id AS file_id, {_path('d.doc_id')} AS display_name,
   CASE WHEN l.toxic = 1 THEN 'error' ELSE 'ok' END AS status,

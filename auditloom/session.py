@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -48,6 +50,25 @@ def durable(df: DataFrame) -> DataFrame:
     return stored
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A table in the shared folder, by columns: for large tables that are read in part or often."""
+    path = f"{scratch_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of rows that may be sent to every task.
+BROADCAST_BYTES = 32 << 20
+
+
+def fitting(df: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if its rows, measured, are within the bound."""
+    texts = [f.name for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(16 + 8 * len(df.columns)))
+    size = df.agg(F.sum(width.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Spread an input of few splits over all cores before heavy per-row work.
 

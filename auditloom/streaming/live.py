@@ -7,14 +7,18 @@ shared scratch folder, so nothing passes through the driver.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed
 from ..operators import corpus
 from ..operators import findings as find
+from ..operators.ranking import running_sums
 from ..session import prepare, scratch_dir
 
 DOCUMENTS = T.StructType(
@@ -112,40 +116,109 @@ def drain_append(rows: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{base}/rows")
 
 
+def changed_files(files: DataFrame) -> DataFrame:
+    """Of a stream of tree rows, those whose path is new or whose content has changed.
+
+    The state is one digest a (run, path), so a file that the source names again without a
+    change stays out, and one that changes back comes again.
+    """
+    columns = files.columns
+    keyed = files.withColumn("_digest", F.sha2(F.concat_ws(":", "kind", F.base64("content")), 256))
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values("changed").tail(1)  # one row a path and batch
+        if state.exists and state.get[0] == rows["_digest"].iloc[0]:
+            return
+        state.update((rows["_digest"].iloc[0],))
+        yield rows[columns]
+
+    return keyed.groupBy("run_id", "path").applyInPandasWithState(
+        step, files.schema, "digest string", "append", GroupStateTimeout.NoTimeout
+    )
+
+
 def arriving_files(
-    files: DataFrame, max_bytes: int = fixed.MAX_BYTES, ignored: DataFrame | None = None
+    files: DataFrame,
+    max_bytes: int = fixed.MAX_BYTES,
+    ignored: DataFrame | None = None,
+    base: str | None = None,
 ) -> DataFrame:
     """Scope and profile new files as they land: kept files and the reasons of the others.
 
     ``ignored`` is a table, (run_id, path), joined as it stands when a batch runs.
     """
     pruned = corpus.prune_dirs(files)
-    return corpus.with_skip_reason(pruned, ignored, max_bytes=max_bytes)
+    told = corpus.with_skip_reason(pruned, ignored, max_bytes=max_bytes)
+    return told.withColumn("display_name", corpus.display_name(base))
 
 
 # ---- over the given tables -------------------------------------------------------
 
 
-def _given_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as a stream; a few large files are spread over the cores."""
-    stream = document_stream(spark, sf_dir)
-    splits = spark.read.schema(DOCUMENTS).parquet(f"{sf_dir}/documents.parquet").rdd.getNumPartitions()
-    cores = spark.sparkContext.defaultParallelism
-    return stream.repartition(cores, "doc_id") if splits < cores else stream
-
-
 def stream_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..plans.views import view_over
 
     prepare(spark)
-    reports = view_over(spark, sf_dir, "reports", {"documents": _given_documents(spark, sf_dir)})
+    reports = view_over(spark, sf_dir, "reports", {"documents": document_stream(spark, sf_dir)})
     blank = F.when(F.col("status") == "ok", F.col("report")).otherwise("")
     return drain_totals(severity_totals(reports.withColumn("report", blank)))
 
 
-def stream_corpus(spark: SparkSession, sf_dir: str, max_bytes: int) -> DataFrame:
+def running_live(reports: DataFrame, sums: dict[str, str], folder: str | None = None) -> DataFrame:
+    """Totals of each run after each completed file, on a stream of per-file rows.
+
+    Rows (run_id, file_id, done_at and the summed columns) are put in order within a batch by
+    ``ranking.running_sums``, so a run that holds much of a batch is cut into pieces; the
+    totals of earlier batches are one row a run.  A repeated batch overwrites its own
+    output only.
+    """
+    spark = reports.sparkSession
+    base = folder or f"{scratch_dir(spark)}/running-{uuid.uuid4().hex}"
+    rows = T.StructType(
+        [reports.schema["run_id"], reports.schema["file_id"], *[T.StructField(n, T.LongType()) for n in sums]]
+    )
+    ends = T.StructType([reports.schema["run_id"], *[T.StructField(n, T.LongType()) for n in sums]])
+    for name, schema in (("rows", rows), ("ends", ends)):
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{base}/{name}/epoch=-1")
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        per_epoch = T.StructType([*ends.fields, T.StructField("epoch", T.LongType())])
+        before = spark.read.schema(per_epoch).parquet(f"{base}/ends").filter(F.col("epoch") < epoch)
+        totals = before.groupBy("run_id").agg(*[F.sum(n).alias(f"_{n}") for n in sums])
+        inside = running_sums(batch, ["run_id"], [F.col("done_at"), F.col("file_id")], sums)
+        joined = inside.join(totals, "run_id", "left").select(
+            "run_id", "file_id", *[(F.col(n) + F.coalesce(f"_{n}", F.lit(0))).cast("long").alias(n) for n in sums]
+        )
+        joined.write.mode("overwrite").parquet(f"{base}/rows/epoch={epoch}")
+        own = batch.groupBy("run_id").agg(*[F.sum(c).cast("long").alias(n) for n, c in sums.items()])
+        own.write.mode("overwrite").parquet(f"{base}/ends/epoch={epoch}")
+
+    query = (
+        reports.writeStream.option("checkpointLocation", f"{base}/state")
+        .trigger(availableNow=True)
+        .foreachBatch(keep)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(T.StructType([*rows.fields, T.StructField("epoch", T.LongType())])).parquet(f"{base}/rows")
+
+
+#: What is added up after each completed file.
+RUNNING = {"done": "one", "errors": "failed", **{f"total_{s}": s for s in fixed.SEVERITIES}}
+
+
+def stream_running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..plans.views import view_over
 
     prepare(spark)
-    files = view_over(spark, sf_dir, "source_files", {"documents": _given_documents(spark, sf_dir)})
-    return drain_append(arriving_files(files, max_bytes))
+    reports = view_over(spark, sf_dir, "reports", {"documents": document_stream(spark, sf_dir)})
+    blank = F.when(F.col("status") == "ok", F.col("report")).otherwise("")
+    counted = find.severity_counts(reports.withColumn("report", blank), ["run_id", "file_id", "status"])
+    done = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.col("event_id").alias("file_id"), F.col("ts").alias("done_at")
+    )
+    rows = counted.join(done, "file_id", "left").select(
+        "run_id", "file_id", "done_at", F.lit(1).alias("one"), (F.col("status") == "error").cast("int").alias("failed"),
+        *fixed.SEVERITIES,
+    )
+    return running_live(rows, RUNNING).drop("epoch")

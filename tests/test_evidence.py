@@ -1,8 +1,11 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from auditloom import session
 from auditloom.operators import evidence as ev
+from auditloom.operators.search_index import SearchIndex
 
 
 def reviews(spark, texts):
@@ -47,16 +50,91 @@ def corpus(spark, seed=3):
     return lines, patterns, brute
 
 
-def test_search_matches_brute_force(spark, monkeypatch):
-    lines, patterns, brute = corpus(spark)
-    for buckets in (ev.BUCKETS, 3):
-        monkeypatch.setattr(ev, "BUCKETS", buckets)
+@pytest.mark.parametrize("long_word", [64, 4])
+def test_search_matches_brute_force(spark, monkeypatch, long_word):
+    monkeypatch.setattr(ev, "LONG_WORD", long_word)
+    for seed in (3, 4):
+        lines, patterns, brute = corpus(spark, seed)
         found = ev.corpus_search(lines, patterns).collect()
         got = [(r.run_id, r.pattern, r.path) for r in found]
         assert len(got) == len(set(got))
         assert set(got) == brute
 
 
+def test_search_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    lines, patterns, brute = corpus(spark)
+    assert {(r.run_id, r.pattern, r.path) for r in ev.corpus_search(lines, patterns).collect()} == brute
+
+
+def moved_text(df):
+    """Bytes that go through exchanges which carry a line's text, in the plan that ran."""
+    total = 0
+
+    def walk(plan):
+        nonlocal total
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(plan.plan())
+        if "Exchange" in name and "text#" in plan.output().mkString(","):
+            total += plan.metrics().apply("dataSize").value()
+        children = plan.children()
+        for k in range(children.size()):
+            walk(children.apply(k))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return total
+
+
+@pytest.mark.parametrize("n_patterns", [1400, 60_000])
+def test_text_moves_once(spark, n_patterns):
+    """However many patterns there are, no more than twice the corpus' text goes through a shuffle."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(4000)]
+    rows = [("r", f"f{k}.c", 1, " ".join(rng.choices(words, k=40))) for k in range(2000)]
+    lines = spark.createDataFrame(rows, "run_id string, path string, line int, text string")
+    texts = [t for *_, t in rows]
+    pats = set()
+    while len(pats) < n_patterns:
+        t = rng.choice(texts)
+        at = rng.randrange(len(t) - 12)
+        pats.add(("r", t[at : at + rng.randrange(3, 12)]))
+    patterns = spark.createDataFrame(sorted(pats), "run_id string, pattern string")
+    found = ev.corpus_search(lines, patterns)
+    n = len(found.select("pattern").toPandas()) if n_patterns > 2000 else len(found.collect())
+    assert n >= n_patterns
+    again = ev.corpus_search(lines, patterns)
+    again._jdf.queryExecution().toRdd().count()
+    assert moved_text(again) <= 2 * sum(len(t) + 64 for t in texts)
+
+
+def test_index_answers_like_a_search(spark):
+    lines, patterns, _ = corpus(spark)
+    index = SearchIndex(lines, buckets=3)
+    want = sorted(map(tuple, ev.top_matches(ev.corpus_search(lines, patterns)).select("run_id", "pattern", "rn", "path").collect()))
+    first = patterns.filter("length(pattern) < 4")
+    index.look_up(first)
+    assert index.look_up(patterns).join(first, ["run_id", "pattern"], "left_semi").count() == 0
+    assert index.look_up(patterns).count() == 0
+    got = index.found().filter("path IS NOT NULL").select("run_id", "pattern", "rn", "path").collect()
+    assert sorted(map(tuple, got)) == want
+    assert index.found().select("run_id", "pattern").distinct().count() == patterns.distinct().count()
+
+
+def test_postings_are_not_shuffled(spark):
+    lines, patterns, _ = corpus(spark)
+    index = SearchIndex(lines, buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = index.places.join(patterns.withColumnRenamed("pattern", "word"), ["run_id", "word"])
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_search_runs_no_python(spark):
     lines, patterns, _ = corpus(spark)
     plan = ev.corpus_search(lines, patterns)._jdf.queryExecution().executedPlan().toString()

@@ -107,6 +107,35 @@ def test_triage_run_with_a_scripted_model(spark):
     assert told[1, 1].grep_used and "n.h:3:a needle here" in told[1, 1].evidence
 
 
+def test_rounds_read_the_lines_once(spark):
+    import pandas as pd
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    def model(batch: pd.DataFrame) -> pd.DataFrame:
+        payload = batch["payload"].iloc[0]
+        word = ("needle", "hay", "needle", "stack", "hay")[payload.count("**Reviewer") % 5]
+        content = '{"verdict":"VALID","reasoning":"seen","grep":"%s"}' % word
+        return pd.DataFrame([[batch["request_id"].iloc[0], content, 1, 1, 2, 0.1, None]], columns=[
+            "request_id", "content", "prompt_tokens", "completion_tokens", "total_tokens", "elapsed_s", "error"])
+
+    rows = [("r", f"n{k}.h", 3, f"a {w} here") for k, w in enumerate(["needle", "hay", "stack", "other"])]
+    schema = "run_id string, path string, line int, text string"
+    lines = spark.createDataFrame(rows, schema).mapInPandas(counted, schema)
+    _, done = triage_run(
+        full_findings(spark), lines, model, project="p", template="P %s\n%s\n%s\n%s",
+        arbiter_template="%s %s %s %s %s %d %d %s %s", rounds=5,
+    )
+    told = done.collect()
+    assert {r.round_no for r in told} == {1, 2, 3, 4, 5} and all(r.grep_used for r in told)
+    assert read.value == len(rows)
+
+
 def test_scan_run_with_a_scripted_model(spark):
     import pandas as pd
 
@@ -126,7 +155,7 @@ def test_scan_run_with_a_scripted_model(spark):
     lines = spark.createDataFrame([("r", "ok.c", 1, "needle")], "run_id string, path string, line int, text string")
     results, found = scan_run(
         files, lines, model, model="m", context_system="s", scan_system="t", context_heading="\n",
-        example=("u", "a"), user_template="%s %s",
+        example=("u", "a"), user_template="%s %s", retry={"max_attempts": 1},
     )
     rows = {r.display_name: r for r in results.collect()}
     assert rows["ok.c"].status == "ok" and "ok.c:1:needle" in rows["ok.c"].context
