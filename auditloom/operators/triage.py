@@ -59,15 +59,20 @@ def finding_text(findings: DataFrame) -> Column:
     return F.format_string(fixed.FINDING_TEXT, F.upper("severity"), F.col("title"), body)
 
 
+#: Stands before the earlier reviews where the caller gives no text of their own.
+EARLIER = "\n\nEarlier reviews:\n\n"
+
+
 def round_prompts(
-    findings: DataFrame, rounds: DataFrame, template: str, project: str
+    findings: DataFrame, rounds: DataFrame, template: str, project: str, earlier: str = EARLIER
 ) -> DataFrame:
     """The prompt of every round: finding, code, context and all earlier reviews.
 
     ``findings``: run_id, finding_id, file, severity, title, body, code, context, and
     if known description and function.
     ``rounds``: run_id, finding_id, round_no, reasoning, evidence.
-    ``template`` takes project, finding, file and code, in this order.
+    ``template`` takes project, finding, file and code, in this order; ``earlier`` stands
+    before the earlier reviews.
     """
     full = F.when(
         F.coalesce("evidence", F.lit("")) != "",
@@ -105,7 +110,7 @@ def round_prompts(
         ).otherwise(""),
         F.when(
             F.size("prior") > 0,
-            F.concat(F.lit(fixed.PRIOR_REVIEWS), F.array_join(listed, "")),
+            F.concat(F.lit(earlier), F.array_join(listed, "")),
         ).otherwise(""),
     )
     return (

@@ -10,6 +10,7 @@ from ..functions import fixed
 from .registry import (
     ARBITER_TEMPLATE,
     CONTEXT_HEADING,
+    EARLIER_REVIEWS,
     EXAMPLE,
     MAX_BYTES,
     MODEL,
@@ -455,7 +456,7 @@ REPORT_SECTION = """SELECT *, CASE WHEN n_valid > 0 THEN 'validated' WHEN n_raw
 ROUND_PROMPTS = f"""SELECT p.run_id, p.finding_id, p.round_no, p.n_prior::INTEGER AS n_prior,
   {template(ROUND_TEMPLATE, f"'{PROJECT}'", 'f.finding_text', 'f.file', 'f.code')}
   || CASE WHEN f.context <> '' THEN {NL} || {NL} || '**Security context for this file:**' || {NL} || {prefix('f.context', 2000)} ELSE '' END
-  || CASE WHEN p.n_prior > 0 THEN {lit(fixed.PRIOR_REVIEWS)} || p.told ELSE '' END AS prompt
+  || CASE WHEN p.n_prior > 0 THEN {lit(EARLIER_REVIEWS)} || p.told ELSE '' END AS prompt
 FROM priors p JOIN coded f ON p.run_id = f.run_id AND p.finding_id = f.finding_id"""
 
 DETAIL_DOCS = f"""SELECT o.run_id, 'triage' AS kind, printf('T%04d_', o.position) || {slug('o.file')} || '_' || {slug('o.title')} || '.md' AS name, o.position,

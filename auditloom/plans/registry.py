@@ -37,6 +37,7 @@ SCAN_SYSTEM = "List the defects as JSON."
 CONTEXT_HEADING = "\n\nContext:\n"
 EXAMPLE = ("Review: int f();", "[]")
 USER_TEMPLATE = "Review %s:\n```\n%s\n```"
+EARLIER_REVIEWS = "\n\nWhat others found so far:\n\n"
 ROUND_TEMPLATE = "Project %s\n%s\nFile %s\n```\n%s\n```"
 ARBITER_TEMPLATE = (
     "Project %s, title %s\n%s\nEvidence:\n%s\nVotes %s (%d for, %d against)\nFile %s\n```\n%s\n```"
@@ -467,10 +468,10 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
         find.parse_findings(i.reports, NAMED), _scan_results(i)
     ).select(*FILE, "pos", "severity", "title"),
     "round_prompts": lambda i: tri.round_prompts(
-        i.coded_findings(), i.rounds_with_evidence(), ROUND_TEMPLATE, PROJECT
+        i.coded_findings(), i.rounds_with_evidence(), ROUND_TEMPLATE, PROJECT, EARLIER_REVIEWS
     ),
     "triage_requests": lambda i: comp.triage_requests(
-        tri.round_prompts(i.coded_findings(), i.rounds_with_evidence(), ROUND_TEMPLATE, PROJECT),
+        tri.round_prompts(i.coded_findings(), i.rounds_with_evidence(), ROUND_TEMPLATE, PROJECT, EARLIER_REVIEWS),
         ROUND, "round", SYSTEM, MODEL,
     ).drop("messages", "reasoning_effort"),
     "parse_verdicts": lambda i: tri.parse_verdicts(i.round_responses, ROUND),

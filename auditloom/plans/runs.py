@@ -96,6 +96,7 @@ def triage_run(
     model: str = "",
     system: str = "",
     arbiter_system: str = "",
+    earlier: str = tri.EARLIER,
     rounds: int = fixed.ROUNDS,
     concurrency: int | None = None,
     answers: str | None = None,
@@ -103,7 +104,8 @@ def triage_run(
 ) -> tuple[DataFrame, DataFrame]:
     """(decisions, rounds) of findings (see ``round_prompts`` for their columns).
 
-    ``system`` and ``arbiter_system`` are the instructions sent with each prompt.
+    ``system`` and ``arbiter_system`` are the instructions sent with each prompt, ``earlier``
+    stands before the earlier reviews.
 
     Rounds follow each other because each sees the earlier reviews; one round is
     one distributed step over all findings.
@@ -128,7 +130,7 @@ def triage_run(
             F.lit(None).cast("string").alias("evidence"),
         )
         seen = blank if done is None else done.select(blank.columns).unionByName(blank)
-        prompts = tri.round_prompts(findings, seen, template, project)
+        prompts = tri.round_prompts(findings, seen, template, project, earlier)
         parsed = durable(ask(prompts.filter(F.col("round_no") == number), number, "round", system))
         evidence = index.evidence(parsed, ROUND, "reasoning")
         told = durable(tri.round_evidence(parsed, evidence))
