@@ -123,6 +123,16 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+l AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS lead FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN page_id < lead THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < lead THEN lead END AS refers_to, CAST(NULL AS VARCHAR) AS error
+FROM l
+"""
+
+
 def _crc32(text: str) -> str:
     """CRC-32 of an ASCII text, bit by bit: a byte enters with the first of its eight steps."""
     bits = f"flatten(list_transform(string_split({text}, ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
@@ -243,6 +253,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_substring_dedup": SUBSTRING_DEDUP,
         "op4_minhash": MINHASH,
         "op5_line_frequency": LINE_FREQUENCY,
+        "op8_warc": WARC,
         "op9_license_scan": LICENSE_SCAN,
         "op11_prefix_trie": PREFIX_TRIE,
         "op13_conversation_repair": CONVERSATION_REPAIR,
