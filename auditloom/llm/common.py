@@ -74,6 +74,39 @@ def spread_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Colum
     return marked.join(salted, [*keys, "_salt"]).drop("_salt")
 
 
+#: A key of at most this many rows is never cut by ``sized_join``.
+LEAST_PIECE = 256
+#: Bound on the number of keys that ``sized_join`` cuts, and on the pieces of all of them.
+PIECES = 10_000
+
+
+def sized_join(
+    big: DataFrame, small: DataFrame, sizes: DataFrame, keys: list[str], spread: Column, how: str = "inner"
+) -> DataFrame:
+    """Join on ``keys`` where a key may hold much of ``big``, cut by the counted size of the key.
+
+    ``small`` has one row a key; ``sizes`` has the keys and ``n``, their rows in ``big``.  A
+    piece is a ten-thousandth of the rows of all keys over ``LEAST_PIECE``, or
+    ``LEAST_PIECE`` rows if that is more.  Larger keys are cut into pieces of about that
+    size by ``spread``, and their row of ``small`` is repeated for each, so a key with a
+    third of all rows meets its partner in thousands of places, however large the table.
+    No more than ``PIECES`` keys can be larger than a piece, so their table is broadcast.
+    """
+    large = stored(sizes.filter(F.col("n") > LEAST_PIECE).select(*keys, "n"))
+    rows = large.agg(F.sum("n")).first()[0]
+    if rows is None:  # every key is smaller than a piece
+        return big.join(small, keys, how)
+    piece = max(LEAST_PIECE, -(-rows // PIECES))
+    cut = F.broadcast(
+        large.filter(F.col("n") > piece).select(*keys, F.ceil(F.col("n") / piece).cast("int").alias("_pieces"))
+    )
+    pieces = F.coalesce("_pieces", F.lit(1))
+    marked = big.withColumn("_spread", F.xxhash64(spread)).join(cut, keys, "left")
+    marked = marked.withColumn("_piece", F.pmod("_spread", pieces).cast("int")).drop("_pieces", "_spread")
+    repeated = small.join(cut, keys, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    return marked.join(repeated.drop("_pieces"), [*keys, "_piece"], how).drop("_piece")
+
+
 class WordHashes(dict):
     """128-bit hashes of words, remembered up to a bound."""
 

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, WordHashes, by_place, ready, rolled, spread_join, stored, texts
+from .common import BLANKS, LEAST_PIECE, WordHashes, by_place, ready, rolled, sized_join, stored, texts
 
 SHINGLE = 5
 #: Minima in a signature; the first BANDS * ROWS of them are cut into bands.
@@ -191,9 +191,14 @@ def _verified_rows(threshold_pct: int):
     return rows
 
 
+def _sizes(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
 def verify(pairs: DataFrame, docs: DataFrame, threshold_pct: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough.  docs: (id, text)."""
-    first = pairs.join(docs.withColumnRenamed("id", "a"), "a").select("a", "b", "text")
+    first = sized_join(pairs, docs.withColumnRenamed("id", "a"), _sizes(pairs, "a"), ["a"], F.col("b"))
+    first = first.select("a", "b", "text")
     sets = first.mapInArrow(_set_rows, "a long, b long, set binary")
     both = sets.join(docs.withColumnRenamed("id", "b"), "b").select("a", "b", "set", "text")
     return both.mapInArrow(_verified_rows(threshold_pct), "a long, b long").distinct()
@@ -206,19 +211,18 @@ def components(links: DataFrame) -> DataFrame:
     links takes about log n rounds.  Each round is stored; only counts reach the driver.
     """
     both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    degrees = stored(_sizes(both, "b").filter(F.col("n") > LEAST_PIECE))
     labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
     while True:
         near = (
-            both.join(labels.withColumnRenamed("id", "b"), "b")
+            sized_join(both, labels.withColumnRenamed("id", "b"), degrees, ["b"], F.col("a"))
             .groupBy(F.col("a").alias("id"))
             .agg(F.min("component").alias("near"))
         )
-        moved = labels.join(near, "id").select(
-            "id", "component", F.least("component", "near").alias("to")
-        )
+        moved = stored(labels.join(near, "id").select("id", "component", F.least("component", "near").alias("to")))
         ahead = labels.select(F.col("id").alias("to"), F.col("component").alias("next"))
         after = stored(
-            moved.join(ahead, "to", "left").select(
+            sized_join(moved, ahead, _sizes(moved, "to"), ["to"], F.col("id"), "left").select(
                 "id", F.coalesce("next", "to").alias("component"), (F.coalesce("next", "to") != F.col("component")).alias("changed")
             )
         )
@@ -328,9 +332,10 @@ def across(
         .agg(F.min("component").alias("main"), F.max("component").alias("other"), F.count(F.lit(1)).alias("n"))
         .filter("main < other")
     )
-    inside = members.join(mixed, "bucket")
+    mixed = stored(mixed)
+    inside = stored(sized_join(members, mixed, mixed.select("bucket", "n"), ["bucket"], F.col("id")))
     outside = inside.filter("component <> main").groupBy("bucket").agg(F.count(F.lit(1)).alias("n_few"))
-    parts = stored(inside.join(outside, "bucket"))
+    parts = stored(sized_join(inside, outside, mixed.select("bucket", "n"), ["bucket"], F.col("id")))
     n_few = F.ceil(F.col("n_few") / BLOCK).cast("int")
     n_all = F.ceil(F.col("n") / BLOCK).cast("int")
     spot = F.xxhash64("id")
@@ -363,6 +368,22 @@ def across(
     )
 
 
+def with_nodes(classes: DataFrame) -> DataFrame:
+    """Classes (one, two, ...) with ``node``, the key of a class in links and components.
+
+    It is the first half of the class's digest.  Of classes that share this half, all but
+    the one of the smallest second half take a hash of both halves.
+    """
+    twins = stored(
+        classes.groupBy("one")
+        .agg(F.min("two").alias("least"), F.max("two").alias("most"))
+        .filter("least < most")
+        .select("one", "least")
+    )
+    node = F.when(F.col("two") > F.col("least"), F.xxhash64("one", "two")).otherwise(F.col("one"))
+    return classes.join(twins, "one", "left").withColumn("node", node).drop("least")
+
+
 def groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold_pct: int = THRESHOLD_PCT
 ) -> DataFrame:
@@ -379,38 +400,41 @@ def groups(
             _sketch_rows, "id long, n_shingles long, one long, two long, signature binary, row long"
         )
     )
-    # a class: documents of one word sequence; its digest is its key in links and components
-    classes = stored(
-        sketches.filter("n_shingles > 0")
-        .groupBy("one", "two")
-        .agg(F.min(F.struct("id", "row")).alias("head"))
-        .select("one", "two", F.col("head.id").alias("first"), F.col("head.row").alias("first_row"))
-    )
-    chosen = stored(
-        sketches.join(classes, ["one", "two"])
-        .filter("id = first and row = first_row")
-        .select(F.col("one").alias("id"), "signature")
-        .dropDuplicates(["id"])
+    # a class: documents of one word sequence; copies meet only after each task has reduced its own
+    classes = with_nodes(
+        stored(
+            sketches.filter("n_shingles > 0")
+            .groupBy("one", "two")
+            .agg(F.min(F.struct("id", "row", "signature")).alias("head"), F.count(F.lit(1)).alias("n"))
+            .select("one", "two", "n", F.col("head.id").alias("first"), F.col("head.row").alias("first_row"), "head.signature")
+        )
     )
+    chosen = classes.select(F.col("node").alias("id"), "signature")
 
     def docs_of(nodes: DataFrame) -> DataFrame:
         """One text for each class of these keys."""
-        heads = classes.join(nodes.select(F.col("id").alias("one")), "one").select(
-            F.col("one").alias("node"), F.col("first").alias("id"), F.col("first_row").alias("row")
+        heads = classes.join(nodes.select(F.col("id").alias("node")), "node").select(
+            "node", F.col("first").alias("id"), F.col("first_row").alias("row")
         )
         return stored(
             rows.join(heads, ["id", "row"]).select(F.col("node").alias("id"), "text").dropDuplicates(["id"])
         )
 
     buckets = chosen.select("id", "signature").mapInArrow(_band_rows, "bucket long, band int, id long").distinct()
-    pivots = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a < last")
-    shared = stored(buckets.join(pivots.select("bucket", "a"), "bucket"))
+    pivots = stored(
+        buckets.groupBy("bucket")
+        .agg(F.min("id").alias("a"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
+        .filter("a < last")
+        .select("bucket", "a", "n")
+    )
+    shared = stored(
+        sized_join(buckets, pivots.select("bucket", "a"), pivots.select("bucket", "n"), ["bucket"], F.col("id"))
+    )
 
-    pairs = shared.filter("a < id").select("a", F.col("id").alias("b")).distinct()
+    pairs = stored(shared.filter("a < id").select("a", F.col("id").alias("b")).distinct())
     sided = lambda c: chosen.select(F.col("id").alias(c), F.col("signature").alias(f"signature_{c}"))
     survivors = stored(
-        pairs.join(sided("b"), "b")
-        .join(sided("a"), "a")
+        sized_join(pairs.join(sided("b"), "b"), sided("a"), _sizes(pairs, "a"), ["a"], F.col("b"))
         .select("a", "b", "signature_a", "signature_b")
         .mapInArrow(_tested(threshold_pct), "a long, b long")
     )
@@ -428,14 +452,24 @@ def groups(
     if not more.isEmpty():
         reached = components(links.union(more))
 
-    head = F.struct(F.col("first").alias("id"), "one", F.col("first_row").alias("row")).alias("head")
-    linked = stored(classes.join(reached.withColumnRenamed("id", "one"), "one").select("one", "two", "component", head))
+    head = F.struct(F.col("first").alias("id"), "one", "two", F.col("first_row").alias("row")).alias("head")
+    linked = stored(
+        classes.join(reached.withColumnRenamed("id", "node"), "node").select("one", "two", "component", head)
+    )
     leads = linked.groupBy("component").agg(F.min("head").alias("lead"))
-    led = spread_join(linked.select("one", "two", "component"), leads, ["component"], F.col("one"))
+    led = sized_join(
+        linked.select("one", "two", "component"), leads, _sizes(linked, "component"), ["component"], F.col("one")
+    )
     named = classes.select("one", "two", head).join(led, ["one", "two"], "left").select(
         "one", "two", F.coalesce("lead", "head").alias("lead")
     )
-    labelled = sketches.select("id", "n_shingles", "one", "two", "row").join(named, ["one", "two"], "left")
+    # rows are told apart by their place: copies may also share their id
+    rows_of = sketches.select("id", "n_shingles", "one", "two", "row")
+    labelled = sized_join(
+        rows_of.filter("n_shingles > 0").withColumn("place", F.monotonically_increasing_id()),
+        named, classes.select("one", "two", "n"), ["one", "two"], F.col("place"),
+    ).select(*rows_of.columns, "lead")
+    labelled = labelled.unionByName(rows_of.filter("n_shingles = 0"), allowMissingColumns=True)
     top = F.lit(int(NO_ID))
     wordy = F.col("n_shingles") > 0
     component = F.when(wordy, F.col("lead.id")).otherwise(F.col("id"))
@@ -444,7 +478,7 @@ def groups(
         shown(F.col("id")).alias("id"),
         "n_shingles",
         shown(component).alias("component_id"),
-        F.when(wordy, F.col("lead") == F.struct("id", "one", "row")).otherwise(F.lit(True)).alias("kept"),
+        F.when(wordy, F.col("lead") == F.struct("id", "one", "two", "row")).otherwise(F.lit(True)).alias("kept"),
         "row",
     )
 

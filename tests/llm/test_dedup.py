@@ -5,7 +5,9 @@ import pytest
 from brute import components, shingles, substrings
 from conftest import document, messy_rows, prose
 
-from auditloom.llm import minhash, substring_dedup
+from pyspark.sql import functions as F
+
+from auditloom.llm import common, minhash, substring_dedup
 
 
 def test_cover_reaches_every_shift():
@@ -143,6 +145,39 @@ def test_near_texts_of_one_id_leave_one(spark):
         assert minhash.keep_one(df).count() == 1
 
 
+def test_classes_of_one_half_digest_stay_apart(spark):
+    rows = [(1, 5), (1, 6), (1, 7), (2, 5), (3, -1)]
+    got = {(r.one, r.two): r.node for r in minhash.with_nodes(spark.createDataFrame(rows, "one long, two long")).collect()}
+    assert len(got) == len(set(got.values())) == 5
+    assert (got[1, 5], got[2, 5], got[3, -1]) == (1, 2, 3)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_of_hot_keys(spark, how):
+    """A key with a third of all rows meets its partner in many tasks; the rows are those of a plain join."""
+    big = spark.range(9000).selectExpr("if(id % 3 = 0, 0, id % 701) as k", "id")
+    small = spark.range(0, 650).selectExpr("id as k", "id * 7 as v")
+    sizes = big.groupBy("k").count().withColumnRenamed("count", "n")
+    got = common.sized_join(big, small, sizes, ["k"], F.col("id"), how)
+    assert sorted(map(repr, got.select("k", "id", "v").collect())) == sorted(
+        map(repr, big.join(small, "k", how).select("k", "id", "v").collect())
+    )
+    spots = common.sized_join(big, small, sizes, ["k"], F.col("id")).filter("k = 0").rdd.glom().map(len).collect()
+    assert max(spots) < 3000
+
+
+def test_copies_of_one_text_and_rows_without_words(spark):
+    """Hundreds of copies, and of rows without words, among others: one class, one kept."""
+    base, other = prose(60, 80), prose(61, 80)
+    rows = [(k, base if k % 3 else other) for k in range(900)] + [(None, base)] * 300 + [(2000 + k, " ") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = minhash.groups(df).collect()
+    assert len(got) == 1500
+    assert sorted(r.id for r in got if r.kept and r.n_shingles) == [0, 1]
+    assert all(r.component_id == (1 if r.id is None or r.id % 3 else 0) for r in got if r.n_shingles)
+    assert all(r.kept and r.component_id == r.id for r in got if not r.n_shingles)
+
+
 def test_looks_follow_the_posterior():
     for n, m in minhash.least_matches(85):
         # by numeric integration of the posterior density
