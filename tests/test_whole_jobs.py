@@ -2,6 +2,7 @@
 
 import hashlib
 
+from auditloom.operators import evidence as ev
 from auditloom.plans import registry
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -18,5 +19,48 @@ def test_corpus_scan_reads_every_file(spark, tmp_path):
     rows = tables(spark, tmp_path, [("r", f"text {k} " * (1 if k % 3 else 900)) for k in range(56)])
     got = registry.queries()["corpus_scan"](spark, str(tmp_path)).collect()
     assert len(got) == 56 + 12 + 1  # hidden copies of every fifth, one file that is a root
-    want = sorted(hashlib.sha256(text.encode()).hexdigest() for k, text, *_ in rows for _ in range(1 + (k % 5 == 0) + (k == 0)))
+    # every 29th file ends in a zero byte
+    whole = [(k, (text + "\0" * (k % 29 == 0)).encode()) for k, text, *_ in rows]
+    want = sorted(hashlib.sha256(data).hexdigest() for k, data in whole for _ in range(1 + (k % 5 == 0) + (k == 0)))
     assert sorted(r.digest for r in got) == want
+
+
+def lines_of(spark, n):
+    rows = []
+    for run in ("r", "q"):
+        for k in range(n):
+            text = f"the line {k} of the corpus" + ("  #define the" if k % 97 == 0 else "") + (" é" if k % 5 == 0 else "")
+            rows.append((run, f"d{k % 7}/f{k // 3}.{'h' if k % 11 == 0 else 'c'}", k, text))
+    rows.append(("r", "long.c", 1, "x y" * 3000 + " the end of a long line"))
+    return rows, spark.createDataFrame(rows, "run_id string, path string, line int, text string")
+
+
+def test_matches_are_not_shuffled(spark):
+    rows, lines = lines_of(spark, 500)
+    asked = ["the", "e", "é", " ", "f the corpus", "end of a long line", "xx", "yx y", "none here", "the end"]
+    patterns = spark.createDataFrame([("r", p) for p in asked] + [(None, "the")], "run_id string, pattern string")
+    found = ev.corpus_search(lines, patterns)
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    want = sorted((p, path, line) for run, path, line, text in rows if run == "r" for p in asked if p in text)
+    assert sorted((r.pattern, r.path, r.line) for r in found.collect()) == want
+
+
+def test_patterns_in_blocks(spark, monkeypatch):
+    rows, lines = lines_of(spark, 60)
+    asked = [(run, p) for run in "rq" for p in ("the", "line 1", "e 2", "corpus", "of the corpus")]
+    patterns = spark.createDataFrame(asked, "run_id string, pattern string")
+    want = sorted((run, p, path, line) for run, path, line, text in rows for r, p in asked if r == run and p in text)
+    for most in (150, 400):  # a run in several blocks, a run a block
+        monkeypatch.setattr(ev, "BROADCAST_BYTES", most)
+        found = ev.corpus_search(lines, patterns).collect()
+        assert sorted((r.run_id, r.pattern, r.path, r.line) for r in found) == want
+
+
+def test_first_matches_by_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ev, "RANGE_BYTES", 1 << 10)
+    _, lines = lines_of(spark, 600)
+    asked = ["the", "line 1", "é", "#define", "corpus  #d", "line 599", "none here"]
+    patterns = spark.createDataFrame([(run, p) for run in "rq" for p in asked], "run_id string, pattern string")
+    columns = ["run_id", "pattern", "rn", "path", "line", "text"]
+    want = ev.top_matches(ev.corpus_search(lines, patterns)).select(*columns).collect()
+    assert sorted(ev.first_matches(lines, patterns).select(*columns).collect()) == sorted(want)
