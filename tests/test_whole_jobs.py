@@ -3,6 +3,7 @@
 import hashlib
 
 from auditloom.operators import evidence as ev
+from auditloom.operators import ignore_rules
 from auditloom.plans import registry
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -64,3 +65,16 @@ def test_first_matches_by_ranges(spark, monkeypatch):
     columns = ["run_id", "pattern", "rn", "path", "line", "text"]
     want = ev.top_matches(ev.corpus_search(lines, patterns)).select(*columns).collect()
     assert sorted(ev.first_matches(lines, patterns).select(*columns).collect()) == sorted(want)
+
+
+def test_rules_that_stand_again_are_met_once(spark):
+    texts = ["*3.c", "!f*[13].?", "lib", "/src/net/", "x[a/b]", "**/docs/**", "fo\\o.c", "!src/**/f*3.go"]
+    rules = spark.createDataFrame([("r", "", k, texts[k % 8]) for k in range(400)], "run_id string, folder string, line int, rule string")
+    known = ignore_rules.standing(ignore_rules.parsed_rules(rules))
+    assert {(r.line, r.key) for r in known.collect()} == {
+        (392, "e3.c"), (393, "sf"), (394, "elib"), (395, "enet"), (396, ""), (397, ""), (398, ""), (399, "e.go")
+    }
+    names = ["a3.c", "f3.c", "f33.go", "src/net/a", "src/x/f3.go", "lib/a", "docs/a/b", "foo.c", "xa", "other", "f1.c"]
+    paths = spark.createDataFrame([("r", n) for n in names], "run_id string, path string")
+    got = {r.path for r in ignore_rules.ignored_by_rules(paths, rules).collect()}
+    assert got == {"a3.c", "src/net/a", "lib/a", "docs/a/b", "foo.c", "xa"}
