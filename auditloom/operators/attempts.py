@@ -52,10 +52,9 @@ class Ledger:
 
         def step(rows: DataFrame, number: int) -> None:
             told = ask(rows).withColumn("tried_at", F.lit(clock()).cast("timestamp_ntz"))
-            numbered = told.join(rows.select("request_id", "attempt"), "request_id")
             columns = [f.split()[0] for f in LEDGER.split(", ")]
             # a repeated batch overwrites its own tries only
-            numbered.select(*columns).write.mode("overwrite").parquet(f"{self.folder}/tries/batch={name}-{number}")
+            numbered(told, rows).select(*columns).write.mode("overwrite").parquet(f"{self.folder}/tries/batch={name}-{number}")
 
         stream = (
             self.spark.readStream.schema(due.schema)
@@ -69,6 +68,15 @@ class Ledger:
         stream.awaitTermination()
 
 
+def numbered(told: DataFrame, rows: DataFrame) -> DataFrame:
+    """Tries with the number of the try.
+
+    Ids are few bytes on disk and many in memory, so by its size on disk Spark would send a
+    batch of a million through the driver to every task; the hint keeps it in the shuffle.
+    """
+    return told.join(rows.select("request_id", "attempt").hint("merge"), "request_id")
+
+
 def judged(tries: DataFrame) -> DataFrame:
     """Tries with their class; without a status, an error stands for a server's failure."""
     status = F.coalesce("status_code", F.when(F.col("error").isNull(), 200).otherwise(500))
@@ -94,7 +102,7 @@ def backlog(requests: DataFrame, tries: DataFrame, max_attempts: int = fixed.MAX
     pause = F.expr("failed_at + make_dt_interval(0, 0, 0, shiftleft(1, counted))")
     open_ = F.col("n").isNull() | ((F.col("finished") == 0) & (F.col("counted") < max_attempts))
     return (
-        requests.join(calls, "request_id", "left")
+        requests.join(calls.hint("merge"), "request_id", "left")
         .filter(open_)
         .select(
             *requests.columns,
@@ -148,7 +156,7 @@ def answers(requests: DataFrame, tries: DataFrame) -> DataFrame:
         F.max_by("_row", F.when(~got, F.struct("tried_at", "attempt"))).alias("last"),
         F.max_by(F.coalesce("error", "body"), F.when(~got, F.struct("tried_at", "attempt"))).alias("why"),
     )
-    asked = per.join(requests.select("request_id"), "request_id", "left_semi")
+    asked = per.join(requests.select("request_id").hint("merge"), "request_id", "left_semi")
     chosen = asked.select(F.coalesce("answer", "last").alias("r"), F.col("answer").isNotNull().alias("ok"), "why")
     fields = [f.split()[0] for f in comp.RESPONSE.split(", ")]
     return chosen.select(

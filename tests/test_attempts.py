@@ -5,6 +5,7 @@ import os
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from auditloom.operators import attempts
 from auditloom.operators import completions as comp
@@ -115,3 +116,18 @@ def test_answers_take_the_first(spark):
 
 def test_nothing_to_ask(spark, tmp_path):
     assert settled(spark, 0, replies(), tmp_path / "tries", Clock()) == {}
+
+
+def test_requests_do_not_pass_through_the_driver(spark, tmp_path):
+    """Neither side of a join of requests and tries is broadcast, however small it looks."""
+    asked = requests(spark, 50).withColumn("attempt", F.lit(1))
+    asked.write.parquet(str(tmp_path / "asked"))
+    asked = spark.read.parquet(str(tmp_path / "asked"))
+    values = ", ".join(f"cast(null as {f.split()[1]}) as {f.split()[0]}" for f in comp.TRY.split(", ")[1:])
+    told = asked.selectExpr("request_id", *values.split(", "))
+    tries = attempts.numbered(told, asked).withColumn("tried_at", F.lit(datetime.datetime(2024, 1, 1)).cast("timestamp_ntz"))
+    left, got = attempts.backlog(asked.drop("attempt"), tries), attempts.answers(asked, tries)
+    for df in (tries, left, got):
+        df.collect()
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert (tries.count(), left.count(), got.count()) == (50, 0, 50)  # all are answered
