@@ -52,13 +52,18 @@ def look(system: fs.FileSystem, path: str) -> Entry:
     return _remote(system.get_file_info(path))
 
 
-def listed(system: fs.FileSystem, path: str) -> list[Entry]:
-    """Names in a directory, in order; none if it cannot be listed."""
+def listed(system: fs.FileSystem, path: str, first: str = "", last: str | None = None) -> list[Entry]:
+    """Names in a directory, from first to last, in order; none if it cannot be listed."""
+
+    def within(name: str) -> bool:
+        return first <= name and (last is None or name <= last)
+
     try:
         if isinstance(system, fs.LocalFileSystem):
-            found = [_local(os.path.join(path, n), n) for n in os.listdir(path)]
+            # names outside the range are not looked at
+            found = [_local(os.path.join(path, n), n) for n in os.listdir(path) if within(n)]
         else:
-            found = [_remote(i) for i in system.get_file_info(fs.FileSelector(path))]
+            found = [_remote(i) for i in system.get_file_info(fs.FileSelector(path)) if within(i.base_name)]
     except OSError:
         return []
     return sorted(found, key=lambda e: e.name)

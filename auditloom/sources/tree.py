@@ -9,8 +9,8 @@ also those that begin with a dot or an underscore, which Spark's file sources le
 Filters on ext (equal, in) and length (up to) are applied before a file is opened.
 
 The driver walks directories and plans partitions as ranges of names of about
-``partitionBytes``; tasks list their directories again and open the files.  Overlapping
-roots of a run give each file once.
+``partitionBytes``; tasks list the names of their directories again, look at those of their
+range and open the files.  Overlapping roots of a run give each file once.
 
 As a stream, a batch holds what has changed since the last one, found by change time.  A
 file may come again near the border of two batches; ``streaming.live.changed_files``
@@ -153,9 +153,9 @@ class _Walk:
         for names in part.parts:
             system, top = files.opened(names.root)
             single = files.look(system, top).kind != "directory"
-            entries = [files.look(system, top)] if single else files.listed(system, names.directory)
+            entries = [files.look(system, top)] if single else files.listed(system, names.directory, names.first, names.last)
             for entry in entries:
-                if entry.kind == "directory" or not (single or names.first <= entry.name <= names.last):
+                if entry.kind == "directory":
                     continue
                 if not self.wanted.lets(entry) or not _within(entry, part.since, part.until):
                     continue

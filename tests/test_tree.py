@@ -1,5 +1,6 @@
 """The tree source, its stream, and files with names."""
 
+import json
 import os
 import time
 
@@ -54,6 +55,20 @@ def test_partitions_are_bounded(spark, tmp_path):
     assert df.rdd.getNumPartitions() == 5 and df.count() == 40
 
 
+def test_a_range_looks_at_its_own_names_only(tmp_path, monkeypatch):
+    """A directory of many partitions costs each of them its own files, not all."""
+    for k in range(40):
+        put(tmp_path / "t" / f"f{k:02}.c", b"x")
+    seen = []
+    look = files._local
+    monkeypatch.setattr(files, "_local", lambda path, name: seen.append(name) or look(path, name))
+    walk = tree._Walk({"roots": json.dumps({"r": [str(tmp_path / "t")]}), "partitionBytes": str(8 * (1 + tree.OPEN_BYTES))})
+    parts = walk.slices()
+    seen.clear()
+    rows = [row for part in parts for row in walk.rows(part)]
+    assert len(parts) == 5 and len(rows) == 40 and len([n for n in seen if n != "t"]) == 40
+
+
 def test_filters_are_pushed_and_exact(spark, root, tmp_path):
     plain = tree.read_tree(spark, {"r": [str(root)]})
     kept = plain.filter(F.col("ext").isin(".c", ".go") & (F.col("length") <= 100) & (F.col("kind") == "file"))
@@ -98,6 +113,29 @@ def test_three_drains(spark, root, tmp_path):
     assert drain() == third
 
 
+@pytest.mark.parametrize("groups", [None, 1])
+def test_paths_share_a_state(spark, tmp_path, monkeypatch, groups):
+    """Many more paths than steps of Python; paths of one state change apart from each other."""
+    assert live.STATE_GROUPS <= 1 << 16  # steps do not grow with the files
+    monkeypatch.setattr(live, "STATE_GROUPS", groups or live.STATE_GROUPS)
+    top = tmp_path / "many"
+    for k in range(30):
+        put(top / f"f{k}.c", b"1")
+
+    def drain():
+        stream = live.changed_files(tree.stream_tree(spark, {"r": [str(top)], "q": [str(top)]}))
+        rows = live.drain_append(stream.select("run_id", "path", "content"), str(tmp_path / "live"))
+        return sorted((r.run_id, r.path.rsplit("/", 1)[1], bytes(r.content)) for r in rows.collect())
+
+    first = drain()
+    assert first == sorted((run, f"f{k}.c", b"1") for run in "rq" for k in range(30))
+    put(top / "f3.c", b"2")
+    put(top / "f30.c", b"1")
+    second = drain()
+    assert second == sorted(first + [(run, *new) for run in "rq" for new in (("f3.c", b"2"), ("f30.c", b"1"))])
+    assert drain() == second
+
+
 def test_named_files(spark, tmp_path):
     out = tmp_path / "out"
     rows = [(f"run=a b/d{k % 3}/f{k}~2.md", f"text {k}") for k in range(30)] + [("top.json", "{}"), ("empty", None)]
