@@ -3,6 +3,7 @@
 import hashlib
 
 from auditloom.operators import evidence as ev
+from auditloom.operators import findings as find
 from auditloom.operators import ignore_rules
 from auditloom.plans import registry
 
@@ -78,3 +79,24 @@ def test_rules_that_stand_again_are_met_once(spark):
     paths = spark.createDataFrame([("r", n) for n in names], "run_id string, path string")
     got = {r.path for r in ignore_rules.ignored_by_rules(paths, rules).collect()}
     assert got == {"a3.c", "src/net/a", "lib/a", "docs/a/b", "foo.c", "xa"}
+
+
+def test_results_and_findings_of_one_parse(spark, monkeypatch):
+    """The same rows as parsing twice, also of repeated and null rows, and without reading the texts twice."""
+    texts = [">>> HIGH: A | x\n>>> low: B", "", None, "One medium concern.", "nothing", '[{"severity":"low","title":"t"},5]', "## [HIGH] Bad overflow\nx"]
+    rows = [("r" if k % 3 else None, k // 2, f"n{k}", t, "ok") for k, t in enumerate(texts * 2)]
+    columns = "run_id string, file_id int, display_name string, report string, status string"
+    reports = spark.createDataFrame(rows + rows[:3], columns)
+    keys = ["run_id", "file_id", "display_name"]
+    counts, found = find.parse_and_count(reports, keys, ["status"])
+    for got, want in (
+        (counts, find.severity_counts(reports, [*keys, "status"])),
+        (found, find.parse_findings(reports, keys)),
+    ):
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+    parsed, tier = [], find.with_tier
+    monkeypatch.setattr(find, "with_tier", lambda *a, **k: parsed.append(1) or tier(*a, **k))
+    assert registry.queries()["comment_page"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(parsed) == 1
