@@ -2,6 +2,8 @@
 
 import hashlib
 
+from pyspark.sql import functions as F
+
 from auditloom.operators import evidence as ev
 from auditloom.operators import findings as find
 from auditloom.operators import ignore_rules
@@ -100,3 +102,33 @@ def test_results_and_findings_of_one_parse(spark, monkeypatch):
     monkeypatch.setattr(find, "with_tier", lambda *a, **k: parsed.append(1) or tier(*a, **k))
     assert registry.queries()["comment_page"](spark, "/root/testdata/sf0.001").count() > 0
     assert len(parsed) == 1
+
+
+def test_evidence_by_turns(spark, monkeypatch):
+    """In turns or at once the same, also by finding; what comes out is read from storage and shuffled no more."""
+    _, lines = lines_of(spark, 60)
+    asked = [(run, k // 3, k % 3, f"look\nGREP: line {k}|of the corpus\nplease grep for \"the end\"") for run in "rq" for k in range(12)]
+    asked += [("r", 1, 2, "GREP: line 5"), (None, 7, 1, "GREP: corpus"), ("r", None, 1, "GREP: corpus"), ("q", 9, 1, "nothing")]
+    reviews = spark.createDataFrame(asked, "run_id string, finding_id int, round_no int, reasoning string")
+    keys = ["run_id", "finding_id", "round_no"]
+    requested = ev.clean_patterns(reviews, keys, "reasoning")
+    top = ev.top_matches(ev.corpus_search(lines, requested))
+    want = sorted(map(str, ev.evidence_blocks(requested, ev.pattern_blocks(requested, top), keys).collect()))
+    together = []
+
+    def finish(mine, evidence, of_turn):
+        together.append({(r.run_id, r.finding_id) for r in of_turn(mine).collect()})
+        return mine.join(evidence, keys, "left").groupBy(*keys[:2]).agg(F.count("evidence").alias("n"), F.count("*").alias("m"))
+
+    counts = None
+    for most in (1 << 30, 500):
+        monkeypatch.setattr(ev, "TURN_BYTES", most)
+        got = ev.gather_evidence(reviews, lines, keys, "reasoning")
+        assert sorted(map(str, got.collect())) == want
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        together.clear()
+        found = sorted(map(str, ev.gather_evidence(reviews, lines, keys, "reasoning", keys[:2], finish).collect()))
+        assert len(together) == (1 if most > 500 else ev.MAX_TURNS)
+        assert sum(map(len, together)) == len(set().union(*together)) == len(found) == 11
+        assert counts in (None, found)
+        counts = found
