@@ -1,6 +1,7 @@
 """Queries over tables of their own: whole jobs, and forms that must not grow faster than the input."""
 
 import hashlib
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from auditloom.operators import evidence as ev
 from auditloom.operators import findings as find
 from auditloom.operators import ignore_rules
 from auditloom.plans import registry
+from auditloom.session import scratch_dir
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -132,3 +134,39 @@ def test_evidence_by_turns(spark, monkeypatch):
         assert sum(map(len, together)) == len(set().union(*together)) == len(found) == 11
         assert counts in (None, found)
         counts = found
+
+
+def stored_columns(spark):
+    """Columns of each table in the scratch folder, by name."""
+    folders = Path(scratch_dir(spark).removeprefix("file:")).glob("kept-*")
+    return {f.name: set(spark.read.parquet(str(f)).columns) for f in folders if any(f.glob("*.parquet"))}
+
+
+def test_turns_move_no_lines_and_leave_none(spark, monkeypatch):
+    """A turn shuffles places, not the lines; when the turns are over no copy of the lines is left."""
+    monkeypatch.setattr(ev, "RANGE_BYTES", 1 << 10)
+    monkeypatch.setattr(ev, "TURN_BYTES", 500)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    _, lines = lines_of(spark, 60)
+    lines = lines.unionByName(lines.limit(1).withColumn("text", F.concat(F.lit("\0é" * 900), F.lit("a seldom word\0"), F.lit("€" * 400))))
+    asked = [("r", k, f"GREP: line {k}|of the corpus\nplease grep for \"seldom word\"") for k in range(6)]
+    reviews = spark.createDataFrame(asked, "run_id string, finding_id int, reasoning string")
+    keys = ["run_id", "finding_id"]
+    requested = ev.clean_patterns(reviews, keys, "reasoning")
+    top = ev.top_matches(ev.corpus_search(lines, requested))
+    want = sorted(map(str, ev.evidence_blocks(requested, ev.pattern_blocks(requested, top), keys).collect()))
+    assert "€..." in want[0]
+    before, plans = set(stored_columns(spark)), []
+
+    def finish(mine, evidence, of_turn):
+        plans.append(evidence._jdf.queryExecution().executedPlan().toString())
+        return evidence
+
+    try:
+        got = ev.gather_evidence(reviews, lines, keys, "reasoning", finish=finish)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(str, got.collect())) == want
+    assert plans and all(p.count("Exchange hashpartitioning(_place") == 1 for p in plans)
+    left = {name: c for name, c in stored_columns(spark).items() if name not in before}
+    assert not [name for name, c in left.items() if "text" in c or "_place" in c and "path" in c]
