@@ -15,7 +15,7 @@ from ..operators import corpus
 from ..operators import reports as rep
 from ..operators import triage as tri
 from ..operators.ignore_rules import ignored_by_rules
-from ..session import durable
+from ..session import durable, kept
 from ..sources import outputs, tree
 from .runs import FILE, Model, review_run
 
@@ -127,7 +127,7 @@ def finish_run(
         "markdown": [
             outputs.pages(durable(page), ["section", "position"], "line", "summary", "\n", "\n"),
             outputs.pages(durable(comment), ["section", "position"], "text", "pr-comment", "\n"),
-            outputs.documents(durable(details)),
+            *outputs.documents(kept(details)),
         ],
         "sarif": [outputs.sarif_files(rep.sarif_log(rep.sarif_results(findings, triage), tool))],
     }

@@ -9,7 +9,8 @@ from auditloom.operators import evidence as ev
 from auditloom.operators import findings as find
 from auditloom.operators import ignore_rules
 from auditloom.plans import registry
-from auditloom.session import scratch_dir
+from auditloom.session import CLEAN_UP, scratch_dir
+from auditloom.sources import outputs
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -170,3 +171,22 @@ def test_turns_move_no_lines_and_leave_none(spark, monkeypatch):
     assert plans and all(p.count("Exchange hashpartitioning(_place") == 1 for p in plans)
     left = {name: c for name, c in stored_columns(spark).items() if name not in before}
     assert not [name for name, c in left.items() if "text" in c or "_place" in c and "path" in c]
+
+
+def test_run_files_are_written_table_by_table(spark, monkeypatch):
+    """Each table is a write of its own, with its clean-up; neither lines nor documents of decisions stay stored."""
+    written, write = [], outputs.write_files
+
+    def one(rows, folder):
+        written.append(rows)
+        write(rows, folder)
+
+    monkeypatch.setattr(outputs, "write_files", one)
+    before = set(stored_columns(spark))
+    got = registry.queries()["run_files"](spark, "/root/testdata/sf0.001")
+    names = {r.path.split("/")[1] for r in got.collect()}
+    assert names == {"triages", "findings", "reports", "contexts", "summary.md", "summary.json", "pr-comment.md", "triage_survivors.md"}
+    assert len(written) == 11  # three of JSON, seven of Markdown, SARIF
+    assert spark.conf.get(CLEAN_UP, "false") == "false"
+    left = [c for name, c in stored_columns(spark).items() if name not in before]
+    assert not [c for c in left if {"kind", "text"} <= c or {"path", "line", "text"} <= c]
