@@ -1,6 +1,8 @@
 """Queries over tables of their own: whole jobs, and forms that must not grow faster than the input."""
 
 import hashlib
+import re
+import time
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -190,3 +192,19 @@ def test_run_files_are_written_table_by_table(spark, monkeypatch):
     assert spark.conf.get(CLEAN_UP, "false") == "false"
     left = [c for name, c in stored_columns(spark).items() if name not in before]
     assert not [c for c in left if {"kind", "text"} <= c or {"path", "line", "text"} <= c]
+
+
+def test_search_meets_one_number_and_reads_a_line_for_what_stands_there(spark):
+    """The run is no key of the join, and a gram at each place of a long line costs no search of the line."""
+    long = "abc bcd é" * 60_000 + "zabcdz" + "abcd" * 3
+    rows = [("r", "a.c", 1, long), ("r", "b.c", 2, long[:-18] + "é"), ("q", "a.c", 3, "é\U0001f600bcd"), ("q", "b.c", 4, None)]
+    lines = spark.createDataFrame(rows, "run_id string, path string, line int, text string")
+    asked = [(run, p) for run in "rq" for p in ("abcd", "bcd éa", "é", "éé", "\U0001f600b", "c", "cd", "abcdabcd", "dz", " bcd ébc")]
+    patterns = spark.createDataFrame(asked + [(None, "abc"), ("r", None), ("r", "")], "run_id string, pattern string")
+    found = ev.corpus_search(lines, patterns)
+    began = time.monotonic()
+    got = sorted((r.run_id, r.pattern, r.line) for r in found.select("run_id", "pattern", "line").collect())
+    assert time.monotonic() - began < 30
+    assert got == sorted((run, p, line) for run, _, line, text in rows for r, p in asked if r == run and p in (text or ""))
+    keys = re.findall(r"BroadcastHashJoin \[([^\]]*)\]", found._jdf.queryExecution().executedPlan().toString())
+    assert keys and not [k for k in keys if "," in k]
